@@ -6,56 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..joins import maybe_broadcast
+from .folding import folded, skeleton
 
 #: Most edits between a value and its entry, after both are folded.
 MAX_EDITS = 2
 
-# Letters with marks, and letters of other scripts that print like a Latin one, by the plain letter they fold to.
-FOLDS_TO = {
-    "a": "àáâãäåāăąаα", "b": "ВΒ", "c": "çćčсС", "d": "ďđḍԁ", "e": "èéêëēĕėęěеЕΕ", "g": "ĝğġģ", "h": "ĥħḥһНΗ", "i": "ìíîïĩīĭįıіІιΙ", "j": "ĵјЈ",
-    "k": "ķКΚ", "l": "ĺļľłḷ", "m": "МΜṁ", "n": "ñńņňΝṅ", "o": "òóôõöøōŏőоОοΟ", "p": "рРρΡ", "r": "ŕŗřṛ", "s": "śŝşšṣѕЅ", "t": "ţťŧṭТΤ",
-    "u": "ùúûüũūŭůűų", "v": "ν", "w": "ŵ", "x": "хХΧ", "y": "ýÿŷуУΥ", "z": "źżžẓΖ", "ك": "ک", "ي": "یى", "ه": "ہە", "ا": "أإآ",
-}
-# Words for a kind of place, event or kin that stand for one another, as (pattern, word).
-SAME_WORD = (
-    (r"(djebel|jebel|djabal|gebel|mount|mont)", "jabal"), (r"(ksar|kasr|qsar|palais)", "qasr"), (r"(souq|suq|soukh|marche|market)", "souk"),
-    (r"(beni|banou|bani|banoo)", "banu"), (r"(bin|ben|b|bn)", "ibn"), (r"(binte|bent|ibnat)", "bint"), (r"(el|ul|as|ar|ad|an|az|ash|at)", "al"),
-    (r"(combat|battle)", "bataille"), (r"(traite|pact|treaty)", "pacte"), (r"(bi r|beer|well|puits)", "bir"), (r"(oued|ouadi|vallee|valley)", "wadi"),
-    (r"(exodus)", "exode"), (r"(letter)", "lettre"), (r"(register)", "registre"), (r"(rites)", "rite"), (r"(oath)", "serment"), (r"(of)", "de"),
-    (r"(gate)", "porte"), (r"(spring)", "source"), (r"(plain)", "plaine"), (r"(pass)", "col"), (r"(abou|abi)", "abu"), (r"(oum|um|oumm)", "umm"), (r"(dhou|zu|dou)", "dhu"),
-)
-# Spellings of one sound, applied in this order.
-SAME_SOUND = (("ou", "u"), ("oo", "u"), ("ee", "i"), ("ie", "i"), ("dj", "j"), ("ch", "sh"), ("q", "k"), ("c", "k"), ("o", "u"), ("e", "a"), ("y", "i"))
-
-
-def _words(sql: str) -> str:
-    """SQL: lower case, without marks, invisible characters or punctuation, single spaces."""
-    wide = "".join(chr(0xFF01 + i) for i in range(94))
-    thin = "".join(chr(0x21 + i) for i in range(94)).replace("\\", "\\\\").replace("'", "\\'")
-    marked, plain = "".join(FOLDS_TO.values()), "".join(k * len(v) for k, v in FOLDS_TO.items())
-    x = f"translate({sql}, '{wide}', '{thin}')"
-    x = f"translate(lower(translate({x}, '{marked}', '{plain}')), '{marked}', '{plain}')"
-    x = f"regexp_replace({x}, r'[\\p{{Mn}}\\p{{Cf}}]', '')"
-    return f"trim(regexp_replace({x}, r'[^\\p{{L}}\\p{{N}}]+', ' '))"
-
-
-def folded(sql: str) -> str:
-    """SQL: the value as it is compared: words of one kind by one word, spellings of one sound by one letter, no doubles.
-
-    A leading article, and the words that say that a place is a town, carry no meaning of their own and go.
-    """
-    x = f"concat(' ', {_words(sql)}, ' ')"
-    for pattern, word in SAME_WORD:
-        x = f"regexp_replace({x}, r' {pattern} ', ' {word} ')"
-    x = f"regexp_replace({x}, r'^ (le|la|les|the|l) ', ' ')"
-    x = f"regexp_replace({x}, r'^ (ville|cite|city|town) (de|d|of) ', ' ')"
-    x = f"regexp_replace({x}, r' la haute ville $', ' ')"
-    x = f"regexp_replace({x}, r' (ra|radiyallahu anhu|dit l ancien|surnomme le sage) $', ' ')"
-    x = f"regexp_replace({x}, r'^ al (\\S+) (.+) $', ' $2 al $1 ')"
-    for spelled, sound in SAME_SOUND:
-        x = f"replace({x}, '{spelled}', '{sound}')"
-    return f"trim(regexp_replace({x}, r'(.)\\1+', '$1'))"
-
+#: A folded name of a person in full, and one with a part cut to its initial. The latter must agree to the letter.
+FULL, INITIAL = "^\\\\S{2,} ibn \\\\S{2,} al \\\\S+$", "^\\\\S ibn | ibn \\\\S al "
 
 #: Start (from 0) and length of segment i (from 0) of a string of length l cut into n parts, as SQL.
 _SEG = "struct(i * (l div {n}) + greatest(0, i - ({n} - l % {n})) AS p, l div {n} + int(i >= {n} - l % {n}) AS w)"
@@ -87,24 +44,29 @@ def pigeonhole_candidates(values: DataFrame, references: DataFrame, edits: int =
 def map_to_list(values: DataFrame, references: DataFrame, edits: int = MAX_EDITS) -> DataFrame:
     """(value, id, edits) for the values that mean an entry; the rest come from ``unmatched``.
 
+    A person's full name stands also for its forms with an initial or without the father's name, where these are one id's.
+
     values: one column ``value``, any repeats; references: (id, text), several texts an id. A text that stands for several ids
     is nobody's own and is left out. Values and texts are folded, compared by edit distance, and a value is given the id
     of its nearest text; if two ids are equally near it is unmatched. The bound is ``edits``, one for folded texts under
-    eight characters and none under five. Null, blank and unmatched values do not appear.
+    eight characters and for consonant skeletons, by which Arabic script is compared, and none under five. Null, blank and unmatched values do not appear.
     """
     spark = values.sparkSession
     references.createOrReplaceTempView("_listed")
     own = spark.sql(f"""
-        SELECT r, max(id) AS id FROM (SELECT id, {folded('text')} AS r FROM _listed WHERE text IS NOT NULL AND id IS NOT NULL)
-        WHERE r <> '' GROUP BY r HAVING min(id) = max(id)""")
+        WITH f AS (SELECT id, {folded('text')} AS r FROM _listed WHERE text IS NOT NULL AND id IS NOT NULL)
+        SELECT r, max(id) AS id FROM (SELECT id, explode(CASE
+            WHEN r LIKE '~%' THEN array(r) WHEN r RLIKE '{FULL}' THEN array(r, {skeleton('r')}, regexp_replace(r, '^(.)\\\\S* ', '$1 '), regexp_replace(r, ' ibn (.)\\\\S* ', ' ibn $1 '), regexp_replace(r, ' ibn \\\\S+ ', ' '))
+            ELSE array(r, {skeleton('r')}) END) AS r FROM f WHERE r <> '')
+        GROUP BY r HAVING min(id) = max(id)""")
     values.filter("value IS NOT NULL").select("value").distinct().createOrReplaceTempView("_entered")
     entered = spark.sql(f"SELECT value, {folded('value')} AS v FROM _entered")
     candidates = pigeonhole_candidates(entered.select("v").filter("v <> ''").distinct(), own.select("r"), edits)
     candidates.join(maybe_broadcast(own), "r").createOrReplaceTempView("_candidates")
     near = spark.sql(f"""
         SELECT v, min(struct(e, id)) AS best, max_by(id, struct(-e, id)) AS other FROM (
-          SELECT v, id, levenshtein(v, r) AS e, least(length(v), length(r)) AS short FROM _candidates)
-        WHERE e <= {edits} AND e <= CASE WHEN short < 5 THEN 0 WHEN short < 8 THEN 1 ELSE {edits} END GROUP BY v""")
+          SELECT v, id, r, levenshtein(v, r) AS e, greatest(length(v), length(r)) AS long, v LIKE '~%' AS bare FROM _candidates)
+        WHERE e <= {edits} AND e <= CASE WHEN long < 5 OR r RLIKE '{INITIAL}' OR v RLIKE '{INITIAL}' THEN 0 WHEN long < 8 OR bare THEN 1 ELSE {edits} END GROUP BY v""")
     return entered.join(near.filter("best.id = other"), "v").select("value", F.col("best.id").alias("id"), F.col("best.e").alias("edits"))
 
 
