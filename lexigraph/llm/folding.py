@@ -49,6 +49,8 @@ def folded(sql: str) -> str:
     x = f"regexp_replace({words(sql)}, r'\\bbi r\\b', 'bir')"
     x = f"regexp_replace({x}, r'^(?:l ancien |le chef )|(?: dit l ancien| la haute ville)$|^(?:ville|cite|city|town) (?:de|d|of) |^(?:madinat|مدينه) ', '')"
     x = f"array_join(filter(transform(split({x}, ' '), t -> coalesce(try_element_at({table}, t), t)), t -> t <> ''), ' ')"
+    for read, meant in (("^ibn ibn ", "b ibn "), (" ibn ibn ", " ibn b "), (" m \\d+$", "")):  # an initial B., a year of death
+        x = f"regexp_replace({x}, r'{read}', '{meant}')"
     x = f"regexp_replace({x}, r'^(jabal|qasr|suk|bir|wadi) al ', '$1 ')"
     x = f"regexp_replace({x}, r'^(\\S{{3,}}?)(?:ibn|bint) (\\S+) al ', '$1 ibn $2 al ')"
     x = f"regexp_replace({x}, r'^ibn (\\S+)$|^(\\S+) banu$', 'banu $1$2')"

@@ -1,2 +1,156 @@
-QUERIES: dict = {}
+"""Variant spellings of names typed by people (problem 5)."""
+
+from __future__ import annotations
+
+from itertools import combinations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.components import connected_components
+from ..scratch import Scratch
+from .folding import folded, skeleton
+
+#: Most edits between two folded spellings of one name, and into how many segments a name is cut for it: any two
+#: segments left unchanged by the edits find the pair.
+EDITS, SEGMENTS = 2, 4
+PERSONS = ("Person", "Sahabi", "Sahabiya", "Child", "Opponent", "Tribe", "Group")
+FULL = r"^\\S{2,} ibn \\S{2,} al \\S+$"
+INITIAL = r"^\\S ibn | ibn \\S al "
+TRIBE = r"^banu \\S+$"
+#: A nickname that stands beside more different persons than this in the records is nobody's own.
+OWN_AT_MOST = 2
+
+
+def _shifts() -> list[tuple[int, int, int, int, int]]:
+    """(i, j, d, a, b): segments i < j of the shorter string, d characters longer the other, and where i and j may begin in it.
+
+    a edits' worth of shift before i, then to b before j, then to d at the end, cost at least |a| + |b - a| + |d - b| edits.
+    """
+    reach = range(-EDITS, EDITS + 1)
+    return [(i, j, d, a, b) for i, j in combinations(range(SEGMENTS), 2) for d in range(EDITS + 1) for a in reach for b in reach if abs(a) + abs(b - a) + abs(d - b) <= EDITS]
+
+
+def _place(i: str) -> tuple[str, str]:
+    start = f"({i} * (l div {SEGMENTS}) + greatest(0, {i} - ({SEGMENTS} - l % {SEGMENTS})))"
+    return start, f"(l div {SEGMENTS} + int({i} >= {SEGMENTS} - l % {SEGMENTS}))"
+
+
+def close_keys(keys: DataFrame) -> DataFrame:
+    """(a, b, edits): pairs of different strings within EDITS edits, a before b; keys has one column ``key``, distinct.
+
+    Pigeonhole join: each string is cut into SEGMENTS segments, of which EDITS edits leave two unchanged. The inverted index
+    holds every pair of segments under their text; a string looks up its substrings at the places that the edits allow.
+    Found pairs are verified by the banded edit distance, and of the edits words under six letters may take one. No pair within the bound is missed; strings shorter than
+    2 * SEGMENTS are not compared. Keys travel as 64-bit hashes; a collision is dropped by the verification.
+    """
+    spark = keys.sparkSession
+    long = keys.filter(F.length("key") >= 2 * SEGMENTS).select("key", F.xxhash64("key").alias("id"))
+    long.createOrReplaceTempView("_long")
+    (pi, wi), (pj, wj) = _place("c.i"), _place("c.j")
+    two = ", ".join(f"struct({i} AS i, {j} AS j)" for i, j in combinations(range(SEGMENTS), 2))
+    index = spark.sql(f"""
+        SELECT id AS r, xxhash64(l, c.i, c.j, substr(key, {pi} + 1, {wi}), substr(key, {pj} + 1, {wj})) AS slot
+        FROM (SELECT key, id, length(key) AS l, explode(array({two})) AS c FROM _long)""")
+    moves = ", ".join(f"struct({i} AS i, {j} AS j, {d} AS d, {a} AS a, {b} AS b)" for i, j, d, a, b in _shifts())
+    probes = spark.sql(f"""
+        SELECT id AS v, xxhash64(l, c.i, c.j, substr(key, {pi} + c.a + 1, {wi}), substr(key, {pj} + c.b + 1, {wj})) AS slot
+        FROM (SELECT key, id, length(key) - c.d AS l, c FROM (SELECT key, id, explode(array({moves})) AS c FROM _long))
+        WHERE l >= 2 * {SEGMENTS} AND {pi} + c.a >= 0 AND {pj} + c.b + {wj} <= length(key)""")
+    found = probes.join(index, "slot").filter("v <> r").select(F.least("v", "r").alias("v"), F.greatest("v", "r").alias("r")).distinct()
+    a, b = long.select(F.col("id").alias("v"), F.col("key").alias("ka")), long.select(F.col("id").alias("r"), F.col("key").alias("kb"))
+    pairs = found.join(a, "v").join(b, "r").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
+    pairs = pairs.withColumn("edits", F.expr(f"levenshtein(a, b, {EDITS})")).filter("edits >= 0 AND a <> b")
+    return pairs.filter(f"size(split(a, ' ')) <> size(split(b, ' ')) OR forall(zip_with(split(a, ' '), split(b, ' '), (x, y) -> levenshtein(x, y) <= IF(greatest(length(x), length(y)) < 6, 1, {EDITS})), t -> t)")
+
+
+def _kind(key: str) -> str:
+    return f"CASE WHEN {key} LIKE '~%' THEN 'arabic' WHEN {key} RLIKE r'{INITIAL}' THEN 'initial' WHEN {key} RLIKE r'{FULL}' THEN 'full' WHEN {key} RLIKE r'{TRIBE}' THEN 'tribe' WHEN {key} RLIKE r'^(?:abu|um) \\\\S+ al \\\\S+$' THEN 'kunya' WHEN {key} RLIKE r'^\\\\S+ al \\\\S+$' THEN 'short' ELSE 'other' END".replace("\\\\", "\\")
+
+
+def link_variants(records: DataFrame) -> DataFrame:
+    """(name, entity): the different name strings with the entities they mean; most mean one, a short name may mean several.
+
+    records: name, aliases, normalized_name, type. Every string of a record is folded (see ``folding``). Full names of
+    persons and names of tribes that are within EDITS edits of one another are one entity: each is tied to the nearest
+    spellings that more records use, so two neighbours are not joined by a slip between them. Names in another form (short,
+    with an initial, by the son, a nickname, in Arabic script) are attached to the entity whose form they are if it is one,
+    else to those that a record names beside them: they never join two entities. A nickname beside more than OWN_AT_MOST
+    persons counts for none. Null, blank and repeated strings and empty alias lists add nothing; records of other types are
+    left out; extra columns are ignored. A hot name is one row here, as strings are counted before they are compared.
+    """
+    spark = records.sparkSession
+    scratch = Scratch(spark, "variants")
+    rows = records.filter(F.col("type").isin(*PERSONS)).select("name", "aliases", "normalized_name")
+    rows = rows.groupBy("name", "aliases", "normalized_name").agg(F.count("*").alias("n"))
+    rows = scratch.keep(rows.withColumn("row", F.xxhash64("name", "aliases", "normalized_name")), "rows")
+    said = rows.select("row", "n", F.explode(F.array_distinct(F.concat(F.array("name", "normalized_name"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("text")).filter("text IS NOT NULL")
+    texts = said.groupBy("text").agg(F.sum("n").alias("n"))
+    texts = scratch.keep(texts.selectExpr("text", "n", f"{folded('text')} AS key").filter("length(key) > 1"), "texts")
+    keys = texts.groupBy("key").agg(F.sum("n").alias("n")).selectExpr("key", "n", f"{_kind('key')} AS kind")
+    keys = scratch.keep(keys, "keys")
+
+    # 1. Spellings within the bound, each tied to its nearest stronger one of its own kind.
+    near = close_keys(keys.filter("kind NOT IN ('arabic', 'initial')").select("key"))
+    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "edits"))
+    of = lambda side: keys.select(F.col("key").alias(side), F.col("n").alias(f"n{side}"), F.col("kind").alias(f"kind{side}"))
+    up = both.join(of("a"), "a").join(of("b"), "b").filter("kinda = kindb AND (nb > na OR nb = na AND b < a)")
+    least = up.groupBy("a").agg(F.min("edits").alias("edits"))
+    tie = scratch.keep(up.join(least, ["a", "edits"]).select("a", "b"), "ties")
+    groups = connected_components(tie, "a", "b").withColumnRenamed("node", "key")
+    keys = scratch.keep(keys.join(groups, "key", "left").withColumn("grp", F.coalesce("component", "key")).drop("component"), "grouped")
+
+    # 2. Entities, and the other forms of their names.
+    core = keys.filter("kind IN ('full', 'tribe')").select("key", F.col("grp").alias("entity"))
+    forms = core.selectExpr("entity", f"""explode(array_distinct(IF(key RLIKE r'{FULL}', array(
+        regexp_replace(key, r' ibn \\S+ ', ' '), regexp_replace(key, r'^(.)\\S* ', '$1 '), regexp_replace(key, r' ibn (.)\\S* ', ' ibn $1 '), {skeleton('key')},
+        {skeleton("regexp_replace(key, r' ibn .+ al ', ' al ')")}), array({skeleton('key')})))) AS key""").distinct()
+    loose = keys.filter("kind NOT IN ('full', 'tribe')")
+    formed = loose.select("key", "grp").join(forms, "key").select("grp", "entity").distinct()
+    # A loose spelling near a form that nobody wrote is compared with the forms themselves.
+    unsaid = forms.join(keys.select("key"), "key", "left_anti").select("key").distinct()
+    slips = loose.filter("kind IN ('short')").join(formed.select("grp").distinct(), "grp", "left_anti").select("key", "grp")
+    close = close_keys(unsaid.filter("key NOT LIKE '~%' AND key NOT RLIKE r'" + INITIAL.replace("\\\\", "\\") + "'").unionByName(slips.select("key")).distinct())
+    crossed = close.unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b"), "edits"))
+    by_slip = slips.join(crossed, slips["key"] == crossed["a"]).join(forms.withColumnRenamed("key", "b"), "b").select("grp", "entity").distinct()
+    formed = scratch.keep(formed.unionByName(by_slip), "formed")
+
+    # 3. What records name beside one another.
+    at = texts.select("text", "key").join(keys.select("key", "kind", "grp"), "key").select("text", "kind", "grp")
+    said = said.select("row", "text").join(at, "text").select("row", "kind", "grp").distinct()
+    sole = formed.groupBy("grp").agg(F.min("entity").alias("entity"), F.count("*").alias("c")).filter("c = 1").select("grp", "entity")
+    sure = said.filter("kind IN ('full', 'tribe')").select("row", F.col("grp").alias("entity")).unionByName(said.join(sole, "grp").select("row", "entity")).distinct()
+    beside = said.filter("kind NOT IN ('full', 'tribe')").select("row", "grp", "kind").join(sure, "row")
+    beside = beside.select("grp", "kind", "entity").distinct()
+    family = lambda c: F.regexp_extract(c, r" al (\S+)$", 1)
+    kin = (family("grp") != "") & (F.levenshtein(family("grp"), family("entity")) <= EDITS)
+    spread = beside.groupBy("grp").agg(F.countDistinct("entity").alias("persons"))
+    beside = beside.join(spread, "grp").filter(kin | (F.col("persons") <= OWN_AT_MOST)).select("grp", "entity")
+    several = formed.groupBy("grp").agg(F.count("*").alias("c")).filter("c > 1").select("grp")
+    told = formed.join(several, "grp", "left_semi").join(beside, ["grp", "entity"], "left_semi")  # of several, those named beside it
+    other = beside.join(formed.select("grp").distinct(), "grp", "left_anti")
+    attached = scratch.keep(sole.unionByName(told).unionByName(other).distinct(), "attached")
+    entity = keys.join(attached, "grp", "left").select("key", F.coalesce("entity", "grp").alias("entity"))
+
+    names = rows.select(F.col("name").alias("text")).filter("text IS NOT NULL").distinct()
+    return names.join(texts.select("text", "key"), "text").join(entity, "key").select(F.col("text").alias("name"), "entity").distinct()
+
+
+def variant_pairs(linked: DataFrame) -> DataFrame:
+    """(name_a, name_b): each pair of different strings of one entity, once, name_a before name_b by code point."""
+    a, b = linked.select(F.col("name").alias("name_a"), "entity"), linked.select(F.col("name").alias("name_b"), "entity")
+    return a.join(b, "entity").filter("name_a < name_b").select("name_a", "name_b").distinct()
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variant_pairs(link_variants(spark.read.parquet(f"{sf_dir}/graph_extraction_raw.parquet")))
+
+
+def p5_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each name string with the entities it means and their number of strings."""
+    linked = link_variants(spark.read.parquet(f"{sf_dir}/graph_extraction_raw.parquet"))
+    return linked.groupBy("entity").agg(F.count("*").alias("names"), F.min("name").alias("first_name"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_entities": p5_entities}
 ORACLES: dict[str, str] = {}
