@@ -57,9 +57,9 @@ def close_keys(keys: DataFrame) -> DataFrame:
         SELECT id AS v, xxhash64(l, c.i, c.j, substr(key, {pi} + c.a + 1, {wi}), substr(key, {pj} + c.b + 1, {wj})) AS slot
         FROM (SELECT key, id, length(key) - c.d AS l, c FROM (SELECT key, id, explode(array({moves})) AS c FROM _long))
         WHERE l >= 2 * {SEGMENTS} AND {pi} + c.a >= 0 AND {pj} + c.b + {wj} <= length(key)""")
-    found = probes.join(index, "slot").filter("v <> r").select(F.least("v", "r").alias("v"), F.greatest("v", "r").alias("r")).distinct()
+    found = probes.join(index.hint("merge"), "slot").filter("v <> r").select(F.least("v", "r").alias("v"), F.greatest("v", "r").alias("r")).distinct()
     a, b = long.select(F.col("id").alias("v"), F.col("key").alias("ka")), long.select(F.col("id").alias("r"), F.col("key").alias("kb"))
-    pairs = found.join(a, "v").join(b, "r").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
+    pairs = found.join(a.hint("merge"), "v").join(b.hint("merge"), "r").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
     pairs = pairs.withColumn("edits", F.expr(f"levenshtein(a, b, {EDITS})")).filter("edits >= 0 AND a <> b")
     return pairs.filter(f"size(split(a, ' ')) <> size(split(b, ' ')) OR forall(zip_with(split(a, ' '), split(b, ' '), (x, y) -> levenshtein(x, y) <= IF(greatest(length(x), length(y)) < 6, 1, {EDITS})), t -> t)")
 
