@@ -18,14 +18,17 @@ COMMON = frozenset(
     est sont fut était a ont été plus comme mais ou si je tu nous vous y tout même deux trois vers près lors selon depuis pendant après avant entre
     the of and to in a an is was were are that this it its with for on at by from as or but not be he she they his her their had has have who which
     when while before after near into than then so no all one two there what you we i my your
-    في من على إلى عن مع أن إن ما لا لم قد كان قال التي الذي هذا هذه بعد قبل عند دون كل غير بين خلال حتى ثم أو وفي ومن""".split()
+    في من على إلى عن مع أن إن ما لا لم قد كان قال التي الذي هذا هذه بعد قبل عند دون كل غير بين خلال حتى ثم أو وفي ومن
+    إن أمام قرب عند نحو كما التي والأول خلافا بحسب عليه عليها فيه فيها له لها منه منها هو هي وهو وهي به بها ذلك تلك وقد ولم وكان كانت""".split()
 )
 # Signs that open the entry of a list.
 BULLET = r"[•▪◦‣●○■□☐☑✓✔*·➢➤–-]\s|\(?\d{1,3}[.)]\s|\(?[a-zA-Z][.)]\s|\(?[ivxIVX]{1,5}[.)]\s"
 _BULLET = re.compile(BULLET)
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _REFERENCE = re.compile(r"(?:[.…·]{3,}|[,:;]|\bp\.|\s)\s*(?:p\.\s*)?\d{1,4}(?:\s*[,-]\s*\d{1,4})*\.?$")
-_CELLS = (re.compile(r"\t"), re.compile(r"\|"), re.compile(r";"), re.compile(r",(?! )"), re.compile(r" {2,}"))
+_CELLS = (re.compile(r"\t"), re.compile(r"\|"), re.compile(r";(?! )"), re.compile(r",(?! )"), re.compile(r" {2,}"))
+_LEADER = re.compile(r"[.…·_]{3,}")
+_SENTENCE = re.compile(r"[^\W\d_][.,;:!?؟،؛…»\"”](?=\s|$)")
 _NUMBER = re.compile(r"[\s|]*[-+]?\d[\d.,%€]*\s*")
 _BROKEN = re.compile(r"[\x00-\x08\x0e-\x1f\x7f-\x9f\ufffd\ue000-\uf8ff]|[ÃÂØÙÐÑ][\x80-\xbf\u2013-\u2122\u0152-\u0192]")
 _VOWEL = re.compile(r"[aeiouyàâäáãéèêëíîïìóôöòõúûüùœæāīūēō]", re.I)
@@ -33,17 +36,18 @@ _LATIN_RUN = re.compile(r"[bcdfghjklmnpqrstvwxz]{5,}", re.I)
 
 STATISTICS = (
     "words", "lines", "mean_word_length", "symbol_ratio", "digit_ratio", "end_punctuation", "common_words", "words_per_line", "bullets", "references",
-    "cells", "number_cells", "distinct_words", "distinct_lines", "broken", "implausible", "longest_word",
+    "cells", "number_cells", "variety", "distinct_runs", "distinct_lines", "sentence_signs", "broken", "implausible", "longest_word",
 )
 
 
 def statistics(text: str) -> tuple[float, ...]:
-    """The statistics of a text, in the order of STATISTICS. Shares are of lines, words or characters that are not blank."""
+    """The statistics of a text, in the order of STATISTICS. variety is different words by the root of all words;
+    distinct_runs counts runs of three words; sentence_signs are marks behind a word, by words. Shares are of lines, words or characters that are not blank."""
     lines = [x for x in (line.strip() for line in text.split("\n")) if x]
     tokens = text.split()
     words = _WORD.findall(text)
     n_lines, n_tokens, n_words = max(1, len(lines)), max(1, len(tokens)), max(1, len(words))
-    solid = max(1, sum(map(len, tokens)))
+    solid = max(1, sum(map(len, tokens)) - sum(map(len, _LEADER.findall(text))))
     letters = sum(map(len, words))
     digits = sum(map(text.count, "0123456789"))
     common = sum(w in COMMON for w in re.split(r"[\W\d_]+", text.lower()))
@@ -63,38 +67,48 @@ def statistics(text: str) -> tuple[float, ...]:
                 continue
             share = sum(n for k, n in counts.items() if abs(k - mode) <= max(1, mode // 3)) / n_lines
             if share > cells:
-                cells = share
                 parts = [c for line in lines for c in sign.split(line)]
+                if n_tokens > 6 * len(parts):  # cells are short
+                    continue
+                cells = share
                 number_cells = sum(1 for c in parts if not c.strip() or _NUMBER.fullmatch(c)) / len(parts)
     latin = [w for w in words if w.isascii() or _VOWEL.search(w)]
     odd = sum(1 for w in latin if len(w) > 1 and (not _VOWEL.search(w) or _LATIN_RUN.search(w)))
     return (
         float(len(words)), float(len(lines)), letters / n_words, max(0.0, 1 - (letters + digits) / solid), digits / solid, ends / n_lines, common / pieces,
-        len(tokens) / n_lines, bullets / n_lines, references / n_lines, cells, number_cells, len(set(tokens)) / n_tokens, len(set(lines)) / n_lines,
+        len(tokens) / n_lines, bullets / n_lines, references / n_lines, cells, number_cells, len(set(tokens)) / math.sqrt(n_tokens),
+        len(set(zip(tokens, tokens[1:], tokens[2:]))) / max(1, len(tokens) - 2), len(set(lines)) / n_lines, len(_SENTENCE.findall(text)) / n_words,
         len(_BROKEN.findall(text)) / solid, odd / n_words, float(max(map(len, tokens), default=0)),
     )
 
 
 def signs() -> list[tuple[str, str]]:
     """The labelling functions: (kind that is voted for, SQL condition on the statistics). A threshold alone may well err."""
+    varied = "(words < 20 OR variety >= 3 AND distinct_runs >= 0.3) AND (lines < 6 OR distinct_lines >= 0.5)"
+    sound = "symbol_ratio < 0.25 AND implausible < 0.25 AND broken < 0.02"
     return [
-        ("prose", "end_punctuation >= 0.5 AND common_words >= 0.15"),
-        ("prose", "common_words >= 0.2 AND bullets < 0.4 AND cells < 0.5 AND references < 0.4"),
-        ("prose", "words_per_line >= 14 AND common_words >= 0.1"),
-        ("list", "lines >= 4 AND bullets >= 0.5"),
-        ("list", "lines >= 4 AND words_per_line <= 9 AND end_punctuation < 0.3 AND common_words < 0.15 AND cells < 0.5 AND distinct_lines > 0.5 AND implausible < 0.3 AND symbol_ratio < 0.35"),
+        ("prose", f"end_punctuation >= 0.5 AND common_words >= 0.06 AND {varied} AND broken < 0.02 AND bullets < 0.5"),
+        ("prose", f"common_words >= 0.18 AND bullets < 0.4 AND cells < 0.5 AND references < 0.4 AND {varied} AND broken < 0.02"),
+        ("prose", f"words_per_line >= 12 AND common_words >= 0.06 AND {varied} AND {sound} AND cells < 0.5"),
+        ("prose", f"sentence_signs >= 0.04 AND end_punctuation >= 0.4 AND {varied} AND {sound} AND bullets < 0.5 AND references < 0.4 AND cells < 0.5"),
+        ("list", "lines >= 4 AND bullets >= 0.5 AND end_punctuation < 0.5"),
+        ("list", f"lines >= 4 AND words_per_line <= 9 AND end_punctuation < 0.3 AND common_words < 0.15 AND cells < 0.5 AND distinct_lines > 0.5 AND {sound}"),
         ("list", "lines >= 4 AND references >= 0.3 AND cells < 0.6 AND symbol_ratio < 0.5"),
         ("table", "lines >= 2 AND cells >= 0.6 AND end_punctuation < 0.5"),
         ("table", "lines >= 2 AND cells >= 0.6 AND (number_cells >= 0.15 OR common_words < 0.08)"),
-        ("junk", "symbol_ratio >= 0.4"),
-        ("junk", "broken >= 0.04"),
-        ("junk", "distinct_lines < 0.5 AND lines >= 6 OR words >= 20 AND distinct_words < 0.2"),
-        ("junk", "common_words < 0.05 AND implausible >= 0.15"),
-        ("junk", "longest_word >= 40 AND words < 4 * lines AND common_words < 0.1 OR words = 0"),
-        ("junk", "common_words < 0.03 AND lines <= 2 AND words >= 12 AND bullets = 0"),
+        ("junk", "symbol_ratio >= 0.4 AND cells < 0.6"),
+        ("junk", "broken >= 0.03"),
+        ("junk", f"NOT ({varied})"),
+        ("junk", "common_words < 0.05 AND implausible >= 0.25"),
+        ("junk", "longest_word >= 30 AND words_per_line <= 3 AND bullets < 0.5 OR words = 0"),
+        ("junk", "common_words < 0.03 AND sentence_signs < 0.03 AND lines <= 2 AND words >= 12 AND bullets = 0"),
     ]
 
 
+#: No function is trusted further than this: those of one kind rest on the same statistics and agree more than independent ones.
+MOST, LEAST = 0.9, 0.003
+
+
 def learn(patterns: list[tuple[tuple[int, ...], int]], kinds: list[str], rounds: int = 40) -> dict:
     """Expectation-maximisation over the patterns of votes: the prior of each kind, and of each labelling function how
     often it fires on texts of its kind and on others. Documents count through their pattern, so at most 2 ** functions
@@ -118,8 +132,8 @@ def learn(patterns: list[tuple[tuple[int, ...], int]], kinds: list[str], rounds:
                     fired_other[j] += n * (1 - p[kind])
         prior = {k: (mass[k] + 0.002 * total + 1) / (total * (1 + 0.002 * len(KINDS)) + len(KINDS)) for k in KINDS}
         weight = 0.01 * total + 5
-        hit = [min(0.995, (f + 0.7 * 0.1 * weight) / (o + 0.1 * weight)) for f, o in zip(fired_own, own)]
-        slip = [min(0.3, (f + 0.01 * weight) / (o + weight)) for f, o in zip(fired_other, other)]
+        hit = [min(MOST, (f + 0.7 * 0.1 * weight) / (o + 0.1 * weight)) for f, o in zip(fired_own, own)]
+        slip = [min(0.3, max(LEAST, (f + 0.01 * weight) / (o + weight))) for f, o in zip(fired_other, other)]
     return {"prior": prior, "hit": hit, "slip": slip}
 
 
