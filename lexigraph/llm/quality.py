@@ -27,6 +27,7 @@ _BULLET = re.compile(BULLET)
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _REFERENCE = re.compile(r"(?:[.…·]{3,}|[,:;]|\bp\.|\s)\s*(?:p\.\s*)?\d{1,4}(?:\s*[,-]\s*\d{1,4})*\.?$")
 _CELLS = (re.compile(r"\t"), re.compile(r"\|"), re.compile(r";(?! )"), re.compile(r",(?! )"), re.compile(r" {2,}"))
+_PIECE = re.compile(r"[^\W\d_]{2,}")
 _LEADER = re.compile(r"[.…·_]{3,}")
 _SENTENCE = re.compile(r"[^\W\d_][.,;:!?؟،؛…»\"”](?=\s|$)")
 _NUMBER = re.compile(r"[\s|]*[-+]?\d[\d.,%€]*\s*")
@@ -50,8 +51,8 @@ def statistics(text: str) -> tuple[float, ...]:
     solid = max(1, sum(map(len, tokens)) - sum(map(len, _LEADER.findall(text))))
     letters = sum(map(len, words))
     digits = sum(map(text.count, "0123456789"))
-    common = sum(w in COMMON for w in re.split(r"[\W\d_]+", text.lower()))
-    pieces = max(1, len(re.findall(r"[^\W\d_]+", text)))
+    parts = _PIECE.findall(text.lower())
+    common, pieces = sum(w in COMMON for w in parts), max(1, len(parts))
     ends = sum(line[-1] in ".!?…؟»\"”:;" for line in lines)
     bullets = sum(1 for line in lines if _BULLET.match(line))
     references = sum(1 for line in lines if _REFERENCE.search(line[-24:]))
@@ -92,7 +93,7 @@ def signs() -> list[tuple[str, str]]:
         ("prose", f"words_per_line >= 12 AND common_words >= 0.06 AND {varied} AND {sound} AND cells < 0.5"),
         ("prose", f"sentence_signs >= 0.04 AND end_punctuation >= 0.4 AND {varied} AND {sound} AND bullets < 0.5 AND references < 0.4 AND cells < 0.5"),
         ("list", "lines >= 4 AND bullets >= 0.5 AND end_punctuation < 0.5"),
-        ("list", f"lines >= 4 AND words_per_line <= 9 AND end_punctuation < 0.3 AND common_words < 0.15 AND cells < 0.5 AND distinct_lines > 0.5 AND {sound}"),
+        ("list", f"lines >= 4 AND words_per_line <= 9 AND end_punctuation < 0.3 AND common_words < 0.15 AND cells < 0.5 AND distinct_lines > 0.5 AND longest_word < 30 AND {sound}"),
         ("list", "lines >= 4 AND references >= 0.3 AND cells < 0.6 AND symbol_ratio < 0.5"),
         ("table", "lines >= 2 AND cells >= 0.6 AND end_punctuation < 0.5"),
         ("table", "lines >= 2 AND cells >= 0.6 AND (number_cells >= 0.15 OR common_words < 0.08)"),
