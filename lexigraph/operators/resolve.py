@@ -120,11 +120,13 @@ def resolve_redirects(redirects: DataFrame) -> DataFrame:
     roots = redirects.select(F.col("target").alias("source")).subtract(redirects.select("source"))
     state = scratch.keep(step.unionByName(roots.select("source", F.col("source").alias("target"), F.col("source").alias("least"))), "round0")
     ends = scratch.keep(roots.withColumnRenamed("source", "target"), "ends")
-    k = 0
-    while (2**k) < state.join(ends, "target", "left_anti").count():  # nodes that have not come to an end: on or before a cycle
+    k, was, left = 0, -1, state.join(ends, "target", "left_anti").count()  # nodes that have not come to an end
+    # Chains shorten from their ends, so once a round frees none, all that are left are on or before a cycle.
+    while left and not (left == was and 2**k >= left):
         k += 1
         up = state.select(F.col("source").alias("target"), F.col("target").alias("_t"), F.col("least").alias("_l"))
         state = scratch.keep(state.join(up, "target").select("source", F.col("_t").alias("target"), F.least("least", "_l").alias("least")), f"round{k}")
+        was, left = left, state.join(ends, "target", "left_anti").count()
     # What a node leads to is an end, which is least by itself, or lies on a cycle, all of which its own least has seen.
     end = state.select(F.col("source").alias("target"), F.col("least").alias("_l"))
     return state.join(end, "target").join(redirects.select("source"), "source", "left_semi").select("source", F.col("_l").alias("target"))
