@@ -91,7 +91,7 @@ def test_pair_scores_and_types(spark):
 
 
 def test_split_text():
-    text = "a b c. " * 200 + "\n\n" + "x" * 950 + "|" + "tail"
+    text = " ".join(f"w{i}." for i in range(300)) + "\n\n" + "".join(f"{chr(97 + i % 26)}{i}" for i in range(300)) + "|tail"
     parts = un.split_text(text, 300, 30)
     assert max(map(len, parts)) <= 300 and un.split_text("", 10, 2) == [] and un.split_text("short", 10, 2) == ["short"]
     at = 0
