@@ -15,7 +15,7 @@ SAME_WORD = {
     "al": "el ul", "bataille": "bat combat battle ghazwat غزوه", "pacte": "traite pact treaty alliance", "exode": "exodus depart hijrat", "serment": "oath bay",
     "lettre": "letter", "registre": "register", "jument": "mare", "rite": "rites", "porte": "gate", "source": "spring", "plaine": "plain", "col": "pass",
     "abu": "abou abi ابو", "umm": "oum um oumm ام", "dhu": "dhou dou zu ذو",
-    "": "de of d des du at a prete sayyid cheikh sheikh shaykh hajj imam ra tribe tribu clan les the le la",
+    "": "de of des du at prete sayyid cheikh sheikh shaykh hajj imam ra tribe tribu clan les the le la",
 }
 # Spellings of one sound, applied in this order.
 SAME_SOUND = (("ou", "u"), ("oo", "u"), ("ee", "i"), ("ie", "i"), ("dj", "j"), ("ch", "sh"), ("kh", "k"), ("q", "k"), ("c", "k"), ("dh", "d"), ("o", "u"), ("e", "a"), ("y", "i"))
@@ -48,6 +48,7 @@ def folded(sql: str) -> str:
     table = "map(" + ", ".join(f"{_quoted(w)}, {_quoted(to)}" for w, to in pairs) + ")"
     x = f"regexp_replace({words(sql)}, r'\\bbi r\\b', 'bir')"
     x = f"regexp_replace({x}, r'^(?:l ancien |le chef )|(?: dit l ancien| la haute ville)$|^(?:ville|cite|city|town) (?:de|d|of) |^(?:madinat|مدينه) ', '')"
+    x = f"regexp_replace({x}, r'\\b(?:d|a) (?!ibn |al )', '')"  # elided de, à; but an initial stays
     x = f"array_join(filter(transform(split({x}, ' '), t -> coalesce(try_element_at({table}, t), t)), t -> t <> ''), ' ')"
     for read, meant in (("^ibn ibn ", "b ibn "), (" ibn ibn ", " ibn b "), (" m \\d+$", "")):  # an initial B., a year of death
         x = f"regexp_replace({x}, r'{read}', '{meant}')"

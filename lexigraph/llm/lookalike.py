@@ -36,7 +36,8 @@ SAME_LOOK = {"<wide>", "<narrow>", "<noBreak>", "<compat>", "<initial>", "<media
 #: Format characters that print something.
 SHOWN = set("؀؁؂؃؄؅۝܏࢐࢑࣢")
 #: Text made of these alone, single spaced, is stable: the quick check that the JVM does.
-STABLE_TEXT = "(?s)[!-~À-İĴ-ĿŁ-ňŊ-žƉ-ƏḀ-ẙ«»°،؛؟ء-غف-وي]*(?: [!-~À-İĴ-ĿŁ-ňŊ-žƉ-ƏḀ-ẙ«»°،؛؟ء-غف-وي]+)*"
+_STABLE = "[!-~À-İĴ-ĿŁ-ňŊ-žƉ-ƏḀ-ẙ«»°،؛؟ء-غف-وي]+"
+STABLE_TEXT = f"(?:{_STABLE}(?: {_STABLE})*)?"
 
 
 @functools.cache

@@ -107,7 +107,7 @@ def signs() -> list[tuple[str, str]]:
 
 
 #: No function is trusted further than this: those of one kind rest on the same statistics and agree more than independent ones.
-MOST, LEAST = 0.9, 0.003
+MOST, LEAST = 0.8, 0.003
 
 
 def learn(patterns: list[tuple[tuple[int, ...], int]], kinds: list[str], rounds: int = 40) -> dict:

@@ -15,9 +15,9 @@ from .folding import folded, skeleton
 #: segments left unchanged by the edits find the pair.
 EDITS, SEGMENTS = 2, 4
 PERSONS = ("Person", "Sahabi", "Sahabiya", "Child", "Opponent", "Tribe", "Group")
-FULL = r"^\\S{2,} ibn \\S{2,} al \\S+$"
-INITIAL = r"^\\S ibn | ibn \\S al "
-TRIBE = r"^banu \\S+$"
+FULL = r"^\S{2,} ibn \S{2,} al \S+$"
+INITIAL = r"^\S ibn | ibn \S al "
+TRIBE = r"^banu \S+$"
 #: A nickname that stands beside more different persons than this in the records is nobody's own.
 OWN_AT_MOST = 2
 
@@ -65,7 +65,7 @@ def close_keys(keys: DataFrame) -> DataFrame:
 
 
 def _kind(key: str) -> str:
-    return f"CASE WHEN {key} LIKE '~%' THEN 'arabic' WHEN {key} RLIKE r'{INITIAL}' THEN 'initial' WHEN {key} RLIKE r'{FULL}' THEN 'full' WHEN {key} RLIKE r'{TRIBE}' THEN 'tribe' WHEN {key} RLIKE r'^(?:abu|um) \\\\S+ al \\\\S+$' THEN 'kunya' WHEN {key} RLIKE r'^\\\\S+ al \\\\S+$' THEN 'short' ELSE 'other' END".replace("\\\\", "\\")
+    return f"CASE WHEN {key} LIKE '~%' THEN 'arabic' WHEN {key} RLIKE r'{INITIAL}' THEN 'initial' WHEN {key} RLIKE r'{FULL}' THEN 'full' WHEN {key} RLIKE r'{TRIBE}' THEN 'tribe' WHEN {key} RLIKE r'^(?:abu|um) \\S+ al \\S+$' THEN 'kunya' WHEN {key} RLIKE r'^\\S+ al \\S+$' THEN 'short' ELSE 'other' END"
 
 
 def link_variants(records: DataFrame) -> DataFrame:
@@ -110,7 +110,7 @@ def link_variants(records: DataFrame) -> DataFrame:
     # A loose spelling near a form that nobody wrote is compared with the forms themselves.
     unsaid = forms.join(keys.select("key"), "key", "left_anti").select("key").distinct()
     slips = loose.filter("kind IN ('short')").join(formed.select("grp").distinct(), "grp", "left_anti").select("key", "grp")
-    close = close_keys(unsaid.filter("key NOT LIKE '~%' AND key NOT RLIKE r'" + INITIAL.replace("\\\\", "\\") + "'").unionByName(slips.select("key")).distinct())
+    close = close_keys(unsaid.filter("key NOT LIKE '~%' AND key NOT RLIKE r'" + INITIAL + "'").unionByName(slips.select("key")).distinct())
     crossed = close.unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b"), "edits"))
     by_slip = slips.join(crossed, slips["key"] == crossed["a"]).join(forms.withColumnRenamed("key", "b"), "b").select("grp", "entity").distinct()
     formed = scratch.keep(formed.unionByName(by_slip), "formed")
