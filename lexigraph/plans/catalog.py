@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import similarity as sim
 from ..functions import text as fx
 from ..operators import graph as g
+from ..operators import identity as idn
 from ..operators import resolve as rs
 from ..operators import retrieval as rt
 from ..operators import units as un
@@ -663,3 +664,48 @@ def graph_extraction(spark, d):
 def description_synthesis(spark, d):
     rows = T(spark, d, "graph_extraction_clean").filter("normalized_name IS NOT NULL").groupBy(F.col("normalized_name").alias("key")).agg(F.collect_set("context_description").alias("fragments"))
     return pv.merge_descriptions(rows).select("key", "description")
+
+
+# Identity cards and answers
+
+
+@query("SELECT doc_id, CASE WHEN length(text) <= 1500 THEN text ELSE substr(concat_ws(chr(10)||chr(10)||'[...]'||chr(10)||chr(10), array_to_string(list_slice(p,1,2),chr(10)), array_to_string(list_slice(p, greatest(1, len(p)//2), greatest(1, len(p)//2)+1), chr(10)), array_to_string(list_slice(p, greatest(1, len(p)-1), len(p)), chr(10))), 1, 1500) END AS sample FROM (SELECT doc_id, text, string_split(text, chr(10)) AS p FROM documents)")
+def document_sample(spark, d):
+    return T(spark, d, "documents").select("doc_id", idn.sample_paragraphs(F.col("text"), 1500, 2, "\n").alias("sample"))
+
+
+@query(f"SELECT type, count(*) AS units, sum(length(content)) AS characters FROM (SELECT CASE WHEN len(h) > 0 THEN 'ESTIMÉ' ELSE 'ABSENT' END AS type, CASE WHEN len(h) > 0 THEN array_to_string([('- ' || x) for x in h], chr(10)) ELSE '' END AS content FROM (SELECT list_slice([trim(x) for x in coalesce(chunk_headings, []) if x IS NOT NULL AND trim(x) <> '' AND length(trim(x)) < 150], 1, 40) AS h FROM {_CH} WHERE chunk_text IS NOT NULL AND NOT regexp_matches(lower(chunk_text), 'sommaire|table des matières|table of contents|plan du document|contenu'))) GROUP BY 1")
+def outlines(spark, d):
+    rows = chunk_rows(spark, d).filter("chunk_text IS NOT NULL").filter(~F.lower("chunk_text").rlike("|".join(idn.OUTLINE_WORDS)))
+    return rows.select(idn.outline(F.col("chunk_text"), F.col("chunk_headings")).alias("o")).groupBy("o.type").agg(F.count("*").alias("units"), F.sum(F.length("o.content")).alias("characters"))
+
+
+@query("SELECT doc_id, 'TITRE: ' || coalesce(nullif(trim(filename),''),'Titre non détecté') || chr(10) || 'STRUCTURE:' || chr(10) || '- ' || replace(coalesce(text,''), '. ', '.' || chr(10) || '- ') AS card FROM documents")
+def fallback_cards(spark, d):
+    return T(spark, d, "documents").select("doc_id", idn.fallback_card(F.col("filename"), F.col("text")).alias("card"))
+
+
+@query()
+def card_contexts(spark, d):
+    rows = chunk_rows(spark, d).withColumn("o", F.struct("chunk_index", "chunk_id"))
+    return idn.card_context(rows.withColumn("chunk_text", F.col("chunk_text")), "doc_id", "o", "chunk_text", "chunk_headings")
+
+
+@query("SELECT item_id, trim(question) AS v1, '' AS v2, text AS v3, lang AS keywords FROM eval_items WHERE NOT contains(text, chr(10))")
+def query_rewrites(spark, d):
+    answer = F.concat(F.lit("V1: "), "question", F.lit("\nV3:"), "text", F.lit("\nKEYWORDS: "), "lang")
+    return T(spark, d, "eval_items").filter(~F.col("text").contains("\n")).select("item_id", idn.rewritten(answer).alias("r")).select("item_id", "r.*")
+
+
+@query()
+def answer_sources(spark, d):
+    best = _hits(spark, d).orderBy(F.desc("score"), "chunk_id").limit(20)  # the sources of one answer
+    rows = chunk_rows(spark, d).join(F.broadcast(best), "chunk_id").withColumn("o", F.struct(-F.col("score"), F.col("chunk_id")))
+    return idn.answer_context(rows, "o").withColumn("images", F.array_join("images", " "))
+
+
+@query()
+def community_contexts(spark, d):
+    members = g.communities(T(spark, d, "legacy_relations"), "source", "target")
+    told = T(spark, d, "graph_extraction_clean").filter("normalized_name IS NOT NULL").groupBy(F.col("normalized_name").alias("node")).agg(F.max("context_description").alias("description"))
+    return idn.community_context(members, told, T(spark, d, "legacy_relations").select("source", "target", F.col("evidence").alias("description")))

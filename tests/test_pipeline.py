@@ -21,7 +21,7 @@ def rules(prompts):
 
 
 def test_documents_become_a_graph(spark):
-    docs = spark.createDataFrame([(1, "Then Abu Bakr met Umar Farooq."), (2, "And Abu Bakkr met Umar Farooq again, Umar Farooq."), (3, None)], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "then Abu Bakr met Umar Farooq."), (2, "and Abu Bakkr met Umar Farooq again, Umar Farooq."), (3, None)], "doc_id long, text string")
     entries = spark.createDataFrame([("UMAR_FAROOQ", "Human", (["x"],))], "slug string, category string, properties struct<aliases: array<string>>")
     units, entities, relations = pipeline.ingest(docs, rules, entries)
     assert units.count() == 3
