@@ -49,11 +49,15 @@ def p1_record_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p1_record_groups": p1_record_groups}
 
-_PAIRS = """pairs AS (
+_GROUPS = """WITH RECURSIVE pairs AS (
     SELECT lower(trim(left_name)) AS a, lower(trim(right_name)) AS b FROM match_pairs
-    WHERE left_name IS NOT NULL AND right_name IS NOT NULL AND lower(trim(left_name)) <> lower(trim(right_name))),
+    WHERE trim(left_name) <> '' AND trim(right_name) <> '' AND lower(trim(left_name)) <> lower(trim(right_name))),
   ends AS (SELECT a AS x, b AS y FROM pairs UNION SELECT b, a FROM pairs),
   reach(x, y) AS (SELECT x, x FROM ends UNION SELECT r.x, e.y FROM reach r JOIN ends e ON r.y = e.x),
   grouped AS (SELECT x AS normalized_name, min(y) AS group_name FROM reach GROUP BY x)"""
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "p1_found": f"{_GROUPS} SELECT * FROM grouped",
+    "p1_record_groups": f"""{_GROUPS} SELECT rec_id, coalesce(group_name, nullif(lower(trim(r.normalized_name)), '')) AS group_name
+        FROM graph_extraction_raw r LEFT JOIN grouped g ON g.normalized_name = lower(trim(r.normalized_name))""",
+}
