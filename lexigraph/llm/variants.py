@@ -22,13 +22,13 @@ TRIBE = r"^banu \S+$"
 OWN_AT_MOST = 2
 
 
-def _shifts() -> list[tuple[int, int, int, int, int]]:
-    """(i, j, d, a, b): segments i < j of the shorter string, d characters longer the other, and where i and j may begin in it.
+def _shifts(shorter: bool) -> list[tuple[int, int, int, int, int]]:
+    """(i, j, d, a, b): segments i < j of the indexed string, d characters longer the other, and where i and j may begin in it.
 
     a edits' worth of shift before i, then to b before j, then to d at the end, cost at least |a| + |b - a| + |d - b| edits.
     """
     reach = range(-EDITS, EDITS + 1)
-    return [(i, j, d, a, b) for i, j in combinations(range(SEGMENTS), 2) for d in range(EDITS + 1) for a in reach for b in reach if abs(a) + abs(b - a) + abs(d - b) <= EDITS]
+    return [(i, j, d, a, b) for i, j in combinations(range(SEGMENTS), 2) for d in range(-EDITS if shorter else 0, EDITS + 1) for a in reach for b in reach if abs(a) + abs(b - a) + abs(d - b) <= EDITS]
 
 
 def _place(i: str) -> tuple[str, str]:
@@ -36,8 +36,9 @@ def _place(i: str) -> tuple[str, str]:
     return start, f"(l div {SEGMENTS} + int({i} >= {SEGMENTS} - l % {SEGMENTS}))"
 
 
-def close_keys(keys: DataFrame) -> DataFrame:
+def close_keys(keys: DataFrame, against: DataFrame | None = None) -> DataFrame:
     """(a, b, edits): pairs of different strings within EDITS edits, a before b; keys has one column ``key``, distinct.
+    With a second table only pairs of a key a and one of that table, b.
 
     Pigeonhole join: each string is cut into SEGMENTS segments, of which EDITS edits leave two unchanged. The inverted index
     holds every pair of segments under their text; a string looks up its substrings at the places that the edits allow.
@@ -45,21 +46,25 @@ def close_keys(keys: DataFrame) -> DataFrame:
     2 * SEGMENTS are not compared. Keys travel as 64-bit hashes; a collision is dropped by the verification.
     """
     spark = keys.sparkSession
-    long = keys.filter(F.length("key") >= 2 * SEGMENTS).select("key", F.xxhash64("key").alias("id"))
-    long.createOrReplaceTempView("_long")
+    sized = lambda t: t.filter(F.length("key") >= 2 * SEGMENTS).select("key", F.xxhash64("key").alias("id"))
+    long, indexed = sized(keys), sized(keys if against is None else against)
+    long.createOrReplaceTempView("_long"), indexed.createOrReplaceTempView("_indexed")
     (pi, wi), (pj, wj) = _place("c.i"), _place("c.j")
     two = ", ".join(f"struct({i} AS i, {j} AS j)" for i, j in combinations(range(SEGMENTS), 2))
     index = spark.sql(f"""
         SELECT id AS r, xxhash64(l, c.i, c.j, substr(key, {pi} + 1, {wi}), substr(key, {pj} + 1, {wj})) AS slot
-        FROM (SELECT key, id, length(key) AS l, explode(array({two})) AS c FROM _long)""")
-    moves = ", ".join(f"struct({i} AS i, {j} AS j, {d} AS d, {a} AS a, {b} AS b)" for i, j, d, a, b in _shifts())
+        FROM (SELECT key, id, length(key) AS l, explode(array({two})) AS c FROM _indexed)""")
+    moves = ", ".join(f"struct({i} AS i, {j} AS j, {d} AS d, {a} AS a, {b} AS b)" for i, j, d, a, b in _shifts(against is not None))
     probes = spark.sql(f"""
         SELECT id AS v, xxhash64(l, c.i, c.j, substr(key, {pi} + c.a + 1, {wi}), substr(key, {pj} + c.b + 1, {wj})) AS slot
         FROM (SELECT key, id, length(key) - c.d AS l, c FROM (SELECT key, id, explode(array({moves})) AS c FROM _long))
         WHERE l >= 2 * {SEGMENTS} AND {pi} + c.a >= 0 AND {pj} + c.b + {wj} <= length(key)""")
-    found = probes.join(index.hint("merge"), "slot").filter("v <> r").select(F.least("v", "r").alias("v"), F.greatest("v", "r").alias("r")).distinct()
-    a, b = long.select(F.col("id").alias("v"), F.col("key").alias("ka")), long.select(F.col("id").alias("r"), F.col("key").alias("kb"))
-    pairs = found.join(a.hint("merge"), "v").join(b.hint("merge"), "r").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
+    found = probes.join(index.hint("merge"), "slot").filter("v <> r")
+    if against is None:
+        found = found.select(F.least("v", "r").alias("v"), F.greatest("v", "r").alias("r"))
+    a, b = long.select(F.col("id").alias("v"), F.col("key").alias("ka")), indexed.select(F.col("id").alias("r"), F.col("key").alias("kb"))
+    pairs = found.distinct().join(a.hint("merge"), "v").join(b.hint("merge"), "r")
+    pairs = pairs.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")) if against is None else pairs.select(F.col("ka").alias("a"), F.col("kb").alias("b"))
     pairs = pairs.withColumn("edits", F.expr(f"levenshtein(a, b, {EDITS})")).filter("edits >= 0 AND a <> b")
     return pairs.filter(f"size(split(a, ' ')) <> size(split(b, ' ')) OR forall(zip_with(split(a, ' '), split(b, ' '), (x, y) -> levenshtein(x, y) <= IF(greatest(length(x), length(y)) < 6, 1, {EDITS})), t -> t)")
 
@@ -110,9 +115,8 @@ def link_variants(records: DataFrame) -> DataFrame:
     # A loose spelling near a form that nobody wrote is compared with the forms themselves.
     unsaid = forms.join(keys.select("key"), "key", "left_anti").select("key").distinct()
     slips = loose.filter("kind IN ('short')").join(formed.select("grp").distinct(), "grp", "left_anti").select("key", "grp")
-    close = close_keys(unsaid.filter("key NOT LIKE '~%' AND key NOT RLIKE r'" + INITIAL + "'").unionByName(slips.select("key")).distinct())
-    crossed = close.unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b"), "edits"))
-    by_slip = slips.join(crossed, slips["key"] == crossed["a"]).join(forms.withColumnRenamed("key", "b"), "b").select("grp", "entity").distinct()
+    close = close_keys(slips.select("key").distinct(), unsaid.filter("key NOT LIKE '~%' AND key NOT RLIKE r'" + INITIAL + "'"))
+    by_slip = slips.join(close, slips["key"] == close["a"]).join(forms.withColumnRenamed("key", "b"), "b").select("grp", "entity").distinct()
     formed = scratch.keep(formed.unionByName(by_slip), "formed")
 
     # 3. What records name beside one another.

@@ -84,6 +84,9 @@ def test_close_keys_misses_nothing(spark):
     words = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(8, 12))) for _ in range(250)})
     got = variants.close_keys(spark.createDataFrame([(w,) for w in words], "key string"))
     assert {(r["a"], r["b"]): r["edits"] for r in got.collect()} == {(a, b): edits(a, b) for a in words for b in words if a < b and edits(a, b) <= 2}
+    half = spark.createDataFrame([(w,) for w in words[::2]], "key string"), spark.createDataFrame([(w,) for w in words[1::2]], "key string")
+    crossed = {(r["a"], r["b"]) for r in variants.close_keys(*half).collect()}
+    assert crossed == {(a, b) for a in words[::2] for b in words[1::2] if edits(a, b) <= 2}
 
 
 def test_folding(spark):
