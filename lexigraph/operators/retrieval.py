@@ -22,6 +22,16 @@ def vector_topk(vectors: DataFrame, query: list[float] | Column, k: int = 12, le
     return scored.orderBy(F.desc("score"), key).limit(k)
 
 
+def vector_topk_each(vectors: DataFrame, queries: DataFrame, k: int = 12, least: float = 0.05, key: str = "vec_id", vector: str = "embedding", by: str = "query_id") -> DataFrame:
+    """(by, key, score, rank): the k nearest of each query (by, q: array) with at least the score, ties to the smaller key.
+
+    A stated set of queries against all rows: the queries are a broadcast block, each partition keeps k rows a query before the shuffle.
+    """
+    pairs = vectors.select(key, vector).join(F.broadcast(queries.select(by, "q")))
+    scored = pairs.select(by, key, F.round(cosine(F.col(vector), F.col("q")), 9).alias("score")).filter(F.col("score") >= least)
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), key))).filter(F.col("rank") <= k)
+
+
 def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[^\p{L}\p{N}]+"), lambda w: w != "")
 
@@ -68,11 +78,15 @@ def tfidf_pairs(texts: DataFrame, key: str, text: str, least: float = 0.3, block
     return pairs.filter(F.col("score") >= least)
 
 
-def rank_fusion(rankings: DataFrame, key: str, k: int = 60, most: int | None = None) -> DataFrame:
-    """(key, score): sum of 1 / (k + rank) over the rankings (ranking, key, score), rank from 1 by score, ties by key."""
-    ranked = rankings.withColumn("rank", F.row_number().over(Window.partitionBy("ranking").orderBy(F.desc("score"), key)))
-    fused = ranked.groupBy(key).agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 9).alias("score"))
-    return fused if most is None else fused.orderBy(F.desc("score"), key).limit(most)
+def rank_fusion(rankings: DataFrame, key: str, k: int = 60, most: int | None = None, by: list[str] | None = None) -> DataFrame:
+    """(by, key, score): sum of 1 / (k + rank) over the rankings (ranking, key, score), rank from 1 by score, ties by key;
+    the ``most`` best, of each question where ``by`` names one."""
+    by = by or []
+    ranked = rankings.withColumn("rank", F.row_number().over(Window.partitionBy(*by, "ranking").orderBy(F.desc("score"), key)))
+    fused = ranked.groupBy(*by, key).agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 9).alias("score"))
+    if most is None or not by:
+        return fused if most is None else fused.orderBy(F.desc("score"), key).limit(most)
+    return fused.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), key))).filter(F.col("_r") <= most).drop("_r")
 
 
 def rerank(rows: DataFrame, score: str, top: int, least: float = 0.0, order: str = "position") -> DataFrame:
@@ -80,24 +94,29 @@ def rerank(rows: DataFrame, score: str, top: int, least: float = 0.0, order: str
     return rows.filter(F.col(score).isNull() | (F.col(score) >= least)).orderBy(F.col(score).desc_nulls_last(), order).limit(top)
 
 
-def group_context(hits: DataFrame, chunks: DataFrame, identities: DataFrame | None = None) -> DataFrame:
-    """Hits (chunk_id, score) with their chunks, documents by their best score, in a document its identity first, then by
-    chunk_index; position numbers the rows. An identity row comes only for a document that has one."""
-    rows = hits.join(chunks, "chunk_id").select("chunk_id", "doc_id", "chunk_index", "score", F.lit(False).alias("is_identity"))
-    best = rows.groupBy("doc_id").agg(F.max("score").alias("best"))
+def group_context(hits: DataFrame, chunks: DataFrame, identities: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
+    """Hits (by, chunk_id, score) with their chunks, documents by their best score, in a document its identity first, then by
+    chunk_index; position numbers the rows of each question. An identity row comes only for a document that has one.
+
+    The hits of a question are a top-k, so one question is one window.
+    """
+    by = by or []
+    rows = hits.join(chunks, "chunk_id").select(*by, "chunk_id", "doc_id", "chunk_index", "score", F.lit(False).alias("is_identity"))
+    best = rows.groupBy(*by, "doc_id").agg(F.max("score").alias("best"))
     out = rows
     if identities is not None:
-        cards = identities.join(best.select("doc_id"), "doc_id", "left_semi").join(rows.select("chunk_id"), "chunk_id", "left_anti")
-        out = out.unionByName(cards.select("chunk_id", "doc_id", F.lit(-1).alias("chunk_index"), F.lit(1.0).alias("score"), F.lit(True).alias("is_identity")))
-    order = Window.orderBy(F.desc("best"), "doc_id", F.desc("is_identity"), "chunk_index", "chunk_id")  # the context of one question
-    return out.join(best, "doc_id").withColumn("position", F.row_number().over(order))
+        cards = identities.join(best.select(*by, "doc_id"), "doc_id").join(rows.select(*by, "chunk_id"), [*by, "chunk_id"], "left_anti")
+        out = out.unionByName(cards.select(*by, "chunk_id", "doc_id", F.lit(-1).alias("chunk_index"), F.lit(1.0).alias("score"), F.lit(True).alias("is_identity")))
+    order = Window.partitionBy(*by).orderBy(F.desc("best"), "doc_id", F.desc("is_identity"), "chunk_index", "chunk_id")
+    return out.join(best, [*by, "doc_id"]).withColumn("position", F.row_number().over(order))
 
 
 def fill(first: DataFrame, then: DataFrame, top: int, key: str = "chunk_id") -> DataFrame:
     """The rows of a strategy, then those of the vector search that it lacks, up to ``top`` in all. Both: key, score."""
     rest = then.join(first.select(key), key, "left_anti")
     both = first.select(key, "score", F.lit(0).alias("part")).unionByName(rest.select(key, "score", F.lit(1).alias("part")))
-    return both.withColumn("position", F.row_number().over(Window.orderBy("part", F.desc("score"), key))).filter(F.col("position") <= top)
+    order = ["part", F.desc("score"), F.col(key)]
+    return both.orderBy(*order).limit(top).withColumn("position", F.row_number().over(Window.orderBy(*order)))  # numbers the kept rows only
 
 
 def top_per_entity(links: DataFrame, k: int, entity: str = "entity_id", order: str = "relevance_score", key: str = "chunk_id") -> DataFrame:

@@ -152,9 +152,9 @@ def chunk_texts(spark, d):
     )
 
 
-@query("SELECT md5(string_agg(DISTINCT k, '|' ORDER BY k)) AS digest, count(DISTINCT k) AS keys FROM (SELECT 'llm_cache:' || sha256('[\"' || name || '\"]' || chr(10) || 'mini') AS k FROM graph_extraction_raw WHERE regexp_matches(name, '^[A-Za-z -]+$'))")
+@query("SELECT md5(string_agg(DISTINCT k, '|' ORDER BY k)) AS digest, count(DISTINCT k) AS keys FROM (SELECT 'llm_cache:' || sha256('[\"' || name || '\"]' || chr(10) || 'mini') AS k FROM graph_extraction_raw WHERE name IS NOT NULL)")
 def cache_keys(spark, d):
-    rows = T(spark, d, "graph_extraction_raw").filter(F.col("name").rlike("^[A-Za-z -]+$")).select(fx.cache_key(F.array("name"), F.lit("mini")).alias("k")).distinct()
+    rows = T(spark, d, "graph_extraction_raw").filter("name IS NOT NULL").select(fx.cache_key(F.array("name"), F.lit("mini")).alias("k")).distinct()
     return rows.agg(F.md5(F.array_join(F.array_sort(F.collect_list("k")), "|")).alias("digest"), F.count("*").alias("keys"))
 
 
@@ -200,10 +200,10 @@ def chunk_rows(spark: SparkSession, d: str) -> DataFrame:
     return T(spark, d, "chunks").dropDuplicates(["chunk_id"])
 
 
-@query(f"SELECT doc_id, pos, {_HEAD} AS heading FROM (SELECT doc_id, pos, {_strip('line')} AS h FROM (SELECT doc_id, unnest(range(len(l)))::INT AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(chunk_text, chr(10)) AS l FROM (SELECT doc_id, chunk_text FROM {_CH} WHERE chunk_index = 0))) WHERE {_strip('line')} <> '')")
+@query(f"SELECT chunk_id, pos, {_HEAD} AS heading FROM (SELECT chunk_id, pos, {_strip('line')} AS h FROM (SELECT chunk_id, unnest(range(len(l)))::INT AS pos, unnest(l) AS line FROM (SELECT chunk_id, string_split(chunk_text, chr(10)) AS l FROM {_CH})) WHERE {_strip('line')} <> '')")
 def heading_filter(spark, d):
-    lines = un.line_units(chunk_rows(spark, d).filter("chunk_index = 0"), "doc_id", "chunk_text")
-    return lines.select("doc_id", "pos", fx.clean_heading(F.col("line")).alias("heading"))
+    lines = un.line_units(chunk_rows(spark, d), "chunk_id", "chunk_text")
+    return lines.select("chunk_id", "pos", fx.clean_heading(F.col("line")).alias("heading"))
 
 
 @query(f"SELECT chunk_id, coalesce(last_value(CASE WHEN c NOT IN ('Section générale','Contenu informatif') THEN c END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY chunk_index, chunk_id ROWS UNBOUNDED PRECEDING), 'Section générale') AS heading_refined FROM (SELECT *, {_HEAD} AS c FROM (SELECT chunk_id, doc_id, chunk_index, {_strip('coalesce(chunk_headings[1], chr(0))').replace('chr(0)', chr(39) + 'Section générale' + chr(39))} AS h FROM {_CH}))")
@@ -414,17 +414,19 @@ def anchor(spark, d):
     return out.join(e.select("id", F.col("title").alias("key"), "category"), "id").select("key", "category", F.size("candidates").cast("long").alias("candidates"), "canonical_id", "review_status")
 
 
-@query("SELECT category, count(*) AS entries, sum((slug LIKE 'B%')::INT) AS b FROM encyclopedia WHERE coalesce(review_status,'') <> 'OFFICIAL' GROUP BY 1")
+@query("SELECT category, count(*) AS entries, sum(is_verified::INT) AS verified FROM encyclopedia WHERE coalesce(review_status,'') <> 'OFFICIAL' GROUP BY 1")
 def orphans_by_category(spark, d):
     e = T(spark, d, "encyclopedia").filter("coalesce(review_status, '') <> 'OFFICIAL'")
-    return e.groupBy("category").agg(F.count("*").alias("entries"), F.sum(F.col("slug").startswith("B").cast("int")).alias("b"))
+    return e.groupBy("category").agg(F.count("*").alias("entries"), F.sum(F.col("is_verified").cast("int")).alias("verified"))
 
 
-@query("""WITH RECURSIVE v AS (SELECT trim(left_name) AS s, trim(right_name) AS t, pair_id FROM match_pairs WHERE trim(left_name) <> '' AND trim(right_name) <> '' AND lower(trim(left_name)) <> 'nan' AND trim(left_name) < trim(right_name)),
+@query("""WITH RECURSIVE p AS (SELECT trim(left_name) AS l, trim(right_name) AS r, pair_id FROM match_pairs WHERE left_name IS NOT NULL AND right_name IS NOT NULL),
+  v AS (SELECT greatest(l, r) AS s, least(l, r) AS t, pair_id FROM p WHERE l <> r AND l <> '' AND r <> '' AND lower(l) <> 'nan' AND lower(r) <> 'nan'),
   f AS (SELECT s, arg_max(t, pair_id) AS t FROM v GROUP BY s), w(s, e, n) AS (SELECT s, t, 1 FROM f UNION ALL SELECT w.s, f.t, n + 1 FROM w JOIN f ON f.s = w.e)
   SELECT s AS source, arg_max(e, n) AS target FROM w GROUP BY s""")
 def redirects(spark, d):
-    p = T(spark, d, "match_pairs").filter("trim(left_name) < trim(right_name)").select(F.col("left_name").alias("source"), F.col("right_name").alias("target"), F.col("pair_id").alias("stage"))
+    left, right = F.trim("left_name"), F.trim("right_name")
+    p = T(spark, d, "match_pairs").filter(left.isNotNull() & right.isNotNull()).select(F.greatest(left, right).alias("source"), F.least(left, right).alias("target"), F.col("pair_id").alias("stage"))
     return rs.resolve_redirects(rs.valid_redirects(p))
 
 
@@ -438,14 +440,14 @@ def resolution_groups(spark, d):
 # Retrieval
 
 
-def _probe(spark: SparkSession, d: str):
-    return T(spark, d, "embeddings").filter("vec_id = 0").select(F.col("embedding").alias("q"))
+_COS = "list_dot_product(embedding::DOUBLE[], q::DOUBLE[]) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) * list_dot_product(q::DOUBLE[], q::DOUBLE[]))"
 
 
-@query("SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], q::DOUBLE[]) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) * list_dot_product(q::DOUBLE[], q::DOUBLE[])), 6) AS score FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) WHERE score >= 0.05 ORDER BY score DESC, vec_id LIMIT 50")
+@query(f"SELECT query_id, vec_id, round(score, 6) AS score FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS k FROM (SELECT query_id, vec_id, {_COS} AS score FROM embeddings, (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0)) WHERE round(score, 9) >= 0.05) WHERE k <= 50")
 def vector_topk(spark, d):
-    rows = T(spark, d, "embeddings").join(F.broadcast(_probe(spark, d)))
-    return rt.vector_topk(rows, F.col("q"), 50).select("vec_id", F.round("score", 6).alias("score"))
+    rows = T(spark, d, "embeddings")
+    queries_ = rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))  # the stated queries of a search
+    return rt.vector_topk_each(rows, queries_, 50).select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
 _TERMS = "list_filter(regexp_split_to_array(lower(coalesce({x},'')), '[^\\pL\\pN]+'), lambda w: w <> '')"
@@ -492,11 +494,17 @@ def rrf(spark, d):
     return rt.rank_fusion(_rankings(spark, d), "chunk_id", 60, 200)
 
 
-_HITS = f"(SELECT chunk_id, max(relevance_score) AS score FROM {LINKS} WHERE entity_id LIKE 'bataille%' GROUP BY 1)"
+_OF = "entity_id IN (SELECT normalized_name FROM graph_extraction_raw WHERE type IN ({}))"
+_HITS = f"(SELECT chunk_id, max(relevance_score) AS score FROM {LINKS} WHERE {_OF.format(chr(39) + 'Battle' + chr(39))} GROUP BY 1)"
+
+
+def _links_of(spark, d, *types):
+    named = T(spark, d, "graph_extraction_raw").filter(F.col("type").isin(*types)).select(F.col("normalized_name").alias("entity_id")).distinct()
+    return links(spark, d).join(named, "entity_id", "left_semi")
 
 
 def _hits(spark, d):
-    return links(spark, d).filter("entity_id LIKE 'bataille%'").groupBy("chunk_id").agg(F.max("relevance_score").alias("score"))
+    return _links_of(spark, d, "Battle").groupBy("chunk_id").agg(F.max("relevance_score").alias("score"))
 
 
 @query(f"""WITH r AS (SELECT h.chunk_id, c.doc_id, c.chunk_index, h.score, false AS is_identity FROM {_HITS} h JOIN {_CH} c USING (chunk_id)), b AS (SELECT doc_id, max(score) AS best FROM r GROUP BY 1),
@@ -507,12 +515,12 @@ def context_group(spark, d):
     return rt.group_context(_hits(spark, d), c, c.filter("chunk_type = 'IDENTITY'")).select("chunk_id", "doc_id", "is_identity", F.col("position").cast("long").alias("position"))
 
 
-_VEC = f"(SELECT chunk_id, max(relevance_score) AS score FROM {LINKS} WHERE entity_id LIKE 'rite%' OR entity_id LIKE 'bataille%' GROUP BY 1)"
+_VEC = f"(SELECT chunk_id, max(relevance_score) AS score FROM {LINKS} WHERE {_OF.format(chr(39) + 'Battle' + chr(39) + ',' + chr(39) + 'Concept' + chr(39))} GROUP BY 1)"
 
 
 @query(f"SELECT chunk_id, part, position FROM (SELECT *, row_number() OVER (ORDER BY part, score DESC, chunk_id) AS position FROM (SELECT chunk_id, score, 0 AS part FROM {_HITS} UNION ALL SELECT chunk_id, score, 1 FROM {_VEC} WHERE chunk_id NOT IN (SELECT chunk_id FROM {_HITS}))) WHERE position <= 400")
 def strategy_fill(spark, d):
-    v = links(spark, d).filter("entity_id LIKE 'rite%' OR entity_id LIKE 'bataille%'").groupBy("chunk_id").agg(F.max("relevance_score").alias("score"))
+    v = _links_of(spark, d, "Battle", "Concept").groupBy("chunk_id").agg(F.max("relevance_score").alias("score"))
     return rt.fill(_hits(spark, d), v, 400).select("chunk_id", "part", F.col("position").cast("long").alias("position"))
 
 
@@ -546,15 +554,15 @@ def tag_group(spark, d):
 
 @query()
 def query_entity_match(spark, d):
-    names = T(spark, d, "encyclopedia").orderBy("slug").limit(40).select(F.col("title").alias("mention"), F.array("title", F.regexp_replace("title", " .*", "")).alias("variants"))  # the names of forty questions
+    names = T(spark, d, "encyclopedia").select(F.col("title").alias("mention"), F.array("title", F.regexp_replace("title", " .*", "")).alias("variants"))
     rows = T(spark, d, "graph_extraction_clean").filter("normalized_name IS NOT NULL")
     known = rows.groupBy(F.col("normalized_name").alias("entity")).agg(F.array_distinct(F.flatten(F.collect_list(F.coalesce("aliases", F.array().cast("array<string>"))))).alias("aliases"), F.count("*").alias("chunk_count"))
     return rt.resolve_mentions(names, known)
 
 
-@query("SELECT normalized_name AS entity, 'summary_' || normalized_name AS chunk_id, summary AS text, 0.95 AS score FROM (SELECT normalized_name, min(context_description) AS summary FROM graph_extraction_clean WHERE normalized_name LIKE 'b%' GROUP BY 1) WHERE trim(summary) <> ''")
+@query("SELECT normalized_name AS entity, 'summary_' || normalized_name AS chunk_id, summary AS text, 0.95 AS score FROM (SELECT normalized_name, min(context_description) AS summary FROM graph_extraction_clean WHERE normalized_name IS NOT NULL GROUP BY 1) WHERE trim(summary) <> ''")
 def entity_summaries(spark, d):
-    rows = T(spark, d, "graph_extraction_clean").filter("normalized_name LIKE 'b%'").groupBy(F.col("normalized_name").alias("entity")).agg(F.min("context_description").alias("summary"))
+    rows = T(spark, d, "graph_extraction_clean").filter("normalized_name IS NOT NULL").groupBy(F.col("normalized_name").alias("entity")).agg(F.min("context_description").alias("summary"))
     return rows.filter("trim(summary) <> ''").select("entity", F.concat(F.lit("summary_"), "entity").alias("chunk_id"), F.col("summary").alias("text"), F.lit(0.95).alias("score"))
 
 
@@ -573,21 +581,21 @@ def list_documents(spark, d):
     return T(spark, d, "documents").select("filename", "doc_id", "created_at").orderBy(F.desc("created_at"), "doc_id")
 
 
-_UP = "SELECT filename, doc_id, status, updated_at + INTERVAL 1 DAY AS updated_at FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT 'new_' || filename, doc_id, 'PENDING', updated_at FROM documents WHERE doc_id % 5 = 0"
+_UP = "SELECT filename, doc_id, status, updated_at + INTERVAL 1 DAY AS updated_at FROM documents WHERE status = 'PROCESSING' UNION ALL SELECT 'new_' || filename, doc_id, 'PENDING', updated_at FROM documents WHERE status = 'FAILED'"
 
 
 @query(f"WITH n AS ({_UP}) SELECT coalesce(o.filename, n.filename) AS filename, coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN o.filename IS NULL THEN n.status ELSE o.status END AS status, coalesce(n.updated_at, o.updated_at) AS updated_at FROM documents o FULL JOIN n ON n.filename = o.filename")
 def document_upsert(spark, d):
     old = T(spark, d, "documents").select("filename", "doc_id", "status", "updated_at")
     day = F.expr("INTERVAL 1 DAY")
-    new = old.filter("doc_id % 3 = 0").withColumn("updated_at", F.col("updated_at") + day).unionByName(old.filter("doc_id % 5 = 0").withColumn("filename", F.concat(F.lit("new_"), "filename")).withColumn("status", F.lit("PENDING")))
+    new = old.filter("status = 'PROCESSING'").withColumn("updated_at", F.col("updated_at") + day).unionByName(old.filter("status = 'FAILED'").withColumn("filename", F.concat(F.lit("new_"), "filename")).withColumn("status", F.lit("PENDING")))
     return tb.upsert_documents(old, new)
 
 
-@query("SELECT slug, title, CASE WHEN slug LIKE 'B%' THEN 'new ' || slug ELSE core_summary END AS core_summary, CASE WHEN slug LIKE 'B%' THEN 'Event' ELSE category END AS category, CASE WHEN slug LIKE 'B%' THEN 'NEW' ELSE properties.phase END AS phase, properties.nasab AS nasab FROM encyclopedia")
+@query("SELECT slug, title, CASE WHEN review_status = 'PENDING' THEN 'new ' || slug ELSE core_summary END AS core_summary, CASE WHEN review_status = 'PENDING' THEN 'Event' ELSE category END AS category, CASE WHEN review_status = 'PENDING' THEN 'NEW' ELSE properties.phase END AS phase, properties.nasab AS nasab FROM encyclopedia")
 def encyclopedia_upsert(spark, d):
     old = T(spark, d, "encyclopedia")
-    new = old.filter("slug LIKE 'B%'").select("slug", F.lit("x").alias("title"), F.concat(F.lit("new "), "slug").alias("core_summary"), F.lit("Event").alias("category"), F.struct(F.lit(None).cast("array<string>").alias("aliases"), F.lit(None).cast("string").alias("nasab"), F.lit("NEW").alias("phase")).alias("properties"))
+    new = old.filter("review_status = 'PENDING'").select("slug", F.lit("x").alias("title"), F.concat(F.lit("new "), "slug").alias("core_summary"), F.lit("Event").alias("category"), F.struct(F.lit(None).cast("array<string>").alias("aliases"), F.lit(None).cast("string").alias("nasab"), F.lit("NEW").alias("phase")).alias("properties"))
     return tb.upsert_encyclopedia(old, new).select("slug", "title", "core_summary", "category", F.col("properties.phase").alias("phase"), F.col("properties.nasab").alias("nasab"))
 
 
@@ -598,10 +606,10 @@ def document_status(spark, d):
     return tb.latest_status(log)
 
 
-@query(f"SELECT chunk_id, CASE WHEN chunk_index % 4 = 0 THEN 'enriched' ELSE chunk_text END AS chunk_text, CASE WHEN chunk_index % 4 = 0 THEN 'seen' END AS visual_summary FROM {_CH}")
+@query(f"SELECT chunk_id, CASE WHEN len(chunk_images_urls) > 0 THEN 'enriched' ELSE chunk_text END AS chunk_text, CASE WHEN len(chunk_images_urls) > 0 THEN 'seen' END AS visual_summary FROM {_CH}")
 def chunk_enrich(spark, d):
     c = chunk_rows(spark, d)
-    return tb.enrich_chunks(c, c.filter("chunk_index % 4 = 0").select("chunk_id", F.lit("enriched").alias("chunk_text"), F.lit("seen").alias("visual_summary"))).select("chunk_id", "chunk_text", "visual_summary")
+    return tb.enrich_chunks(c, c.filter("size(chunk_images_urls) > 0").select("chunk_id", F.lit("enriched").alias("chunk_text"), F.lit("seen").alias("visual_summary"))).select("chunk_id", "chunk_text", "visual_summary")
 
 
 @query(f"SELECT c.chunk_id, coalesce(array_to_string(c.chunk_page_numbers, ','), '') AS pages, c.chunk_type FROM {_CH} c WHERE chunk_id IN (SELECT chunk_id FROM {_HITS})")
@@ -674,10 +682,10 @@ def document_sample(spark, d):
     return T(spark, d, "documents").select("doc_id", idn.sample_paragraphs(F.col("text"), 1500, 2, "\n").alias("sample"))
 
 
-@query(f"SELECT type, count(*) AS units, sum(length(content)) AS characters FROM (SELECT CASE WHEN len(h) > 0 THEN 'ESTIMÉ' ELSE 'ABSENT' END AS type, CASE WHEN len(h) > 0 THEN array_to_string([('- ' || x) for x in h], chr(10)) ELSE '' END AS content FROM (SELECT list_slice([trim(x) for x in coalesce(chunk_headings, []) if x IS NOT NULL AND trim(x) <> '' AND length(trim(x)) < 150], 1, 40) AS h FROM {_CH} WHERE chunk_text IS NOT NULL AND NOT regexp_matches(lower(chunk_text), 'sommaire|table des matières|table of contents|plan du document|contenu'))) GROUP BY 1")
+@query()
 def outlines(spark, d):
-    rows = chunk_rows(spark, d).filter("chunk_text IS NOT NULL").filter(~F.lower("chunk_text").rlike("|".join(idn.OUTLINE_WORDS)))
-    return rows.select(idn.outline(F.col("chunk_text"), F.col("chunk_headings")).alias("o")).groupBy("o.type").agg(F.count("*").alias("units"), F.sum(F.length("o.content")).alias("characters"))
+    rows = chunk_rows(spark, d).select(idn.outline(F.col("chunk_text"), F.col("chunk_headings")).alias("o"))
+    return rows.groupBy("o.type").agg(F.count("*").alias("units"), F.sum(F.length("o.content")).alias("characters"))
 
 
 @query("SELECT doc_id, 'TITRE: ' || coalesce(nullif(trim(filename),''),'Titre non détecté') || chr(10) || 'STRUCTURE:' || chr(10) || '- ' || replace(coalesce(text,''), '. ', '.' || chr(10) || '- ') AS card FROM documents")
@@ -691,10 +699,10 @@ def card_contexts(spark, d):
     return idn.card_context(rows.withColumn("chunk_text", F.col("chunk_text")), "doc_id", "o", "chunk_text", "chunk_headings")
 
 
-@query("SELECT item_id, trim(question) AS v1, '' AS v2, text AS v3, lang AS keywords FROM eval_items WHERE NOT contains(text, chr(10))")
+@query("SELECT item_id, trim(question) AS v1, '' AS v2, text AS v3, lang AS keywords FROM eval_items")
 def query_rewrites(spark, d):
     answer = F.concat(F.lit("V1: "), "question", F.lit("\nV3:"), "text", F.lit("\nKEYWORDS: "), "lang")
-    return T(spark, d, "eval_items").filter(~F.col("text").contains("\n")).select("item_id", idn.rewritten(answer).alias("r")).select("item_id", "r.*")
+    return T(spark, d, "eval_items").select("item_id", idn.rewritten(answer).alias("r")).select("item_id", "r.*")
 
 
 @query()

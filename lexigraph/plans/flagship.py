@@ -11,17 +11,17 @@ from ..sources.tables import read_table
 
 
 def question_context(spark: SparkSession, sf_dir: str, top: int = 15) -> DataFrame:
-    """(chunk_id, doc_id, chunk_index, score, position): the lines of documents that answer the held-out questions best.
+    """(item_id, chunk_id, doc_id, chunk_index, score, position): the lines of documents that answer each held-out question best.
 
-    Lines are the units. Two rankings, BM25 over the lines and the cosine of documents' vectors (a document takes the vector
-    of its number), are fused by reciprocal ranks and put in the order of their documents.
+    Lines are the units. Two rankings a question, BM25 over the lines and the cosine of documents' vectors (a question and a
+    document take the vector of their number), are fused by reciprocal ranks and put in the order of their documents.
     """
     lines = un.line_units(read_table(spark, sf_dir, "documents")).select(F.col("unit_id").alias("chunk_id"), "doc_id", F.col("pos").alias("chunk_index"), F.col("line").alias("text"))
-    asked = read_table(spark, sf_dir, "eval_items").filter("item_id = 1").select("item_id", "question")
-    sparse = rt.bm25_topk(lines, asked, "chunk_id", "text", "item_id", "question", 50).select(F.lit("sparse").alias("ranking"), "chunk_id", "score")
+    asked = read_table(spark, sf_dir, "eval_items").select("item_id", "question")
+    sparse = rt.bm25_topk(lines, asked, "chunk_id", "text", "item_id", "question", 50).select("item_id", F.lit("sparse").alias("ranking"), "chunk_id", "score")
     vectors = read_table(spark, sf_dir, "embeddings")
-    probe = vectors.filter("vec_id = 1").select(F.col("embedding").alias("q"))
-    near = rt.vector_topk(vectors.join(F.broadcast(probe)), F.col("q"), 50)
-    dense = lines.filter("chunk_index = 0").join(F.broadcast(near.withColumnRenamed("vec_id", "doc_id")), "doc_id").select(F.lit("dense").alias("ranking"), "chunk_id", "score")
-    fused = rt.rank_fusion(sparse.unionByName(dense), "chunk_id", 60, top)
-    return rt.group_context(fused, lines).select("chunk_id", "doc_id", "chunk_index", "score", "position")
+    probes = asked.join(vectors.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("q")), "item_id")
+    near = rt.vector_topk_each(vectors, probes, 50, by="item_id").select("item_id", F.col("vec_id").alias("doc_id"), "score")
+    dense = lines.filter("chunk_index = 0").join(near, "doc_id").select("item_id", F.lit("dense").alias("ranking"), "chunk_id", "score")
+    fused = rt.rank_fusion(sparse.unionByName(dense), "chunk_id", 60, top, ["item_id"])
+    return rt.group_context(fused, lines, by=["item_id"]).select("item_id", "chunk_id", "doc_id", "chunk_index", "score", "position")

@@ -20,5 +20,6 @@ def test_query(spark, name):
 
 def test_flagship(spark):
     out = flagship.question_context(spark, FOLDER).toPandas()
-    assert list(out.columns) == ["chunk_id", "doc_id", "chunk_index", "score", "position"]
-    assert sorted(out["position"]) == list(range(1, len(out) + 1))
+    assert list(out.columns) == ["item_id", "chunk_id", "doc_id", "chunk_index", "score", "position"]
+    for _, rows_ in out.groupby("item_id"):
+        assert sorted(rows_["position"]) == list(range(1, len(rows_) + 1)) and len(rows_) <= 15

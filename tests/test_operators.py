@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lexigraph.joins import salted_join
 from lexigraph.operators import graph as g
+from lexigraph.operators import identity as idn
 from lexigraph.operators import resolve as rs
 from lexigraph.operators import retrieval as rt
 from lexigraph.operators import units as un
@@ -152,6 +153,21 @@ def test_rerank_keeps_rows_without_score(spark):
     assert [r["id"] for r in rt.rerank(df, "score", 3).collect()] == ["c", "a", "b"]
 
 
+def test_outline(spark):
+    entries = "\n".join(f"Chapitre {i}" for i in range(5))
+    rows = [("x\n  Sommaire :\n\n" + entries, None), ("Sommaire\nun\ndeux", ["A", " ", "B"]), ("rien", None), (None, []), ("y\n" * 300 + "Table des matières\n" + entries, ["A"])]
+    got = [(r["o"]["type"], r["o"]["content"]) for r in spark.createDataFrame(rows, "t string, h array<string>").select(idn.outline(F.col("t"), F.col("h")).alias("o")).collect()]
+    assert got == [("OFFICIEL", entries), ("ESTIMÉ", "- A\n- B"), ("ABSENT", ""), ("ABSENT", ""), ("OFFICIEL", entries)]
+
+
+def test_reports_and_answer_context(spark):
+    a = spark.createDataFrame([(1, 'x {"title": "T", "rating": 3.5, "findings": [{"summary": "s", "explanation": "e"}]}'), (2, "no")], "community int, answer string")
+    assert {r["community"]: r["title"] for r in idn.reports(a).collect()} == {1: "T", 2: None}
+    rows = spark.createDataFrame([(2, "b", "H", [1], ["|t|"], ["i", "j"]), (1, "a", None, None, None, ["j"])], "o int, chunk_text string, chunk_heading_full string, chunk_page_numbers array<int>, chunk_tables array<string>, chunk_images_urls array<string>")
+    got = idn.answer_context(rows, "o").first()
+    assert got["context"].index("[SOURCE 1]") < got["context"].index("|t|") and got["images"] == ["j", "i"]
+
+
 def test_tag_search(spark):
     tags = spark.createDataFrame([("1", "Mères", ["mothers"]), ("2", "Mères des Croyants", None)], "tag_id string, label string, aliases array<string>")
     assert [rt.tag_search(tags, n).first()["tag_id"] for n in ("mères", "croyants", "MOTHERS")] == ["1", "2", "1"] and rt.tag_search(tags, "zzz").count() == 0
