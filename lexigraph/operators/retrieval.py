@@ -42,14 +42,18 @@ def postings(documents: DataFrame, key: str, text: str) -> DataFrame:
     return words.select(key, "length", F.explode("w").alias("term")).groupBy("term", key, "length").agg(F.count("*").alias("tf"))
 
 
-def bm25_topk(documents: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, k: int = 15, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_key, key, score, rank): the k best texts of each query. Only postings of query terms are kept, before any shuffle."""
+def bm25_topk(documents: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, k: int = 15, k1: float = 1.2, b: float = 0.75, most_df: float = 0.5) -> DataFrame:
+    """(query_key, key, score, rank): the k best texts of each query. Only postings of query terms are kept, before any shuffle.
+
+    A term that more than most_df of the texts hold tells nothing and is left out: it is there that the classical weight
+    turns negative, and its postings would pair nearly all texts with nearly all queries.
+    """
     asked = queries.select(query_key, F.explode(F.array_distinct(terms(F.col(query_text)))).alias("term"))
     wanted = maybe_broadcast(asked.select("term").distinct())
     sized = documents.select(key, terms(F.col(text)).alias("w")).withColumn("length", F.size("w"))
     stats = sized.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     hits = sized.select(key, "length", F.explode("w").alias("term")).join(wanted, "term").groupBy("term", key, "length").agg(F.count("*").alias("tf"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    df = hits.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(stats.select("n"))).filter(F.col("df") <= most_df * F.col("n")).select("term", "df")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
     scored = hits.join(maybe_broadcast(df), "term").join(F.broadcast(stats)).withColumn("part", part).join(maybe_broadcast(asked), "term")

@@ -443,7 +443,7 @@ def resolution_groups(spark, d):
 _COS = "list_dot_product(embedding::DOUBLE[], q::DOUBLE[]) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) * list_dot_product(q::DOUBLE[], q::DOUBLE[]))"
 
 
-@query(f"SELECT query_id, vec_id, round(score, 6) AS score FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS k FROM (SELECT query_id, vec_id, {_COS} AS score FROM embeddings, (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0)) WHERE round(score, 9) >= 0.05) WHERE k <= 50")
+@query(f"SELECT query_id, vec_id, round(round(score, 9), 6) AS score FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS k FROM (SELECT query_id, vec_id, {_COS} AS score FROM embeddings, (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0)) WHERE round(score, 9) >= 0.05) WHERE k <= 50")
 def vector_topk(spark, d):
     rows = T(spark, d, "embeddings")
     queries_ = rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))  # the stated queries of a search
@@ -455,12 +455,12 @@ _TERMS = "list_filter(regexp_split_to_array(lower(coalesce({x},'')), '[^\\pL\\pN
 
 @query(f"""WITH d AS (SELECT doc_id, {_TERMS.format(x='text')} AS w FROM documents), s AS (SELECT count(*) AS n, avg(len(w)) AS m FROM d),
   q AS (SELECT DISTINCT item_id, unnest({_TERMS.format(x='question')}) AS t FROM eval_items),
-  h AS (SELECT doc_id, len, t, count(*) AS tf FROM (SELECT doc_id, len(w) AS len, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL), f AS (SELECT t, count(*) AS df FROM h GROUP BY 1),
+  h AS (SELECT doc_id, len, t, count(*) AS tf FROM (SELECT doc_id, len(w) AS len, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL), f AS (SELECT t, count(*) AS df FROM h GROUP BY 1 HAVING count(*) <= 0.5 * (SELECT n FROM s)),
   r AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / m))), 6) AS score FROM h JOIN f USING (t) JOIN q USING (t), s GROUP BY ALL)
-  SELECT item_id, count(*) AS hits, round(max(score), 4) AS best FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS k FROM r) WHERE k <= 15 GROUP BY 1""")
+  SELECT item_id, count(*) AS hits, max(score) AS best FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS k FROM r) WHERE k <= 15 GROUP BY 1""")
 def bm25_topk(spark, d):
     out = rt.bm25_topk(T(spark, d, "documents"), T(spark, d, "eval_items"), "doc_id", "text", "item_id", "question")
-    return out.groupBy("item_id").agg(F.count("*").alias("hits"), F.round(F.max("score"), 4).alias("best"))
+    return out.groupBy("item_id").agg(F.count("*").alias("hits"), F.max("score").alias("best"))
 
 
 @query(f"SELECT term, count(*) AS docs, sum(tf) AS uses FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TERMS.format(x='text')}) AS term FROM documents) GROUP BY ALL) GROUP BY 1")
@@ -475,10 +475,10 @@ def _stop() -> str:
 @query(f"""WITH w AS (SELECT slug, category, unnest({_TERMS.format(x="title || ' ' || coalesce(core_summary,'')")}) AS t FROM encyclopedia WHERE category IS NOT NULL), tf AS (SELECT slug, category, t, count(*) AS tf FROM w WHERE length(t) > 1 AND t NOT IN {_stop()} GROUP BY ALL),
   n AS (SELECT category, count(DISTINCT slug) AS n FROM tf GROUP BY 1), df AS (SELECT category, t, count(*) AS df FROM tf GROUP BY ALL),
   x AS (SELECT slug, category, t, tf * (ln((1+n)/(1+df)) + 1) AS w FROM tf JOIN n USING (category) JOIN df USING (category, t)), u AS (SELECT slug, category, t, w / sqrt(sum(w*w) OVER (PARTITION BY slug)) AS w FROM x)
-  SELECT a, b, score FROM (SELECT a.slug AS a, b.slug AS b, round(sum(a.w*b.w), 4) AS score FROM u a JOIN u b ON a.category = b.category AND a.t = b.t AND a.slug < b.slug GROUP BY 1, 2) WHERE score >= 0.5""")
+  SELECT a, b, score FROM (SELECT a.slug AS a, b.slug AS b, round(sum(a.w*b.w), 6) AS score FROM u a JOIN u b ON a.category = b.category AND a.t = b.t AND a.slug < b.slug GROUP BY 1, 2) WHERE score >= 0.5""")
 def tfidf_pairs(spark, d):
     e = T(spark, d, "encyclopedia").filter("category IS NOT NULL").select("slug", "category", F.concat(F.col("title"), F.lit(" "), F.coalesce("core_summary", F.lit(""))).alias("t"))
-    return rt.tfidf_pairs(e, "slug", "t", 0.4, "category").select("a", "b", F.round("score", 4).alias("score")).filter("score >= 0.5")
+    return rt.tfidf_pairs(e, "slug", "t", 0.5, "category")
 
 
 _RANK = f"(SELECT 'conf' AS ranking, chunk_id, max(relevance_score) AS score FROM {LINKS} GROUP BY 2 UNION ALL SELECT 'size', chunk_id, count(*)::DOUBLE FROM {LINKS} GROUP BY 2)"

@@ -18,7 +18,7 @@ def question_context(spark: SparkSession, sf_dir: str, top: int = 15) -> DataFra
     """
     lines = un.line_units(read_table(spark, sf_dir, "documents")).select(F.col("unit_id").alias("chunk_id"), "doc_id", F.col("pos").alias("chunk_index"), F.col("line").alias("text"))
     asked = read_table(spark, sf_dir, "eval_items").select("item_id", "question")
-    sparse = rt.bm25_topk(lines, asked, "chunk_id", "text", "item_id", "question", 50).select("item_id", F.lit("sparse").alias("ranking"), "chunk_id", "score")
+    sparse = rt.bm25_topk(lines, asked, "chunk_id", "text", "item_id", "question", 50, most_df=0.1).select("item_id", F.lit("sparse").alias("ranking"), "chunk_id", "score")
     vectors = read_table(spark, sf_dir, "embeddings")
     probes = asked.join(vectors.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("q")), "item_id")
     near = rt.vector_topk_each(vectors, probes, 50, by="item_id").select("item_id", F.col("vec_id").alias("doc_id"), "score")
