@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 
 #: Running words of an item that make a leak, and the share of them that must agree.
 LEAK_WORDS, AGREE = 14, 0.8
-#: A piece of fewer words, such as the mention of a person, is no part of a passage; nor is, unless it has LONG words, one
-#: whose words are all in more than COMMON of the different texts around it (and in more than three): a set phrase.
-PIECE, LONG, COMMON = 7, 28, 0.005
+#: A piece of fewer words without a distinctive one is a set phrase and no part of a passage.
+LONG = 28
 #: Shortest verbatim match that is looked up, and the depth in words to which suffixes are sorted.
 SEED, DEPTH = 4, 16
 #: A word is distinctive if at most this share of the items, or three of them, hold it.
@@ -47,9 +46,12 @@ class Items:
         self.distinct = np.zeros(len(held) + 1, dtype=bool)
         self.distinct[[self.vocabulary[w] for w, n in held.items() if n <= few]] = True
         ids, owner = [], []
-        for i, ws in listed:
+        #: By an item's number (owner): its id, where it begins, and its words.
+        self.item: list[tuple[int, int, list[int]]] = []
+        for number, (i, ws) in enumerate(listed):
+            self.item.append((i, len(ids), [self.vocabulary[w] for w in ws]))
             ids += [self.vocabulary[w] for w in ws] + [0]
-            owner += [i] * (len(ws) + 1)
+            owner += [number] * (len(ws) + 1)
         pad = [0] * DEPTH
         self.ids = np.array(ids + pad, dtype="int32")
         self.owner = np.array(owner + pad[:0], dtype="int64")
@@ -161,8 +163,9 @@ def find_leaks(documents: DataFrame, items: DataFrame, least: int = LEAK_WORDS)
     A shard of the documents is one suffix array over word ids; every test suffix that begins with a distinctive seed is
     looked up in it by binary search, its verbatim matches are made as long as they go, and go on over changed, missing
     or added words. The matches of a document may lie anywhere in it: they are laid out on the item, and the longest
-    stretch of which AGREE agrees counts; short pieces and set phrases count for nothing. Case, accents, punctuation and white space are ignored. Seeds of common words
-    alone find nothing, so set phrases are no leak. Null and empty texts, and items shorter than a leak, give no rows;
+    stretch of which AGREE agrees counts; set phrases, told by the items alone, count for nothing, so a document's leaks do not
+    depend on the others of its shard. Case, accents, punctuation and white space are ignored. Seeds of common words
+    alone find nothing. Null and empty texts, and items shorter than a leak, give no rows;
     a repeated doc_id is reported once. The items, a held-out set, are broadcast; documents never leave their task.
     """
     spark = documents.sparkSession
@@ -177,18 +180,16 @@ def find_leaks(documents: DataFrame, items: DataFrame, least: int = LEAK_WORDS)
         for d, h, t, n in zip(np.searchsorted(ends, here, side="right").tolist(), here.tolist(), there.tolist(), length.tolist()):
             found.setdefault((d, int(test.owner[t])), []).append((h, t, n))
         out = []
-        words = test.ids.tolist() if found else []
-        once = list({hash(tuple(x)): x for _, x in docs}.values())
-        texts = np.bincount(np.fromiter((w for x in once for w in set(x)), dtype="int64"), minlength=len(test.distinct))
-        rare = (test.distinct & (texts <= max(3, COMMON * len(once)))).tolist()
-        for (d, item), runs in found.items():
+        rare = test.distinct.tolist()
+        for (d, number), runs in found.items():
             start = int(ends[d]) - len(docs[d][1]) - 1
+            item, begin, words = test.item[number]
             covered: set[int] = set()
             for h, t, n in runs:
-                piece = set(range(t, t + n))
-                _extend(docs[d][1], words, h - start + n, t + n, 1, piece)
-                _extend(docs[d][1], words, h - start - 1, t - 1, -1, piece)
-                if len(piece) >= LONG or len(piece) >= PIECE and any(rare[words[q]] for q in piece):
+                piece = set(range(t - begin, t - begin + n))
+                _extend(docs[d][1], words, h - start + n, t - begin + n, 1, piece)
+                _extend(docs[d][1], words, h - start - 1, t - begin - 1, -1, piece)
+                if len(piece) >= LONG or any(rare[words[q]] for q in piece):
                     covered |= piece
             out.append((docs[d][0], item, leaked_words(covered)))
         return out

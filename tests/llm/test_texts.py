@@ -86,6 +86,21 @@ def test_find_leaks(spark):
     assert leakage.clean_corpus(docs, leakage.find_leaks(docs, test)).count() == len(texts) - 4
 
 
+def test_leaks_do_not_depend_on_the_other_documents(spark):
+    rng = random.Random(7)
+    name = lambda: "".join(rng.choice("bdfghjklmn") + rng.choice("aeiou") for _ in range(4))
+    words = [[name() for _ in range(60)] for _ in range(4)]
+    test = spark.createDataFrame([(n, " ".join(w)) for n, w in enumerate(words)], "item_id long, text string")
+    noise = lambda n: " ".join(name() for _ in range(n))
+    texts = [noise(5) + " " + " ".join(words[0][10:26]) + " " + noise(n) for n in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert {(r["doc_id"], r["words"]) for r in leakage.find_leaks(docs, test).collect()} == {(n, 16) for n in range(30)}
+    pieces = " ".join(words[1][5:10]) + " " + noise(20) + " " + " ".join(words[1][10:15]) + " " + noise(20) + " " + " ".join(words[1][15:20])
+    over = " ".join(words[2][-8:]) + " of " + " ".join(words[3][:8])  # the end of an item and the beginning of the next
+    docs = spark.createDataFrame([(1, pieces), (2, over)], "doc_id long, text string")
+    assert [(r["doc_id"], r["item_id"], r["words"]) for r in leakage.find_leaks(docs, test).collect()] == [(1, 1, 15)]
+
+
 @pytest.mark.parametrize("counts", [{"a": 500, "b": 300, "c": 7, "d": 193}, {"a": 1}, {"a": 333, "b": 333, "c": 334}, {}])
 def test_pfair_deviates_by_less_than_a_block(counts):
     order, seen, whole = mixing.pfair(counts), dict.fromkeys(counts, 0), sum(counts.values())
