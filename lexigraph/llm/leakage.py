@@ -14,12 +14,11 @@ from pyspark.sql import functions as F
 
 #: Running words of an item that make a leak, and the share of them that must agree.
 LEAK_WORDS, AGREE = 14, 0.8
-#: A piece of fewer words without a distinctive one is a set phrase and no part of a passage.
-LONG = 28
 #: Shortest verbatim match that is looked up, and the depth in words to which suffixes are sorted.
 SEED, DEPTH = 4, 16
-#: A word is distinctive if at most this share of the items, or three of them, hold it.
-DISTINCT_SHARE = 0.025
+#: A word is distinctive if at most this share of the items, or three of them, hold it. A piece without one, of fewer than
+#: LEAK_WORDS words on end and LONG in all, is a set phrase and no part of a passage.
+DISTINCT_SHARE, LONG = 0.025, 28
 #: A shard closes at so many words.
 SHARD_WORDS = 1_500_000
 _MARKS = re.compile("[̀-ًͯ-ٰٟ]+")
@@ -56,12 +55,11 @@ class Items:
         self.ids = np.array(ids + pad, dtype="int32")
         self.owner = np.array(owner + pad[:0], dtype="int64")
         starts = np.arange(len(ids))
-        whole, rare = np.ones(len(ids), dtype=bool), np.zeros(len(ids), dtype=bool)
+        whole = np.ones(len(ids), dtype=bool)
         for k in range(SEED):
             whole &= self.ids[starts + k] > 0
-            rare |= self.distinct[self.ids[starts + k]]
-        #: The suffixes that are searched: those that begin with a seed that holds a distinctive word.
-        self.suffixes = starts[whole & rare]
+        #: The suffixes that are searched: all that begin with a seed.
+        self.suffixes = starts[whole]
 
 
 def suffix_array(ids: np.ndarray) -> np.ndarray:
@@ -143,6 +141,24 @@ def _extend(text: list[int], item: list[int], p: int, q: int, step: int, covered
             return
 
 
+def _goes_on(ids: np.ndarray, items: Items, p: np.ndarray, q: np.ndarray, step: int) -> np.ndarray:
+    """Whether _extend would go on from these places; true for some more, at the ends of texts."""
+    out = np.zeros(len(p), dtype=bool)
+    for a, b in _SKIPS:
+        two = np.ones(len(p), dtype=bool)
+        for k in range(2):
+            x = ids[np.clip(p + (a + k) * step, 0, len(ids) - 1)]
+            two &= (x > 0) & (x == items.ids[np.clip(q + (b + k) * step, 0, len(items.ids) - 1)])
+        out |= two
+    return out
+
+
+def _holds(marks: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether a place from start on, of so many, is marked."""
+    before = np.r_[0, np.cumsum(marks)]
+    return before[start + length] > before[start]
+
+
 def leaked_words(covered: set[int]) -> int:
     """Most words from one covered word of the item to another of which AGREE are covered."""
     places, best = sorted(covered), 0
@@ -160,12 +176,11 @@ def leaked_words(covered: set[int]) -> int:
 def find_leaks(documents: DataFrame, items: DataFrame, least: int = LEAK_WORDS) -> DataFrame:
     """(doc_id, item_id, words): documents that hold ``least`` or more running words of an item, and how many.
 
-    A shard of the documents is one suffix array over word ids; every test suffix that begins with a distinctive seed is
+    A shard of the documents is one suffix array over word ids; every test suffix is
     looked up in it by binary search, its verbatim matches are made as long as they go, and go on over changed, missing
     or added words. The matches of a document may lie anywhere in it: they are laid out on the item, and the longest
-    stretch of which AGREE agrees counts; set phrases, told by the items alone, count for nothing, so a document's leaks do not
-    depend on the others of its shard. Case, accents, punctuation and white space are ignored. Seeds of common words
-    alone find nothing. Null and empty texts, and items shorter than a leak, give no rows;
+    stretch of which AGREE agrees counts; set phrases under LEAK_WORDS words, told by the items alone, count for nothing, so a
+    document's leaks do not depend on the others of its shard. Case, accents, punctuation and white space are ignored. Null and empty texts, and items shorter than a leak, give no rows;
     a repeated doc_id is reported once. The items, a held-out set, are broadcast; documents never leave their task.
     """
     spark = documents.sparkSession
@@ -176,6 +191,9 @@ def find_leaks(documents: DataFrame, items: DataFrame, least: int = LEAK_WORDS)
         ids = np.r_[flat, np.zeros(DEPTH, dtype="int32")]
         ends = np.cumsum([len(x) + 1 for _, x in docs])
         here, there, length = matches(ids, test)
+        sure = (length >= LEAK_WORDS) | _holds(test.distinct[test.ids], there, length)
+        more = _goes_on(ids, test, here + length, there + length, 1) | _goes_on(ids, test, here - 1, there - 1, -1)
+        here, there, length = (x[sure | more] for x in (here, there, length))  # the others are set phrases, whole
         found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
         for d, h, t, n in zip(np.searchsorted(ends, here, side="right").tolist(), here.tolist(), there.tolist(), length.tolist()):
             found.setdefault((d, int(test.owner[t])), []).append((h, t, n))
@@ -189,7 +207,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, least: int = LEAK_WORDS)
                 piece = set(range(t - begin, t - begin + n))
                 _extend(docs[d][1], words, h - start + n, t - begin + n, 1, piece)
                 _extend(docs[d][1], words, h - start - 1, t - begin - 1, -1, piece)
-                if len(piece) >= LONG or any(rare[words[q]] for q in piece):
+                if n >= LEAK_WORDS or len(piece) >= LONG or any(rare[words[q]] for q in piece):
                     covered |= piece
             out.append((docs[d][0], item, leaked_words(covered)))
         return out

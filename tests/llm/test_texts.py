@@ -101,6 +101,17 @@ def test_leaks_do_not_depend_on_the_other_documents(spark):
     assert [(r["doc_id"], r["item_id"], r["words"]) for r in leakage.find_leaks(docs, test).collect()] == [(1, 1, 15)]
 
 
+def test_leaks_of_words_that_many_items_share(spark):
+    rng = random.Random(9)
+    name = lambda: "".join(rng.choice("bdfghjklmn") + rng.choice("aeiou") for _ in range(4))
+    noise = lambda n: " ".join(name() for _ in range(n))
+    shared = noise(20).split()
+    test = spark.createDataFrame([(n, f"{noise(20)} {' '.join(shared)} {noise(20)}") for n in range(8)], "item_id long, text string")
+    docs = [(1, f"{noise(9)} {' '.join(shared[2:16])} {noise(9)}"), (2, f"{noise(9)} {' '.join(shared[2:15])} {noise(9)}")]
+    got = leakage.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), test).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["words"]) for r in got) == [(1, n, 14) for n in range(8)]
+
+
 @pytest.mark.parametrize("counts", [{"a": 500, "b": 300, "c": 7, "d": 193}, {"a": 1}, {"a": 333, "b": 333, "c": 334}, {}])
 def test_pfair_deviates_by_less_than_a_block(counts):
     order, seen, whole = mixing.pfair(counts), dict.fromkeys(counts, 0), sum(counts.values())
