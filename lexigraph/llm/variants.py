@@ -18,8 +18,8 @@ PERSONS = ("Person", "Sahabi", "Sahabiya", "Child", "Opponent", "Tribe", "Group"
 FULL = r"^\S{2,} ibn \S{2,} al \S+$"
 INITIAL = r"^\S ibn | ibn \S al "
 TRIBE = r"^banu \S+$"
-#: A nickname that stands beside more different persons than this in the records is nobody's own.
-OWN_AT_MOST = 2
+#: A nickname is a person's own if more than this share of the different records that name it beside somebody name that person.
+OWN_SHARE = 1 / 3
 
 
 def _shifts(shorter: bool) -> list[tuple[int, int, int, int, int]]:
@@ -80,8 +80,9 @@ def link_variants(records: DataFrame) -> DataFrame:
     persons and names of tribes that are within EDITS edits of one another are one entity: each is tied to the nearest
     spellings that more records use, so two neighbours are not joined by a slip between them. Names in another form (short,
     with an initial, by the son, a nickname, in Arabic script) are attached to the entity whose form they are if it is one,
-    else to those that a record names beside them: they never join two entities. A nickname beside more than OWN_AT_MOST
-    persons counts for none. Null, blank and repeated strings and empty alias lists add nothing; records of other types are
+    else to those that a record names beside them: they never join two entities. Such a name is a
+    person's if more than OWN_SHARE of the different records with it name that person, whose spellings of one consonant
+    skeleton count together, so one shared by many is nobody's, and a stray record changes nothing at any size. Null, blank and repeated strings and empty alias lists add nothing; records of other types are
     left out; extra columns are ignored. A hot name is one row here, as strings are counted before they are compared.
     """
     spark = records.sparkSession
@@ -120,21 +121,30 @@ def link_variants(records: DataFrame) -> DataFrame:
     formed = scratch.keep(formed.unionByName(by_slip), "formed")
 
     # 3. What records name beside one another.
-    at = texts.select("text", "key").join(keys.select("key", "kind", "grp"), "key").select("text", "kind", "grp")
-    said = said.select("row", "text").join(at, "text").select("row", "kind", "grp").distinct()
+    at = texts.select("text", "key").join(keys.select("key", "kind", "grp"), "key")
+    said = said.select("row", "text").join(at, "text").select("row", "key", "kind", "grp").distinct()
     sole = formed.groupBy("grp").agg(F.min("entity").alias("entity"), F.count("*").alias("c")).filter("c = 1").select("grp", "entity")
     sure = said.filter("kind IN ('full', 'tribe')").select("row", F.col("grp").alias("entity")).unionByName(said.join(sole, "grp").select("row", "entity")).distinct()
-    beside = said.filter("kind NOT IN ('full', 'tribe')").select("row", "grp", "kind").join(sure, "row")
-    beside = beside.select("grp", "kind", "entity").distinct()
     family = lambda c: F.regexp_extract(c, r" al (\S+)$", 1)
     kin = (family("grp") != "") & (F.levenshtein(family("grp"), family("entity")) <= EDITS)
-    spread = beside.groupBy("grp").agg(F.countDistinct("entity").alias("persons"))
-    beside = beside.join(spread, "grp").filter(kin | (F.col("persons") <= OWN_AT_MOST)).select("grp", "entity")
+    beside = said.filter("kind NOT IN ('full', 'tribe')").select("row", "key", "grp").join(sure, "row")
+    beside = scratch.keep(beside.withColumns({"kin": kin, "person": F.expr(skeleton("entity"))}), "beside")
+
+    def own(by: str) -> DataFrame:
+        whole = beside.groupBy(by).agg(F.countDistinct("row").alias("whole"))
+        part = beside.groupBy(by, "person").agg(F.countDistinct("row").alias("part"), F.collect_set(F.struct("entity", "kin")).alias("e"))
+        listed = part.join(whole, by).select(by, "part", "whole", F.inline("e"))
+        return listed.filter(F.col("kin") | (F.col("part") > OWN_SHARE * F.col("whole"))).select(by, "entity").distinct()
+
     several = formed.groupBy("grp").agg(F.count("*").alias("c")).filter("c > 1").select("grp")
-    told = formed.join(several, "grp", "left_semi").join(beside, ["grp", "entity"], "left_semi")  # of several, those named beside it
-    other = beside.join(formed.select("grp").distinct(), "grp", "left_anti")
-    attached = scratch.keep(sole.unionByName(told).unionByName(other).distinct(), "attached")
-    entity = keys.join(attached, "grp", "left").select("key", F.coalesce("entity", "grp").alias("entity"))
+    told = formed.join(several, "grp", "left_semi").join(own("grp"), ["grp", "entity"], "left_semi")  # of several, those named beside it
+    attached = scratch.keep(sole.unionByName(told).join(keys.select("key", "grp"), "grp").select("key", "entity"), "attached")
+    # Others by what stands beside the spelling itself (two persons' nicknames may be near), else beside its neighbours.
+    rest = keys.filter("kind NOT IN ('full', 'tribe')").select("key", "grp").join(formed.select("grp").distinct(), "grp", "left_anti")
+    seen = beside.select("key").distinct()
+    other = rest.join(own("key"), "key").select("key", "entity").unionByName(rest.join(seen, "key", "left_anti").join(own("grp"), "grp").select("key", "entity"))
+    attached = attached.unionByName(other).distinct()
+    entity = keys.join(attached, "key", "left").select("key", F.coalesce("entity", "grp").alias("entity"))
 
     names = rows.select(F.col("name").alias("text")).filter("text IS NOT NULL").distinct()
     return names.join(texts.select("text", "key"), "text").join(entity, "key").select(F.col("text").alias("name"), "entity").distinct()

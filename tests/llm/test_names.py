@@ -108,3 +108,13 @@ def test_link_variants(spark):
     tribe = sorted({r[0] for r in rows[8:11]})
     assert got == {(a, b) for g in (person, tribe) for a in g for b in g if a < b}
     assert variants.variant_pairs(variants.link_variants(df.limit(0))).count() == 0
+
+
+def test_nickname_is_whose_records_name_it(spark):
+    main, strays = "Tufuziw ibn Raftan al-Jurtijtashi", ["Hidjus ibn Kallubar al-Rakdifbizi", "Sambin ibn Zulfit al-Tatshuswani"]
+    rows = [(main, ["Dhu l-Zanjubarif", f"x{n}"], None, "Person") for n in range(8)] + [(s, ["Dhu l-Zanjubarif"], None, "Person") for s in strays]
+    rows += [("Dhu l-Zanjubarif", [], None, "Person"), ("Dhu l-Zanjubaruf", [strays[0]], None, "Person")]  # another's nickname, one letter apart
+    rows += [(n, ["le chef"], None, "Person") for n in (main, *strays, "Dulbaz ibn Ghumakad al-Shilbuziti")] + [("le chef", [], None, "Person")]  # nobody's own
+    df = spark.createDataFrame(rows, "name string, aliases array<string>, normalized_name string, type string")
+    got = {tuple(r) for r in variants.variant_pairs(variants.link_variants(df)).collect()}
+    assert got == {("Dhu l-Zanjubarif", main), ("Dhu l-Zanjubaruf", strays[0])}
