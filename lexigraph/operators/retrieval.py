@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.similarity import cosine, gestalt_column
 from ..functions.text import SPACE, normalize_name
 from ..joins import maybe_broadcast
+from ..scratch import Scratch
 
 # Words without meaning for a search, in the languages of the corpus; a parameter of the functions below.
 STOP_WORDS = ("the of and to in a an is was were for on at by with as de la le les des du un une et en à au aux dans sur par pour que qui ce se sa son ses").split()
@@ -42,22 +43,38 @@ def postings(documents: DataFrame, key: str, text: str) -> DataFrame:
     return words.select(key, "length", F.explode("w").alias("term")).groupBy("term", key, "length").agg(F.count("*").alias("tf"))
 
 
-def bm25_topk(documents: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, k: int = 15, k1: float = 1.2, b: float = 0.75, most_df: float = 0.5) -> DataFrame:
+def bm25_topk(documents: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, k: int = 15, k1: float = 1.2, b: float = 0.75, most_df: float | None = None, often: float = 0.02) -> DataFrame:
     """(query_key, key, score, rank): the k best texts of each query. Only postings of query terms are kept, before any shuffle.
 
-    A term that more than most_df of the texts hold tells nothing and is left out: it is there that the classical weight
-    turns negative, and its postings would pair nearly all texts with nearly all queries.
+    Terms that more than the share ``often`` of the texts hold would pair nearly all texts with nearly all queries. Their
+    weights are summed a text for each different set of them that queries have, and a set's k best texts and the texts
+    with any other term of the query hold the k best of the query: every weight is positive, so the result is that of all
+    pairs whatever ``often`` is. ``most_df`` leaves out terms that more than this share of the texts hold.
     """
     asked = queries.select(query_key, F.explode(F.array_distinct(terms(F.col(query_text)))).alias("term"))
+    scratch = Scratch(documents.sparkSession, "bm25")
     wanted = maybe_broadcast(asked.select("term").distinct())
     sized = documents.select(key, terms(F.col(text)).alias("w")).withColumn("length", F.size("w"))
     stats = sized.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     hits = sized.select(key, "length", F.explode("w").alias("term")).join(wanted, "term").groupBy("term", key, "length").agg(F.count("*").alias("tf"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(stats.select("n"))).filter(F.col("df") <= most_df * F.col("n")).select("term", "df")
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    scored = hits.join(maybe_broadcast(df), "term").join(F.broadcast(stats)).withColumn("part", part).join(maybe_broadcast(asked), "term")
-    total = scored.groupBy(query_key, key).agg(F.round(F.sum("part"), 6).alias("score"))
+    hits = scratch.keep(hits, "hits")
+    df = hits.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(stats))
+    if most_df is not None:
+        df = df.filter(F.col("df") <= most_df * F.col("n"))
+    df = scratch.keep(df.select("term", "mean", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), (F.col("df") > often * F.col("n")).alias("common")), "df")
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
+    parts = hits.join(maybe_broadcast(df), "term").select("term", key, "common", part.alias("part"))
+    common = parts.filter("common").groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "part")))).alias("weights"))
+    known = asked.join(df.select("term", "common"), "term")
+    sets = known.filter("common").groupBy(query_key).agg(F.array_sort(F.collect_list("term")).alias("common_terms"))
+    weight = F.aggregate("common_terms", F.lit(0.0), lambda x, t: x + F.coalesce(F.try_element_at("weights", t), F.lit(0.0)))
+    base = common.join(F.broadcast(sets.select("common_terms").distinct())).select("common_terms", key, F.round(weight, 6).alias("score")).filter("score > 0")
+    best = base.withColumn("_r", F.row_number().over(Window.partitionBy("common_terms").orderBy(F.desc("score"), key))).filter(F.col("_r") <= k)
+    best = maybe_broadcast(sets).join(best, "common_terms").select(query_key, key, "score")
+    rare = parts.filter("NOT common").join(maybe_broadcast(known.filter("NOT common").select(query_key, "term")), "term").groupBy(query_key, key).agg(F.sum("part").alias("rare"))
+    rare = rare.join(maybe_broadcast(sets), query_key, "left").join(common, key, "left")
+    rare = rare.select(query_key, key, F.round(F.col("rare") + F.when(F.col("weights").isNotNull() & F.col("common_terms").isNotNull(), weight).otherwise(0.0), 6).alias("score"))
+    total = best.unionByName(rare).groupBy(query_key, key).agg(F.max("score").alias("score"))
     ranked = total.withColumn("rank", F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), key)))
     return ranked.filter(F.col("rank") <= k)
 

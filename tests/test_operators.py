@@ -221,3 +221,21 @@ def test_sources(spark, tmp_path):
     assert tb.image_assets(images).first()["image_urls"] == ["a", "b"]
     pages = spark.createDataFrame([(["1", "x", "2"],), (["x"],)], "p array<string>").select(tb.identity_pages(F.col("p")).alias("p"))
     assert [r["p"] for r in pages.collect()] == [[1, 2], [1000]]
+
+
+def test_bm25_counts_every_term_at_any_split(spark):
+    import math
+
+    rng = random.Random(5)
+    texts = [" ".join(["al"] * rng.randrange(3) + ["ibn"] * rng.randrange(2) + rng.choices("abcdefgh", k=rng.randrange(1, 9))) for _ in range(120)]
+    asked = ["al", "who is al ibn", "ibn a", "al ibn b c", "h", "nothing"]
+    split = [t.split() for t in texts]
+    n, mean = len(split), sum(map(len, split)) / len(split)
+    df = {t: sum(t in w for w in split) for t in {t for q in asked for t in q.split()}}
+    want = set()
+    for q, question in enumerate(asked):
+        scores = [(-round(sum(math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * w.count(t) * 2.2 / (w.count(t) + 1.2 * (0.25 + 0.75 * len(w) / mean)) for t in question.split() if t in w), 6), i) for i, w in enumerate(split)]
+        want |= {(q, i, r + 1) for r, (s, i) in enumerate(sorted(x for x in scores if x[0] < 0)[:7])}
+    docs, queries = spark.createDataFrame(list(enumerate(texts)), "i int, t string"), spark.createDataFrame(list(enumerate(asked)), "q int, text string")
+    for options in ({}, {"often": 0.0}, {"often": 0.3}, {"often": 0.5}, {"often": 1.0}):
+        assert {(r["q"], r["i"], r["rank"]) for r in rt.bm25_topk(docs, queries, "i", "t", "q", "text", 7, **options).collect()} == want
