@@ -665,7 +665,7 @@ def _echo(prompts: list[str]) -> list[str]:
 @query()
 def graph_extraction(spark, d):
     units = chunk_rows(spark, d).filter("chunk_text IS NOT NULL").select(F.col("chunk_id").alias("unit_id"), F.col("chunk_text").alias("text"))
-    return pv.answers_to_graph(pv.extract_graph(units, _echo, gleanings=0))[0].groupBy("title").agg(F.count("*").alias("units"))
+    return pv.answers_to_graph(pv.extract_graph(units, _echo))[0].groupBy("title").agg(F.countDistinct("unit_id").alias("units"))  # a gleaning may name it again
 
 
 @query("SELECT normalized_name AS key, CASE WHEN len(f) <= 1 THEN coalesce(f[1],'') ELSE f[1] || ' ' || f[2] END AS description FROM (SELECT normalized_name, list_sort(list_distinct(list_filter(list(nullif(context_description,'')), lambda x: x IS NOT NULL))) AS f FROM graph_extraction_clean WHERE normalized_name IS NOT NULL GROUP BY 1)")
