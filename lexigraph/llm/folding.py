@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-# Letters with marks, and letters of other scripts that print like a Latin one, by the plain letter they fold to.
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Parameters, not values that must match anything: letters with marks, and letters of other scripts that print like a Latin one, by the plain letter they fold to.
 FOLDS_TO = {
     "a": "àáâãäåāăąаα", "b": "ВΒ", "c": "çćčсС", "d": "ďđḍԁ", "e": "èéêëēĕėęěеЕΕ", "g": "ĝğġģ", "h": "ĥħḥһНΗ", "i": "ìíîïĩīĭįıіІιΙ", "j": "ĵјЈ",
     "k": "ķКΚ", "l": "ĺļľłḷ", "m": "МΜṁ", "n": "ñńņňΝṅ", "o": "òóôõöøōŏőоОοΟ", "p": "рРρΡ", "r": "ŕŗřṛ", "s": "śŝşšṣѕЅ", "t": "ţťŧṭТΤ",
     "u": "ùúûüũūŭůűų", "v": "ν", "w": "ŵ", "x": "хХΧ", "y": "ýÿŷуУΥ", "z": "źżžẓΖ", "ك": "ک", "ي": "یىئ", "ه": "ہەة", "ا": "أإآ",
 }
-# Words that stand for one another, by the word they fold to; '' for words without a meaning of their own.
+# Words that stand for one another, by the word they fold to; '' for words without a meaning of their own.
 SAME_WORD = {
     "jabal": "djebel jebel djabal gebel mount mont montagne جبل", "qasr": "ksar kasr qsar palais fort castle قصر", "suk": "souk souq suq soukh marche market سوق",
     "bir": "puits puit well بئر بير بءر", "wadi": "oued ouadi wady vallee valley وادي", "banu": "beni banou bani banoo بنو", "ibn": "bin ben b bn bint binte bent ibnat بن ابن بنت",
@@ -17,9 +20,9 @@ SAME_WORD = {
     "abu": "abou abi ابو", "umm": "oum um oumm ام", "dhu": "dhou dou zu ذو",
     "": "de of des du at prete sayyid cheikh sheikh shaykh hajj imam ra tribe tribu clan les the le la",
 }
-# Spellings of one sound, applied in this order.
+# Spellings of one sound, applied in this order.
 SAME_SOUND = (("ou", "u"), ("oo", "u"), ("ee", "i"), ("ie", "i"), ("dj", "j"), ("ch", "sh"), ("kh", "k"), ("q", "k"), ("c", "k"), ("dh", "d"), ("o", "u"), ("e", "a"), ("y", "i"))
-# Arabic letters by the consonant, or long vowel, that is written for them in Latin letters.
+# Arabic letters by the consonant, or long vowel, that is written for them in Latin letters.
 ARABIC = "ابتثجحخدذرزسشصضطظعغفقكلمنهويءؤ"
 LATIN_ = "_bttjhkddrzsSsdtzaGfkklmnhwy__"
 
@@ -38,12 +41,22 @@ def words(sql: str) -> str:
 
 
 def folded(sql: str) -> str:
-    """The value as it is compared; Arabic script gives '~' and the skeleton, see ``skeleton``.
+    """The value as it is compared, as one expression; ``fold`` gives the same and computes each step once."""
+    return _ending(sql, _plain(sql))
+
+
+def fold(df: DataFrame, text: str, key: str) -> DataFrame:
+    """The column ``key``: the value of the column ``text`` as it is compared. Arabic script gives '~' and the skeleton, see ``skeleton``.
 
     Words of one kind become one word, ibn and bint alike as an abbreviation leaves them open; spellings of one sound
     become one letter, doubled letters single; articles, forms of address, and what says that a place is a town, go; the
     part of a name that was put first goes back to the end. Null stays null; a value without letters becomes ''.
     """
+    return df.withColumn("_plain", F.expr(_plain(text))).withColumn(key, F.expr(_ending(text, "_plain"))).drop("_plain")
+
+
+def _plain(sql: str) -> str:
+    """Words of one kind as one word, the parts of a name in order; before spellings of one sound are made one."""
     pairs = [(w, to) for to, same in SAME_WORD.items() for w in same.split()]
     table = "map(" + ", ".join(f"{_quoted(w)}, {_quoted(to)}" for w, to in pairs) + ")"
     x = f"regexp_replace({words(sql)}, r'\\bbi r\\b', 'bir')"
@@ -56,7 +69,10 @@ def folded(sql: str) -> str:
     x = f"regexp_replace({x}, r'^(\\S{{3,}}?)(?:ibn|bint) (\\S+) al ', '$1 ibn $2 al ')"
     x = f"regexp_replace({x}, r'^ibn (\\S+)$|^(\\S+) banu$', 'banu $1$2')"
     x = f"regexp_replace({x}, r'^al (\\S+) (\\S+(?: ibn .+)?)$', '$2 al $1')"
-    x = f"regexp_replace({x}, r'^(\\S+) (\\S+ ibn \\S+)$', '$2 al $1')"
+    return f"regexp_replace({x}, r'^(\\S+) (\\S+ ibn \\S+)$', '$2 al $1')"
+
+
+def _ending(sql: str, x: str) -> str:
     latin = x
     for spelled, sound in SAME_SOUND:
         latin = f"replace({latin}, '{spelled}', '{sound}')"

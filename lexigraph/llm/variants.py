@@ -6,10 +6,12 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..joins import salted_join
 from ..operators.components import connected_components
 from ..scratch import Scratch
-from .folding import folded, skeleton
+from .folding import fold, skeleton
 
 #: Most edits between two folded spellings of one name, and into how many segments a name is cut for it: any two
 #: segments left unchanged by the edits find the pair.
@@ -36,43 +38,64 @@ def _place(i: str) -> tuple[str, str]:
     return start, f"(l div {SEGMENTS} + int({i} >= {SEGMENTS} - l % {SEGMENTS}))"
 
 
+def _near(keys: DataFrame, against: DataFrame | None, by: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(v, r, edits, and v_x, r_x for each carried column x): what ``close_keys`` finds, before either is put first.
+
+    ``by`` names a column in which both must be equal; it is part of a slot, so others never meet. Probes travel as two 64-bit
+    hashes; the index brings its strings along, the probing side's are fetched by one join, whose partitions also serve the
+    removal of what was found twice.
+    """
+    spark, both = keys.sparkSession, against is not None
+    sized = lambda t: t.filter(F.length("key") >= 2 * SEGMENTS)
+    long, indexed = sized(keys), sized(against if both else keys)
+    same = f", {by}" if by else ""
+    (pi, wi), (pj, wj) = _place("c.i"), _place("c.j")
+    two = ", ".join(f"struct({i} AS i, {j} AS j)" for i, j in combinations(range(SEGMENTS), 2))
+    more = "".join(f", {c} AS r_{c}" for c in carry)
+    index = indexed.selectExpr("*", "length(key) AS l", f"explode(array({two})) AS c").selectExpr(
+        f"xxhash64(l, c.i, c.j{same}, substr(key, {pi} + 1, {wi}), substr(key, {pj} + 1, {wj})) AS slot", f"named_struct('r', key{''.join(f", 'r_{c}', {c}" for c in carry)}) AS found"
+    )
+    moves = ", ".join(f"struct({i} AS i, {j} AS j, {d} AS d, {a} AS a, {b} AS b)" for i, j, d, a, b in _shifts(both))
+    probes = long.selectExpr("*", f"explode(array({moves})) AS c").selectExpr("*", "length(key) - c.d AS l")
+    probes = probes.filter(f"l >= 2 * {SEGMENTS} AND {pi} + c.a >= 0 AND {pj} + c.b + {wj} <= length(key)").selectExpr(
+        "xxhash64(key) AS id", f"xxhash64(l, c.i, c.j{same}, substr(key, {pi} + c.a + 1, {wi}), substr(key, {pj} + c.b + 1, {wj})) AS slot"
+    )
+    hits = probes.join(index.hint("merge"), "slot").select("id", "found.*")
+    of = long.select(F.xxhash64("key").alias("id"), F.col("key").alias("v"), *[F.col(c).alias(f"v_{c}") for c in carry])
+    pairs = hits.join(of.hint("merge"), "id").filter("v <> r").dropDuplicates(["id", "r"]).withColumn("edits", F.expr(f"levenshtein(v, r, {EDITS})")).filter("edits >= 0")
+    words = f"size(split(v, ' ')) <> size(split(r, ' ')) OR forall(zip_with(split(v, ' '), split(r, ' '), (x, y) -> levenshtein(x, y) <= IF(greatest(length(x), length(y)) < 6, 1, {EDITS})), t -> t)"
+    return pairs.filter(words).drop("id")
+
+
 def close_keys(keys: DataFrame, against: DataFrame | None = None) -> DataFrame:
     """(a, b, edits): pairs of different strings within EDITS edits, a before b; keys has one column ``key``, distinct.
     With a second table only pairs of a key a and one of that table, b.
 
     Pigeonhole join: each string is cut into SEGMENTS segments, of which EDITS edits leave two unchanged. The inverted index
     holds every pair of segments under their text; a string looks up its substrings at the places that the edits allow.
-    Found pairs are verified by the banded edit distance, and of the edits words under six letters may take one. No pair within the bound is missed; strings shorter than
-    2 * SEGMENTS are not compared. Keys travel as 64-bit hashes; a collision is dropped by the verification.
+    Found pairs are verified by the banded edit distance, and of the edits words under six letters may take one. No pair
+    within the bound is missed; strings shorter than 2 * SEGMENTS are not compared. A collision of hashes is dropped by the
+    verification.
     """
-    spark = keys.sparkSession
-    sized = lambda t: t.filter(F.length("key") >= 2 * SEGMENTS).select("key", F.xxhash64("key").alias("id"))
-    long, indexed = sized(keys), sized(keys if against is None else against)
-    long.createOrReplaceTempView("_long"), indexed.createOrReplaceTempView("_indexed")
-    (pi, wi), (pj, wj) = _place("c.i"), _place("c.j")
-    two = ", ".join(f"struct({i} AS i, {j} AS j)" for i, j in combinations(range(SEGMENTS), 2))
-    index = spark.sql(f"""
-        SELECT id AS r, xxhash64(l, c.i, c.j, substr(key, {pi} + 1, {wi}), substr(key, {pj} + 1, {wj})) AS slot
-        FROM (SELECT key, id, length(key) AS l, explode(array({two})) AS c FROM _indexed)""")
-    moves = ", ".join(f"struct({i} AS i, {j} AS j, {d} AS d, {a} AS a, {b} AS b)" for i, j, d, a, b in _shifts(against is not None))
-    probes = spark.sql(f"""
-        SELECT id AS v, xxhash64(l, c.i, c.j, substr(key, {pi} + c.a + 1, {wi}), substr(key, {pj} + c.b + 1, {wj})) AS slot
-        FROM (SELECT key, id, length(key) - c.d AS l, c FROM (SELECT key, id, explode(array({moves})) AS c FROM _long))
-        WHERE l >= 2 * {SEGMENTS} AND {pi} + c.a >= 0 AND {pj} + c.b + {wj} <= length(key)""")
-    found = probes.join(index.hint("merge"), "slot").filter("v <> r")
-    if against is None:
-        found = found.select(F.least("v", "r").alias("v"), F.greatest("v", "r").alias("r"))
-    a, b = long.select(F.col("id").alias("v"), F.col("key").alias("ka")), indexed.select(F.col("id").alias("r"), F.col("key").alias("kb"))
-    pairs = found.distinct().join(a.hint("merge"), "v").join(b.hint("merge"), "r")
-    pairs = pairs.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")) if against is None else pairs.select(F.col("ka").alias("a"), F.col("kb").alias("b"))
-    pairs = pairs.withColumn("edits", F.expr(f"levenshtein(a, b, {EDITS})")).filter("edits >= 0 AND a <> b")
-    return pairs.filter(f"size(split(a, ' ')) <> size(split(b, ' ')) OR forall(zip_with(split(a, ' '), split(b, ' '), (x, y) -> levenshtein(x, y) <= IF(greatest(length(x), length(y)) < 6, 1, {EDITS})), t -> t)")
+    pairs = _near(keys, against)
+    if against is not None:
+        return pairs.select(F.col("v").alias("a"), F.col("r").alias("b"), "edits")
+    return pairs.select(F.least("v", "r").alias("a"), F.greatest("v", "r").alias("b"), "edits").distinct()
 
 
 def _kind(key: str) -> str:
     return f"CASE WHEN {key} LIKE '~%' THEN 'arabic' WHEN {key} RLIKE r'{INITIAL}' THEN 'initial' WHEN {key} RLIKE r'{FULL}' THEN 'full' WHEN {key} RLIKE r'{TRIBE}' THEN 'tribe' WHEN {key} RLIKE r'^(?:abu|um) \\S+ al \\S+$' THEN 'kunya' WHEN {key} RLIKE r'^\\S+ al \\S+$' THEN 'short' ELSE 'other' END"
 
 
+def _ties(keys: DataFrame) -> DataFrame:
+    """(a, b): each spelling with the nearest ones of its kind that more records use; of equal use the smaller is stronger."""
+    pairs = _near(keys, None, "kind", ("n",))
+    weak = (F.col("v_n") < F.col("r_n")) | (F.col("v_n") == F.col("r_n")) & (F.col("v") > F.col("r"))
+    up = pairs.select(F.when(weak, F.col("v")).otherwise(F.col("r")).alias("a"), F.when(weak, F.col("r")).otherwise(F.col("v")).alias("b"), "edits")
+    least = F.min("edits").over(Window.partitionBy("a"))
+    return up.withColumn("least", least).filter("edits = least").select("a", "b").distinct()
+
+
 def link_variants(records: DataFrame) -> DataFrame:
     """(name, entity): the different name strings with the entities they mean; most mean one, a short name may mean several.
 
@@ -91,69 +114,70 @@ def link_variants(records: DataFrame) -> DataFrame:
     rows = rows.groupBy("name", "aliases", "normalized_name").agg(F.count("*").alias("n"))
     rows = scratch.keep(rows.withColumn("row", F.xxhash64("name", "aliases", "normalized_name")), "rows")
     said = rows.select("row", "n", F.explode(F.array_distinct(F.concat(F.array("name", "normalized_name"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("text")).filter("text IS NOT NULL")
-    texts = said.groupBy("text").agg(F.sum("n").alias("n"))
-    texts = scratch.keep(texts.selectExpr("text", "n", f"{folded('text')} AS key").filter("length(key) > 1"), "texts")
-    keys = texts.groupBy("key").agg(F.sum("n").alias("n")).selectExpr("key", "n", f"{_kind('key')} AS kind")
-    keys = scratch.keep(keys, "keys")
+    texts = scratch.keep(fold(said.groupBy("text").agg(F.sum("n").alias("n")), "text", "key"), "texts").filter("length(key) > 1")
+    keys = scratch.keep(texts.groupBy("key").agg(F.sum("n").alias("n")).selectExpr("key", "n", f"{_kind('key')} AS kind"), "keys")
 
     # 1. Spellings within the bound, each tied to its nearest stronger one of its own kind.
-    near = close_keys(keys.filter("kind NOT IN ('arabic', 'initial')").select("key"))
-    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "edits"))
-    of = lambda side: keys.select(F.col("key").alias(side), F.col("n").alias(f"n{side}"), F.col("kind").alias(f"kind{side}"))
-    up = both.join(of("a"), "a").join(of("b"), "b").filter("kinda = kindb AND (nb > na OR nb = na AND b < a)")
-    least = up.groupBy("a").agg(F.min("edits").alias("edits"))
-    tie = scratch.keep(up.join(least, ["a", "edits"]).select("a", "b"), "ties")
-    groups = connected_components(tie, "a", "b").withColumnRenamed("node", "key")
+    ties = scratch.keep(_ties(keys.filter("kind NOT IN ('arabic', 'initial')")), "ties")
+    groups = connected_components(ties, "a", "b").withColumnRenamed("node", "key")
     keys = scratch.keep(keys.join(groups, "key", "left").withColumn("grp", F.coalesce("component", "key")).drop("component"), "grouped")
 
-    # 2. Entities, and the other forms of their names.
-    core = keys.filter("kind IN ('full', 'tribe')").select("key", F.col("grp").alias("entity"))
-    forms = core.selectExpr("entity", f"""explode(array_distinct(IF(key RLIKE r'{FULL}', array(
+    # 2. Entities, and the other forms of their names; those that nobody wrote have no group.
+    core, loose = keys.filter("kind IN ('full', 'tribe')"), keys.filter("kind NOT IN ('full', 'tribe')")
+    forms = core.selectExpr("grp AS entity", f"""explode(array_distinct(IF(key RLIKE r'{FULL}', array(
         regexp_replace(key, r' ibn \\S+ ', ' '), regexp_replace(key, r'^(.)\\S* ', '$1 '), regexp_replace(key, r' ibn (.)\\S* ', ' ibn $1 '), {skeleton('key')},
-        {skeleton("regexp_replace(key, r' ibn .+ al ', ' al ')")}), array({skeleton('key')})))) AS key""").distinct()
-    loose = keys.filter("kind NOT IN ('full', 'tribe')")
-    formed = loose.select("key", "grp").join(forms, "key").select("grp", "entity").distinct()
+        {skeleton("regexp_replace(key, r' ibn .+ al ', ' al ')")}), array({skeleton('key')})))) AS key""")
+    forms = scratch.keep(forms.join(keys.select("key", "grp"), "key", "left").dropDuplicates(["key", "entity"]), "forms")
+    formed = forms.filter("grp IS NOT NULL").select("grp", "entity").distinct()
     # A loose spelling near a form that nobody wrote is compared with the forms themselves.
-    unsaid = forms.join(keys.select("key"), "key", "left_anti").select("key").distinct()
-    slips = loose.filter("kind IN ('short')").join(formed.select("grp").distinct(), "grp", "left_anti").select("key", "grp")
-    close = close_keys(slips.select("key").distinct(), unsaid.filter("key NOT LIKE '~%' AND key NOT RLIKE r'" + INITIAL + "'"))
-    by_slip = slips.join(close, slips["key"] == close["a"]).join(forms.withColumnRenamed("key", "b"), "b").select("grp", "entity").distinct()
-    formed = scratch.keep(formed.unionByName(by_slip), "formed")
+    unsaid = forms.filter("grp IS NULL").selectExpr("key", "entity", f"{_kind('key')} AS kind").filter("kind = 'short'")
+    slips = loose.filter("kind = 'short'").join(formed.select("grp").distinct(), "grp", "left_anti").select("key", "grp", "kind")
+    close = _near(slips.withColumn("entity", F.lit("")), unsaid.withColumn("grp", F.lit("")), "kind", ("grp", "entity"))
+    formed = scratch.keep(formed.unionByName(close.select(F.col("v_grp").alias("grp"), F.col("r_entity").alias("entity"))).distinct(), "formed")
 
     # 3. What records name beside one another.
-    at = texts.select("text", "key").join(keys.select("key", "kind", "grp"), "key")
-    said = said.select("row", "text").join(at, "text").select("row", "key", "kind", "grp").distinct()
-    sole = formed.groupBy("grp").agg(F.min("entity").alias("entity"), F.count("*").alias("c")).filter("c = 1").select("grp", "entity")
-    sure = said.filter("kind IN ('full', 'tribe')").select("row", F.col("grp").alias("entity")).unionByName(said.join(sole, "grp").select("row", "entity")).distinct()
+    told = scratch.keep(said.select("row", "text").join(texts.select("text", "key"), "text").join(keys.select("key", "kind", "grp"), "key").select("row", "key", "kind", "grp").distinct(), "told")
+    full = F.col("kind").isin("full", "tribe")
+    sole = formed.groupBy("grp").agg(F.min("entity").alias("entity"), F.count("*").alias("c"))
+    several, sole = sole.filter("c > 1").select("grp"), sole.filter("c = 1").select("grp", "entity")
+    sure = told.filter(full).select("row", F.col("grp").alias("entity")).unionByName(told.join(sole, "grp").select("row", "entity"))
     family = lambda c: F.regexp_extract(c, r" al (\S+)$", 1)
     kin = (family("grp") != "") & (F.levenshtein(family("grp"), family("entity")) <= EDITS)
-    beside = said.filter("kind NOT IN ('full', 'tribe')").select("row", "key", "grp").join(sure, "row")
+    beside = told.filter(~full).select("row", "key", "grp").join(sure, "row").distinct()
     beside = scratch.keep(beside.withColumns({"kin": kin, "person": F.expr(skeleton("entity"))}), "beside")
 
     def own(by: str) -> DataFrame:
-        whole = beside.groupBy(by).agg(F.countDistinct("row").alias("whole"))
-        part = beside.groupBy(by, "person").agg(F.countDistinct("row").alias("part"), F.collect_set(F.struct("entity", "kin")).alias("e"))
+        """(by, entity): whose the spelling, or group of spellings, is by what stands beside it."""
+        once = beside.groupBy(by, "row", "person").agg(F.collect_set(F.struct("entity", "kin")).alias("e"))
+        part = once.groupBy(by, "person").agg(F.count("*").alias("part"), F.array_distinct(F.flatten(F.collect_set("e"))).alias("e"))
+        whole = beside.select(by, "row").distinct().groupBy(by).agg(F.count("*").alias("whole"))
         listed = part.join(whole, by).select(by, "part", "whole", F.inline("e"))
         return listed.filter(F.col("kin") | (F.col("part") > OWN_SHARE * F.col("whole"))).select(by, "entity").distinct()
 
-    several = formed.groupBy("grp").agg(F.count("*").alias("c")).filter("c > 1").select("grp")
-    told = formed.join(several, "grp", "left_semi").join(own("grp"), ["grp", "entity"], "left_semi")  # of several, those named beside it
-    attached = scratch.keep(sole.unionByName(told).join(keys.select("key", "grp"), "grp").select("key", "entity"), "attached")
+    by_group = scratch.keep(own("grp"), "own_group")
+    told_of = formed.join(several, "grp", "left_semi").join(by_group, ["grp", "entity"], "left_semi")  # of several, those named beside it
+    attached = loose.select("key", "grp").join(sole.unionByName(told_of), "grp").select("key", "entity")
     # Others by what stands beside the spelling itself (two persons' nicknames may be near), else beside its neighbours.
-    rest = keys.filter("kind NOT IN ('full', 'tribe')").select("key", "grp").join(formed.select("grp").distinct(), "grp", "left_anti")
+    rest = loose.select("key", "grp").join(formed.select("grp").distinct(), "grp", "left_anti")
     seen = beside.select("key").distinct()
-    other = rest.join(own("key"), "key").select("key", "entity").unionByName(rest.join(seen, "key", "left_anti").join(own("grp"), "grp").select("key", "entity"))
-    attached = attached.unionByName(other).distinct()
-    entity = keys.join(attached, "key", "left").select("key", F.coalesce("entity", "grp").alias("entity"))
+    other = rest.join(own("key"), "key").select("key", "entity").unionByName(rest.join(seen, "key", "left_anti").join(by_group, "grp").select("key", "entity"))
+    entity = keys.join(attached.unionByName(other).distinct(), "key", "left").select("key", F.coalesce("entity", "grp").alias("entity"))
 
     names = rows.select(F.col("name").alias("text")).filter("text IS NOT NULL").distinct()
-    return names.join(texts.select("text", "key"), "text").join(entity, "key").select(F.col("text").alias("name"), "entity").distinct()
+    linked = names.join(texts.select("text", "key"), "text").join(entity, "key").select(F.col("text").alias("name"), "entity").distinct()
+    linked = scratch.keep(linked, "linked")
+    scratch.drop("rows", "texts", "keys", "ties", "grouped", "forms", "formed", "told", "beside", "own_group")
+    return linked
 
 
 def variant_pairs(linked: DataFrame) -> DataFrame:
-    """(name_a, name_b): each pair of different strings of one entity, once, name_a before name_b by code point."""
+    """(name_a, name_b): each pair of different strings of one entity, once, name_a before name_b by code point.
+
+    An entity with more than a thousand strings has its pairs made in 64 tasks.
+    """
+    hot = linked.groupBy("entity").count().filter("count > 1000").select("entity")
     a, b = linked.select(F.col("name").alias("name_a"), "entity"), linked.select(F.col("name").alias("name_b"), "entity")
-    return a.join(b, "entity").filter("name_a < name_b").select("name_a", "name_b").distinct()
+    return salted_join(a, b, "entity", hot).filter("name_a < name_b").select("name_a", "name_b").distinct()
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,9 +185,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each name string with the entities it means and their number of strings."""
-    linked = link_variants(spark.read.parquet(f"{sf_dir}/graph_extraction_raw.parquet"))
-    return linked.groupBy("entity").agg(F.count("*").alias("names"), F.min("name").alias("first_name"))
+    """Each name string with the entities it means: the membership."""
+    return link_variants(spark.read.parquet(f"{sf_dir}/graph_extraction_raw.parquet"))
 
 
 QUERIES = {"p5_found": p5_found, "p5_entities": p5_entities}
