@@ -38,6 +38,12 @@ def test_components_are_those_of_union_find(spark, seed):
     assert {r["node"]: r["component"] for r in connected_components(df).collect()} == brute_components(pairs)
 
 
+def test_components_with_a_hot_node_and_a_hot_label_spread_over_tasks(spark):
+    pairs = [("hub", f"h{i:04}") for i in range(2500)] + [(f"h{i:04}", f"z{i:04}") for i in range(0, 2500, 7)] + [(f"c{i:03}", f"c{i + 1:03}") for i in range(40)]
+    df = spark.createDataFrame(pairs, "src string, dst string")
+    assert {r["node"]: r["component"] for r in connected_components(df, spread_from=0).collect()} == brute_components(pairs)
+
+
 def test_components_of_nothing(spark):
     assert connected_components(spark.createDataFrame([], "src string, dst string")).count() == 0
 
