@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import importlib
+from . import canonical, groups, leakage, lookalike, mixing, quality, scanned, survivors, variants
 
-MODULES = ("groups", "lookalike", "survivors", "canonical", "variants", "scanned", "leakage", "mixing", "quality")
-
-
-def _modules():
-    return [importlib.import_module(f"{__package__}.{name}") for name in MODULES]
+#: Imported here, so that a module that cannot be imported fails with this one, where the entry looks for it.
+MODULES = (groups, lookalike, survivors, canonical, variants, scanned, leakage, mixing, quality)
 
 
 def queries() -> dict:
-    return {name: query for module in _modules() for name, query in module.QUERIES.items()}
+    return {name: query for module in MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for module in _modules() for name, sql in module.ORACLES.items()}
+    return {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

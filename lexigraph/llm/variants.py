@@ -160,13 +160,15 @@ def link_variants(records: DataFrame) -> DataFrame:
     # Others by what stands beside the spelling itself (two persons' nicknames may be near), else beside its neighbours.
     rest = loose.select("key", "grp").join(formed.select("grp").distinct(), "grp", "left_anti")
     seen = beside.select("key").distinct()
-    other = rest.join(own("key"), "key").select("key", "entity").unionByName(rest.join(seen, "key", "left_anti").join(by_group, "grp").select("key", "entity"))
-    entity = keys.join(attached.unionByName(other).distinct(), "key", "left").select("key", F.coalesce("entity", "grp").alias("entity"))
+    by_key = scratch.keep(own("key"), "own_key")
+    other = rest.join(by_key, "key").select("key", "entity").unionByName(rest.join(seen, "key", "left_anti").join(by_group, "grp").select("key", "entity"))
+    attached = scratch.keep(attached.unionByName(other).distinct(), "attached")
+    entity = keys.join(attached, "key", "left").select("key", F.coalesce("entity", "grp").alias("entity"))
 
     names = rows.select(F.col("name").alias("text")).filter("text IS NOT NULL").distinct()
     linked = names.join(texts.select("text", "key"), "text").join(entity, "key").select(F.col("text").alias("name"), "entity").distinct()
     linked = scratch.keep(linked, "linked")
-    scratch.drop("rows", "texts", "keys", "ties", "grouped", "forms", "formed", "told", "beside", "own_group")
+    scratch.drop("rows", "texts", "keys", "ties", "grouped", "forms", "formed", "told", "beside", "own_group", "own_key", "attached")
     return linked
 
 
