@@ -43,7 +43,7 @@ def row(i, name, aliases=None, told=None, sure=None, day=0, model="m"):
 
 def best(spark, rows):
     votes = survivors.long_votes(spark.createDataFrame(rows, SCHEMA), "normalized_name", "rec_id", "model", "updated_at", survivors.record_fields())
-    return {(r["key"], r["field"]): r["rec_id"] for r in survivors.best_values(votes, "newest").collect()}
+    return {(r["key"], r["field"]): r["rec_id"] for r in survivors.best_values(votes).collect()}
 
 
 def test_best_value_of_each_field(spark):
