@@ -43,13 +43,13 @@ def postings(documents: DataFrame, key: str, text: str) -> DataFrame:
     return words.select(key, "length", F.explode("w").alias("term")).groupBy("term", key, "length").agg(F.count("*").alias("tf"))
 
 
-def bm25_topk(documents: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, k: int = 15, k1: float = 1.2, b: float = 0.75, most_df: float | None = None, often: float = 0.02) -> DataFrame:
+def bm25_topk(documents: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, k: int = 15, k1: float = 1.2, b: float = 0.75, often: float = 0.02) -> DataFrame:
     """(query_key, key, score, rank): the k best texts of each query. Only postings of query terms are kept, before any shuffle.
 
     Terms that more than the share ``often`` of the texts hold would pair nearly all texts with nearly all queries. Their
     weights are summed a text for each different set of them that queries have, and a set's k best texts and the texts
     with any other term of the query hold the k best of the query: every weight is positive, so the result is that of all
-    pairs whatever ``often`` is. ``most_df`` leaves out terms that more than this share of the texts hold.
+    pairs whatever ``often`` is.
     """
     asked = queries.select(query_key, F.explode(F.array_distinct(terms(F.col(query_text)))).alias("term"))
     scratch = Scratch(documents.sparkSession, "bm25")
@@ -59,8 +59,6 @@ def bm25_topk(documents: DataFrame, queries: DataFrame, key: str, text: str, que
     hits = sized.select(key, "length", F.explode("w").alias("term")).join(wanted, "term").groupBy("term", key, "length").agg(F.count("*").alias("tf"))
     hits = scratch.keep(hits, "hits")
     df = hits.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(stats))
-    if most_df is not None:
-        df = df.filter(F.col("df") <= most_df * F.col("n"))
     df = scratch.keep(df.select("term", "mean", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), (F.col("df") > often * F.col("n")).alias("common")), "df")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
     parts = hits.join(maybe_broadcast(df), "term").select("term", key, "common", part.alias("part"))

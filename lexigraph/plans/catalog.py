@@ -152,10 +152,10 @@ def chunk_texts(spark, d):
     )
 
 
-@query("SELECT md5(string_agg(DISTINCT k, '|' ORDER BY k)) AS digest, count(DISTINCT k) AS keys FROM (SELECT 'llm_cache:' || sha256('[\"' || name || '\"]' || chr(10) || 'mini') AS k FROM graph_extraction_raw WHERE name IS NOT NULL)")
+@query("SELECT DISTINCT name, 'llm_cache:' || sha256('[\"' || name || '\"]' || chr(10) || 'mini') AS key FROM graph_extraction_raw WHERE name IS NOT NULL")
 def cache_keys(spark, d):
-    rows = T(spark, d, "graph_extraction_raw").filter("name IS NOT NULL").select(fx.cache_key(F.array("name"), F.lit("mini")).alias("k")).distinct()
-    return rows.agg(F.md5(F.array_join(F.array_sort(F.collect_list("k")), "|")).alias("digest"), F.count("*").alias("keys"))
+    names = T(spark, d, "graph_extraction_raw").filter("name IS NOT NULL").select("name").distinct()
+    return names.select("name", fx.cache_key(F.array("name"), F.lit("mini")).alias("key"))
 
 
 @query()
@@ -455,12 +455,12 @@ _TERMS = "list_filter(regexp_split_to_array(lower(coalesce({x},'')), '[^\\pL\\pN
 
 @query(f"""WITH d AS (SELECT doc_id, {_TERMS.format(x='text')} AS w FROM documents), s AS (SELECT count(*) AS n, avg(len(w)) AS m FROM d),
   q AS (SELECT DISTINCT item_id, unnest({_TERMS.format(x='question')}) AS t FROM eval_items),
-  h AS (SELECT doc_id, len, t, count(*) AS tf FROM (SELECT doc_id, len(w) AS len, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL), f AS (SELECT t, count(*) AS df FROM h GROUP BY 1 HAVING count(*) <= 0.5 * (SELECT n FROM s)),
+  h AS (SELECT doc_id, len, t, count(*) AS tf FROM (SELECT doc_id, len(w) AS len, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL), f AS (SELECT t, count(*) AS df FROM h GROUP BY 1),
   r AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / m))), 6) AS score FROM h JOIN f USING (t) JOIN q USING (t), s GROUP BY ALL)
-  SELECT item_id, count(*) AS hits, max(score) AS best FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS k FROM r) WHERE k <= 15 GROUP BY 1""")
+  SELECT item_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r) WHERE rank <= 15""")
 def bm25_topk(spark, d):
-    out = rt.bm25_topk(T(spark, d, "documents"), T(spark, d, "eval_items"), "doc_id", "text", "item_id", "question", most_df=0.5)  # as its SQL says
-    return out.groupBy("item_id").agg(F.count("*").alias("hits"), F.max("score").alias("best"))
+    out = rt.bm25_topk(T(spark, d, "documents"), T(spark, d, "eval_items"), "doc_id", "text", "item_id", "question")
+    return out.select("item_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"SELECT term, count(*) AS docs, sum(tf) AS uses FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TERMS.format(x='text')}) AS term FROM documents) GROUP BY ALL) GROUP BY 1")
@@ -717,3 +717,6 @@ def community_contexts(spark, d):
     members = g.communities(T(spark, d, "legacy_relations"), "source", "target")
     told = T(spark, d, "graph_extraction_clean").filter("normalized_name IS NOT NULL").groupBy(F.col("normalized_name").alias("node")).agg(F.max("context_description").alias("description"))
     return idn.community_context(members, told, T(spark, d, "legacy_relations").select("source", "target", F.col("evidence").alias("description")))
+
+
+from . import catalog_resolution  # noqa: E402, F401 - registers its queries
