@@ -79,17 +79,23 @@ def answer_context(rows: DataFrame, order: str) -> DataFrame:
 
 
 def community_context(members: DataFrame, entities: DataFrame, edges: DataFrame, most: int = 10) -> DataFrame:
-    """(community, part, context): the entities and inner edges of each part of a community, the most joined first, for a report.
+    """(level, community, context): of each community its most joined entities and its most frequent inner edges, for a report.
 
-    members: node, community, part, of parts whose size is capped; entities: node, description; edges: source, target, description.
+    members: node, level, community; entities: node, description; edges: source, target, description. ``most`` of each, as the
+    context of a report is bounded; entities by their inner edges, edges by how often they are told, then by name.
     """
-    by = ["community", "part"]
-    names = members.join(entities, "node", "left").withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("node"))).filter(F.col("k") <= most)
-    told = names.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(": ", "node", "description"))), "\n").alias("nodes"))
+    by = ["level", "community"]
     at = lambda end: members.select(F.col("node").alias(end), *by)
-    inner = edges.join(at("source"), "source").join(at("target"), ["target", *by])
-    lines = inner.groupBy(*by).agg(F.array_join(F.slice(F.array_sort(F.collect_set(F.concat_ws(" -> ", "source", "target"))), 1, most), "\n").alias("links"))
-    return told.join(lines, by, "left").select(*by, F.concat_ws("\n\n", "nodes", "links").alias("context"))
+    inner = edges.filter("source <> target").join(at("source"), "source").join(at("target"), ["target", *by])
+    inner = inner.groupBy(*by, "source", "target").agg(F.count("*").alias("n"), F.min("description").alias("description"))
+    joined = inner.select(*by, F.explode(F.array("source", "target")).alias("node"), "n").groupBy(*by, "node").agg(F.sum("n").alias("n"))
+    top = lambda *order: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    names = members.select("node", *by).join(joined, [*by, "node"], "left").withColumn("k", top(F.desc_nulls_last("n"), "node")).filter(F.col("k") <= most).join(entities, "node", "left")
+    told = lambda rows, line: rows.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
+    nodes = told(names, F.concat_ws(": ", "node", "description"))
+    links = inner.withColumn("k", top(F.desc("n"), "source", "target")).filter(F.col("k") <= most)
+    links = told(links, F.concat_ws(": ", F.concat_ws(" -> ", "source", "target"), "description")).withColumnRenamed("text", "links")
+    return nodes.join(links, by, "left").select(*by, F.concat_ws("\n\n", "text", "links").alias("context"))
 
 
 def reports(answers: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import gestalt, gestalt_column, lcs_ratio, metaphone_column
 from ..functions.text import normalize_name, slugify, strip
-from ..joins import maybe_broadcast
+from ..joins import distinct_lists, maybe_broadcast
 from ..scratch import Scratch
 from .components import connected_components
 
@@ -85,22 +85,23 @@ def collapse_clusters(entities: DataFrame, clusters: DataFrame) -> DataFrame:
     """One row a cluster: title, type and category of its head, sum of frequencies, top rank, all sources, descriptions joined."""
     rows = entities.join(clusters, "id")
     first = F.struct((F.col("id") != F.col("pivot")).cast("int"), F.col("pos"), F.col("id"))
-    return rows.groupBy("pivot").agg(
+    out = rows.groupBy("pivot").agg(
         F.min_by("title", first).alias("title"), F.min_by("type", first).alias("type"), F.min_by("category", first).alias("category"), F.sum("frequency").alias("frequency"),
-        F.max("rank").alias("rank"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_ids")))).alias("source_ids"),
-        F.array_join(F.array_sort(F.collect_set(F.nullif(F.col("description"), F.lit("")))), " | ").alias("description"),
-    ).withColumnRenamed("pivot", "id")
+        F.max("rank").alias("rank"), F.array_join(F.array_sort(F.collect_set(F.nullif(F.col("description"), F.lit("")))), " | ").alias("description"),
+    )
+    return out.join(distinct_lists(rows, ["pivot"], "source_ids"), "pivot", "left").withColumn("source_ids", F.coalesce("source_ids", F.array().cast("array<string>"))).withColumnRenamed("pivot", "id")
 
 
 def consolidate(entities: DataFrame) -> DataFrame:
     """One row an id, in order of appearance (pos): first non-null title, type, slug, category, status; descriptions joined;
     frequency is the number of different sources."""
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("pos"))).alias(c)
-    sources = F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_ids"))))
-    return entities.groupBy("id").agg(
+    out = entities.groupBy("id").agg(
         *[first(c) for c in ("title", "type", "slug", "category")], F.array_join(F.array_sort(F.collect_set(F.nullif(F.col("description"), F.lit("")))), " | ").alias("description"),
-        sources.alias("source_ids"), F.max("rank").alias("rank"), F.min("pos").alias("pos"),
-    ).withColumn("frequency", F.size("source_ids"))
+        F.max("rank").alias("rank"), F.min("pos").alias("pos"),
+    )
+    out = out.join(distinct_lists(entities, ["id"], "source_ids"), "id", "left").withColumn("source_ids", F.coalesce("source_ids", F.array().cast("array<string>")))
+    return out.withColumn("frequency", F.size("source_ids"))
 
 
 def valid_redirects(redirects: DataFrame) -> DataFrame:
@@ -140,17 +141,30 @@ def apply_redirects(rows: DataFrame, resolved: DataFrame, *columns: str) -> Data
     return rows
 
 
+def _pieces(text, n):
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(text, i, n if not isinstance(n, int) else F.lit(n))))
+
+
 def anchor(entities: DataFrame, entries: DataFrame) -> DataFrame:
     """(id, candidates, canonical_id, review_status): entries of an entity's category whose slug, or an alias's, is its title's, or
     for keys over four characters contains it (with LIKE, so _ stands for any character).
 
-    One candidate anchors the entity, several leave it PENDING, none NOT_KNOWN. A null category has none. Entries are a
-    reference list; each is compared with an entity of its category once, in blocks, exact keys by an equality join.
+    One candidate anchors the entity, several leave it PENDING, none NOT_KNOWN. A null category has none. Two equality joins: on the
+    key, and on a piece of up to three letters of it, whose hits are checked; no candidate is missed.
     """
     probe = entities.select("id", "category", slugify(F.col("title")).alias("key")).filter("key <> '' AND category IS NOT NULL").distinct()
     keys = entries.select(F.col("slug").alias("entry"), "category", F.explode(F.array_distinct(F.concat(F.array(F.col("slug")), F.transform(F.coalesce("properties.aliases", F.array().cast("array<string>")), slugify)))).alias("k")).filter("k <> ''")
-    keys = maybe_broadcast(keys.withColumnRenamed("category", "_c"))
-    hit = probe.join(keys, (F.col("category") == F.col("_c")) & ((F.col("key") == F.col("k")) | (F.length("key") > 4) & F.expr("k LIKE concat('%', key, '%')")))
+    exact = probe.join(maybe_broadcast(keys), (probe["category"] == keys["category"]) & (F.col("key") == F.col("k"))).select("id", "entry")
+    # A key is looked for by the rarest piece of its longest part without _; one whose piece no entry holds is in none.
+    asked = probe.filter(F.length("key") > 4).select("category", "key").distinct()
+    parts = F.split("key", "_")
+    longest = F.element_at(F.array_sort(F.transform(parts, lambda p: F.struct(F.length(p).alias("n"), p.alias("p")))), -1)["p"]
+    asked = asked.withColumn("_part", longest).withColumn("_w", F.least(F.length("_part"), F.lit(3))).withColumn("piece", F.explode(_pieces(F.col("_part"), F.col("_w")))).drop("_part", "_w")
+    held = keys.withColumn("piece", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(3), F.length("k"))), lambda n: _pieces(F.col("k"), n))))))
+    counts = held.groupBy("category", "piece").agg(F.count("*").alias("n"))
+    rarest = asked.join(maybe_broadcast(counts), ["category", "piece"], "left").groupBy("category", "key").agg(F.min_by("piece", F.struct(F.coalesce("n", F.lit(0)), F.col("piece"))).alias("piece"))
+    within = rarest.join(maybe_broadcast(held), ["category", "piece"]).filter("k LIKE concat('%', key, '%')").select("category", "key", "entry").distinct()
+    hit = exact.unionByName(probe.join(within, ["category", "key"]).select("id", "entry"))
     found = hit.groupBy("id").agg(F.array_sort(F.collect_set("entry")).alias("candidates"))
     out = entities.select("id").distinct().join(found, "id", "left").withColumn("candidates", F.coalesce("candidates", F.array().cast("array<string>")))
     n = F.size("candidates")
@@ -166,10 +180,10 @@ def canonical_merge(members: DataFrame, key: str, priority: dict[str, int]) -> D
     rows = members.filter("name IS NOT NULL").withColumn("_rank", rank)
     out = rows.groupBy(key).agg(
         F.max_by("name", best).alias("name"), F.max_by("type", F.struct("_rank", "type")).alias("type"),
-        F.array_distinct(F.flatten(F.collect_list(F.concat(F.coalesce("aliases", F.array().cast("array<string>")), F.array("name"))))).alias("_all"),
         F.array_join(F.array_sort(F.collect_set(F.nullif(F.trim("context_description"), F.lit("")))), " | ").alias("context_description"), F.max("confidence").alias("confidence"),
     )
-    out = out.withColumn("normalized_name", normalize_name(F.col("name")))
+    named = rows.select(key, F.concat(F.coalesce("aliases", F.array().cast("array<string>")), F.array("name")).alias("_all"))
+    out = out.join(distinct_lists(named, [key], "_all"), key).withColumn("normalized_name", normalize_name(F.col("name")))
     kept = F.array_sort(F.filter("_all", lambda a: a.isNotNull() & (normalize_name(a) != F.col("normalized_name"))))
     none = F.lit("No description available")
     return out.withColumn("aliases", kept).withColumn("context_description", F.coalesce(F.nullif(F.col("context_description"), F.lit("")), none)).drop("_all")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.similarity import cosine, gestalt_column
 from ..functions.text import SPACE, normalize_name
-from ..joins import maybe_broadcast
+from ..joins import hot_values, maybe_broadcast, ranked, salted_join
 from ..scratch import Scratch
 
 # Words without meaning for a search, in the languages of the corpus; a parameter of the functions below.
@@ -23,14 +27,59 @@ def vector_topk(vectors: DataFrame, query: list[float] | Column, k: int = 12, le
     return scored.orderBy(F.desc("score"), key).limit(k)
 
 
-def vector_topk_each(vectors: DataFrame, queries: DataFrame, k: int = 12, least: float = 0.05, key: str = "vec_id", vector: str = "embedding", by: str = "query_id") -> DataFrame:
+#: Numbers in a block of queries (64 MB); more queries are searched block by block.
+QUERY_BLOCK = 8 << 20
+
+
+def vector_topk_each(vectors: DataFrame, queries: DataFrame, k: int = 12, least: float = 0.05, key: str = "vec_id", vector: str = "embedding", by: str = "query_id", block: int = QUERY_BLOCK) -> DataFrame:
     """(by, key, score, rank): the k nearest of each query (by, q: array) with at least the score, ties to the smaller key.
 
-    A stated set of queries against all rows: the queries are a broadcast block, each partition keeps k rows a query before the shuffle.
+    A stated set of queries against all rows: blocks of queries of bounded size are broadcast, one product of matrices scores
+    an Arrow batch against a block, and each batch keeps k rows a query. Null, empty and all-zero vectors, and those of another
+    length than the query, are near to nothing.
     """
-    pairs = vectors.select(key, vector).join(F.broadcast(queries.select(by, "q")))
-    scored = pairs.select(by, key, F.round(cosine(F.col(vector), F.col("q")), 9).alias("score")).filter(F.col("score") >= least)
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), key))).filter(F.col("rank") <= k)
+    spark = vectors.sparkSession
+    asked = queries.select(by, "q").filter("q IS NOT NULL AND size(q) > 0")
+    total = asked.agg(F.sum(F.size("q"))).first()[0] or 0
+    blocks = max(1, -(-total // block))
+    kinds = {c: t for c, t in [*vectors.dtypes, *queries.dtypes]}
+    schema = f"{by} {kinds[by]}, {key} {kinds[key]}, score double"
+    out = None
+    for n in range(blocks):
+        part = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64(by), F.lit(blocks)) == n)
+        rows = part.collect()  # a block of bounded size
+        sizes: dict[int, tuple[list, np.ndarray]] = {}
+        for size in {len(r["q"]) for r in rows}:
+            same = [r for r in rows if len(r["q"]) == size]
+            matrix = np.array([r["q"] for r in same], dtype="float64")
+            norm = np.linalg.norm(matrix, axis=1)
+            sizes[size] = ([r[by] for r, x in zip(same, norm) if x > 0], matrix[norm > 0] / norm[norm > 0, None])
+        found = vectors.select(key, vector).filter(F.col(vector).isNotNull()).mapInPandas(_nearest(spark.sparkContext.broadcast(sizes), k, least, key, vector, by), schema)
+        out = found if out is None else out.unionByName(found)
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), key))).filter(F.col("rank") <= k)
+
+
+def _nearest(shared, k: int, least: float, key: str, vector: str, by: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            lengths = batch[vector].map(len)
+            for size, (names, matrix) in shared.value.items():
+                own = batch[lengths == size]
+                if not len(own) or not names:
+                    continue
+                rows = np.array(own[vector].tolist(), dtype="float64")
+                norm = np.linalg.norm(rows, axis=1)
+                keys = own[key].to_numpy()[norm > 0]
+                order = np.argsort(keys, kind="stable")  # equal scores: the smaller key first
+                keys, rows = keys[order], (rows[norm > 0] / norm[norm > 0, None])[order]
+                scores = np.round(rows @ matrix.T, 9)
+                best = np.argsort(-scores, axis=0, kind="stable")[:k]
+                for j, name in enumerate(names):
+                    at = best[:, j][scores[best[:, j], j] >= least]
+                    if len(at):
+                        yield pd.DataFrame({by: name, key: keys[at], "score": scores[at, j]})
+
+    return run
 
 
 def terms(text: Column) -> Column:
@@ -80,7 +129,7 @@ def bm25_topk(documents: DataFrame, queries: DataFrame, key: str, text: str, que
 def tfidf_pairs(texts: DataFrame, key: str, text: str, least: float = 0.3, block: str | None = None, stop: list[str] = STOP_WORDS) -> DataFrame:
     """(a, b, score): pairs a < b whose TF-IDF vectors (smooth idf + 1, unit length) have at least the cosine, within a block.
 
-    An inverted-index join on terms; stop words are left out of the vectors.
+    An inverted-index join on terms, frequent ones spread over many tasks; stop words are left out of the vectors.
     """
     by = [block] if block else []
     words = texts.select(key, *by, F.explode(F.filter(terms(F.col(text)), lambda w: (F.length(w) > 1) & ~w.isin(stop))).alias("term"))
@@ -88,12 +137,13 @@ def tfidf_pairs(texts: DataFrame, key: str, text: str, least: float = 0.3, block
     n = tf.select(key, *by).distinct().groupBy(*by).agg(F.count("*").alias("n"))
     df = tf.groupBy(*by, "term").agg(F.count("*").alias("df"))
     raw = tf.join(df, [*by, "term"])
-    raw = raw.join(F.broadcast(n), by) if by else raw.join(F.broadcast(n))
+    raw = raw.join(maybe_broadcast(n), by) if by else raw.join(F.broadcast(n))  # one row without blocks
     raw = raw.withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
     norm = raw.groupBy(key, *by).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = raw.join(norm, [key, *by]).select(F.col(key).alias("k"), *by, "term", (F.col("w") / F.col("norm")).alias("w"))
+    unit = raw.join(norm, [key, *by]).select(F.col(key).alias("k"), F.struct(*by, "term").alias("slot"), (F.col("w") / F.col("norm")).alias("w"))
+    unit = Scratch(texts.sparkSession, "tfidf").keep(unit, "unit")
     left, right = unit.withColumnRenamed("k", "a").withColumnRenamed("w", "wa"), unit.withColumnRenamed("k", "b").withColumnRenamed("w", "wb")
-    pairs = left.join(right, [*by, "term"]).filter("a < b").groupBy("a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("score"))
+    pairs = salted_join(left, right, "slot", hot_values(unit, "slot")).filter("a < b").groupBy("a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("score"))
     return pairs.filter(F.col("score") >= least)
 
 
@@ -101,8 +151,11 @@ def rank_fusion(rankings: DataFrame, key: str, k: int = 60, most: int | None = N
     """(by, key, score): sum of 1 / (k + rank) over the rankings (ranking, key, score), rank from 1 by score, ties by key;
     the ``most`` best, of each question where ``by`` names one."""
     by = by or []
-    ranked = rankings.withColumn("rank", F.row_number().over(Window.partitionBy(*by, "ranking").orderBy(F.desc("score"), key)))
-    fused = ranked.groupBy(*by, key).agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 9).alias("score"))
+    if by:  # the rankings of a question are top-k lists
+        placed = rankings.withColumn("rank", F.row_number().over(Window.partitionBy(*by, "ranking").orderBy(F.desc("score"), key)))
+    else:
+        placed = ranked(rankings, ["ranking"], [F.desc("score"), F.col(key)], "rank")
+    fused = placed.groupBy(*by, key).agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 9).alias("score"))
     if most is None or not by:
         return fused if most is None else fused.orderBy(F.desc("score"), key).limit(most)
     return fused.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), key))).filter(F.col("_r") <= most).drop("_r")
@@ -117,7 +170,7 @@ def group_context(hits: DataFrame, chunks: DataFrame, identities: DataFrame | No
     """Hits (by, chunk_id, score) with their chunks, documents by their best score, in a document its identity first, then by
     chunk_index; position numbers the rows of each question. An identity row comes only for a document that has one.
 
-    The hits of a question are a top-k, so one question is one window.
+    The hits of one question are a top-k, so each question is a window; without ``by`` the hits may be many and are numbered by ranges.
     """
     by = by or []
     rows = hits.join(chunks, "chunk_id").select(*by, "chunk_id", "doc_id", "chunk_index", "score", F.lit(False).alias("is_identity"))
@@ -126,8 +179,9 @@ def group_context(hits: DataFrame, chunks: DataFrame, identities: DataFrame | No
     if identities is not None:
         cards = identities.join(best.select(*by, "doc_id"), "doc_id").join(rows.select(*by, "chunk_id"), [*by, "chunk_id"], "left_anti")
         out = out.unionByName(cards.select(*by, "chunk_id", "doc_id", F.lit(-1).alias("chunk_index"), F.lit(1.0).alias("score"), F.lit(True).alias("is_identity")))
-    order = Window.partitionBy(*by).orderBy(F.desc("best"), "doc_id", F.desc("is_identity"), "chunk_index", "chunk_id")
-    return out.join(best, [*by, "doc_id"]).withColumn("position", F.row_number().over(order))
+    order = [F.desc("best"), F.col("doc_id"), F.desc("is_identity"), F.col("chunk_index"), F.col("chunk_id")]
+    out = out.join(best, [*by, "doc_id"])
+    return out.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(*order))) if by else ranked(out, [], order, "position")
 
 
 def fill(first: DataFrame, then: DataFrame, top: int, key: str = "chunk_id") -> DataFrame:
@@ -144,19 +198,40 @@ def top_per_entity(links: DataFrame, k: int, entity: str = "entity_id", order: s
     return links.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def contained_texts(texts: DataFrame, piece: int = 3) -> DataFrame:
+    """(part, whole): pairs of different texts t of which one contains the other, by an index of pieces; none is missed.
+
+    Each text looks, by the rarest of its pieces of ``piece`` letters, for those that hold it; one of fewer letters is a piece itself.
+    """
+    pieces = lambda n: F.transform(F.sequence(F.lit(1), F.length("t") - n + 1), lambda i: F.substr(F.col("t"), i, F.lit(n)))
+    all_ = F.array_distinct(F.concat(*[F.when(F.length("t") >= n, pieces(n)).otherwise(F.array().cast("array<string>")) for n in range(1, piece + 1)]))
+    held = texts.filter("t <> ''").select("t", F.explode(all_).alias("piece"))
+    own = held.filter(F.length("piece") == F.least(F.length("t"), F.lit(piece)))
+    counts = held.groupBy("piece").agg(F.count("*").alias("n"))
+    rarest = own.join(counts, "piece").groupBy(F.col("t").alias("part")).agg(F.min_by("piece", F.struct("n", "piece")).alias("piece"))
+    return rarest.join(held.select("piece", F.col("t").alias("whole")), "piece").filter((F.col("part") != F.col("whole")) & F.col("whole").contains(F.col("part"))).select("part", "whole")
+
+
 def resolve_mentions(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     """(mention, variant, entity, match_score, final_score): the best entity of each mention.
 
     mentions: mention, variants (array, the primary name first). A variant matches an entity by its normalised name exactly (1.0),
     by containment either way (0.8) or by an alias (0.6); the first variant that matches anything wins, then the better match,
-    then more chunks. final_score is the likeness of the variant and the name. Mentions are the few names of a question.
+    then more chunks. final_score is the likeness of the variant and the name. Three equality joins: names, pieces of names,
+    aliases.
     """
     asked = mentions.select("mention", F.posexplode("variants").alias("ord", "variant")).withColumn("v", normalize_name(F.col("variant"))).filter("v <> ''")
-    asked = maybe_broadcast(asked)
     known = entities.select("entity", "chunk_count", normalize_name(F.col("entity")).alias("n"), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), normalize_name).alias("al"))
-    contains = F.col("n").contains(F.col("v")) | F.col("v").contains(F.col("n"))
-    score = F.when(F.col("n") == F.col("v"), 1.0).when((F.col("n") != "") & contains, 0.8).when(F.array_contains("al", F.col("v")), 0.6)
-    hits = known.join(asked, (F.col("n") == F.col("v")) | (F.col("n") != "") & contains | F.array_contains("al", F.col("v"))).withColumn("match_score", score)
+    named = known.filter("n <> ''").select("entity", "chunk_count", "n")
+    exact = named.join(asked, F.col("n") == F.col("v")).withColumn("match_score", F.lit(1.0))
+    # Containment by the pieces of the shorter side: a name's first piece lies in the variant, or the variant's in the name.
+    texts = named.select(F.col("n").alias("t")).unionByName(asked.select(F.col("v").alias("t"))).distinct()
+    within = contained_texts(texts)
+    both = within.unionByName(within.select(F.col("whole").alias("part"), F.col("part").alias("whole")))
+    partly = named.join(both, named["n"] == both["part"]).join(asked, F.col("whole") == F.col("v")).withColumn("match_score", F.lit(0.8))
+    alias = known.select("entity", "chunk_count", "n", F.explode(F.array_distinct("al")).alias("v")).join(asked, "v").withColumn("match_score", F.lit(0.6))
+    columns = ["mention", "ord", "variant", "v", "entity", "n", "chunk_count", "match_score"]
+    hits = exact.select(columns).unionByName(partly.select(columns)).unionByName(alias.select(columns))
     best = hits.groupBy("mention").agg(F.max_by(F.struct("variant", "entity", "match_score", "v", "n"), F.struct(-F.col("ord"), F.col("match_score"), F.col("chunk_count"), F.col("entity"))).alias("h"))
     return best.select("mention", "h.variant", "h.entity", "h.match_score", F.round(gestalt_column(F.col("h.v"), F.col("h.n")), 6).alias("final_score"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import SPACE, clean_heading, content_id, is_toc, strip
+from ..joins import ranked
 from ..schemas import GENERIC_HEADING
 
 
@@ -148,8 +149,8 @@ def toc_units(units: DataFrame, doc: str, order: str, headings: str, text: str,
 
 def batches(rows: DataFrame, order: str, size: int = 22, partition: str | None = None) -> DataFrame:
     """batch: number of the group of ``size`` rows, in order, within the partition where one is given."""
-    w = (Window.partitionBy(partition) if partition else Window.partitionBy(F.lit(0))).orderBy(order)
-    return rows.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("int"))
+    placed = ranked(rows, [partition] if partition else [], [F.col(order)], "_place")
+    return placed.withColumn("batch", F.floor((F.col("_place") - 1) / size).cast("int")).drop("_place")
 
 
 def bounding_box(items: DataFrame, chunk: str, top: str, bottom: str, page: str) -> DataFrame:

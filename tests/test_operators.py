@@ -136,10 +136,19 @@ def test_edge_upsert_counts_on(spark):
     assert again["occurrence_count"] == 4 and again["evidences"] == ["e1"] and again["type"] == "LIVED_IN"
 
 
-def test_communities_are_capped(spark):
-    edges = spark.createDataFrame([("a", f"b{i:02}") for i in range(25)], "s string, t string")
-    got = g.communities(edges, "s", "t", 10).toPandas()
-    assert got["size"].max() <= 10 and len(got) == 26 and got["community"].nunique() == 1
+def test_communities_follow_the_edges(spark):
+    groups = [[f"{g}{i}" for i in range(6)] for g in "abcd"]
+    pairs = [(x, y) for g in groups for x in g for y in g if x < y] + [("a0", "b0"), ("b1", "c1"), ("c2", "d2"), ("d3", "a3"), (None, "x"), ("y", "y")]
+    edges = spark.createDataFrame(pairs, "s string, t string")
+    got = g.communities(edges, "s", "t", 10, 2)
+    first = got.filter("level = 0").cache()
+    of = {}
+    for r in first.collect():
+        of.setdefault(r["community"], set()).add(r["node"])
+        assert r["size"] <= 10 or r["size"] % 6 == 0
+    assert sum(map(len, of.values())) == 24 and all(any(set(m) <= c for c in of.values()) for m in groups)
+    assert g.modularity(edges, "s", "t", first) > 0.4
+    assert g.communities(edges.limit(0), "s", "t").count() == 0
 
 
 def test_strategies():
