@@ -269,10 +269,15 @@ def choose_strategy(matches: list[dict], query_type: str) -> str:
     return "hybrid"
 
 
+def entity_summaries(entities: DataFrame) -> DataFrame:
+    """(entity, chunk_id, text, score): each entity's summary as one chunk of score 0.95; nothing for those without one."""
+    rows = entities.filter(F.trim("summary") != "")
+    return rows.select("entity", F.concat(F.lit("summary_"), "entity").alias("chunk_id"), F.col("summary").alias("text"), F.lit(0.95).alias("score"))
+
+
 def entity_summary(entities: DataFrame, entity: str) -> DataFrame:
-    """The entity's summary as one chunk of score 0.95; nothing if it has none."""
-    rows = entities.filter((F.col("entity") == entity) & (F.trim("summary") != ""))
-    return rows.select(F.concat(F.lit("summary_"), "entity").alias("chunk_id"), F.col("summary").alias("text"), F.lit(0.95).alias("score"))
+    """The entity's summary as one chunk; nothing if it has none."""
+    return entity_summaries(entities.filter(F.col("entity") == entity)).drop("entity")
 
 
 def tag_group(trust: DataFrame, entity_tags: DataFrame, links: DataFrame, tag: str, least: float = 0.6, entities: int = 5, each: int = 2) -> DataFrame:

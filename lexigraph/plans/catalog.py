@@ -362,7 +362,7 @@ def rule_validation(spark, d):
 
 @query()
 def graph_communities(spark, d):
-    return g.communities(T(spark, d, "legacy_relations"), "source", "target")
+    return g.communities(T(spark, d, "legacy_relations"), "source", "target", levels=2, rounds=4)
 
 
 # Resolution
@@ -387,18 +387,21 @@ def entity_consolidate(spark, d):
     return rs.consolidate(rows).select("id", "title", "type", "description", F.col("frequency").cast("long").alias("frequency"))
 
 
-def encyclopedia_entities(spark: SparkSession, d: str) -> DataFrame:
-    return T(spark, d, "encyclopedia").select("id", "title", "category", "type", F.lit(1).alias("frequency"), F.lit(1).alias("rank"), F.array("id").alias("source_ids"), F.col("core_summary").alias("description"), F.xxhash64("id").alias("pos"))
+def named_entities(spark: SparkSession, d: str) -> DataFrame:
+    """The keyed records as entities, one row a normalised name, with the number of its records."""
+    rows = T(spark, d, "graph_extraction_clean").filter("normalized_name IS NOT NULL AND name IS NOT NULL").groupBy(F.col("normalized_name").alias("id"))
+    rows = rows.agg(F.min_by("name", "rec_id").alias("title"), F.min("type").alias("type"), F.count("*").cast("int").alias("frequency"), F.min("rec_id").alias("pos"), F.max("context_description").alias("description"))
+    return rows.withColumns({"category": fx.type_category(F.col("type")), "rank": F.lit(1), "source_ids": F.array("id")})
 
 
 @query()
 def greedy_pivot(spark, d):
-    return rs.greedy_pivots(encyclopedia_entities(spark, d))
+    return rs.greedy_pivots(named_entities(spark, d))
 
 
 @query()
 def cluster_collapse(spark, d):
-    e = encyclopedia_entities(spark, d)
+    e = named_entities(spark, d)
     return rs.collapse_clusters(e, rs.greedy_pivots(e)).select("id", "title", "frequency", F.size("source_ids").alias("sources"))
 
 
@@ -430,11 +433,20 @@ def redirects(spark, d):
     return rs.resolve_redirects(rs.valid_redirects(p))
 
 
-@query()
-def resolution_groups(spark, d):
-    e = T(spark, d, "encyclopedia").filter("core_summary IS NOT NULL").select("slug", "category", F.concat_ws(" ", "title", "core_summary").alias("t"))
-    pairs = rt.tfidf_pairs(e, "slug", "t", 0.6, "category")
-    return rs.similarity_groups(pairs, e.select(F.col("slug").alias("node")), 0.6)
+_KEYED = "(SELECT normalized_name AS id, coalesce(min(type),'') AS type, normalized_name || ' ' || coalesce(max(context_description),'') AS t FROM graph_extraction_clean WHERE normalized_name IS NOT NULL GROUP BY 1)"
+
+
+def keyed(spark: SparkSession, d: str) -> DataFrame:
+    """The keyed records: one row a normalised name, with the text by which names are compared."""
+    rows = T(spark, d, "graph_extraction_clean").filter("normalized_name IS NOT NULL").groupBy(F.col("normalized_name").alias("id")).agg(F.coalesce(F.min("type"), F.lit("")).alias("type"), F.max("context_description").alias("c"))
+    return rows.select("id", "type", F.concat(F.col("id"), F.lit(" "), F.coalesce("c", F.lit(""))).alias("t"))
+
+
+def _tfidf(least: float) -> str:
+    return f"""w AS (SELECT id, type, unnest({_TERMS.format(x='t')}) AS t FROM {_KEYED}), tf AS (SELECT id, type, t, count(*) AS tf FROM w WHERE length(t) > 1 AND t NOT IN {_stop()} GROUP BY ALL),
+  n AS (SELECT type, count(DISTINCT id) AS n FROM tf GROUP BY 1), df AS (SELECT type, t, count(*) AS df FROM tf GROUP BY ALL),
+  x AS (SELECT id, type, t, tf * (ln((1+n)/(1+df)) + 1) AS w FROM tf JOIN n USING (type) JOIN df USING (type, t)), u AS (SELECT id, type, t, w / sqrt(sum(w*w) OVER (PARTITION BY id)) AS w FROM x),
+  p AS (SELECT a, b, score FROM (SELECT a.id AS a, b.id AS b, round(sum(a.w*b.w), 6) AS score FROM u a JOIN u b ON a.type = b.type AND a.t = b.t AND a.id < b.id GROUP BY 1, 2) WHERE score >= {least})"""
 
 
 # Retrieval
@@ -472,13 +484,16 @@ def _stop() -> str:
     return "(" + ",".join(f"'{w}'" for w in rt.STOP_WORDS) + ")"
 
 
-@query(f"""WITH w AS (SELECT slug, category, unnest({_TERMS.format(x="title || ' ' || coalesce(core_summary,'')")}) AS t FROM encyclopedia WHERE category IS NOT NULL), tf AS (SELECT slug, category, t, count(*) AS tf FROM w WHERE length(t) > 1 AND t NOT IN {_stop()} GROUP BY ALL),
-  n AS (SELECT category, count(DISTINCT slug) AS n FROM tf GROUP BY 1), df AS (SELECT category, t, count(*) AS df FROM tf GROUP BY ALL),
-  x AS (SELECT slug, category, t, tf * (ln((1+n)/(1+df)) + 1) AS w FROM tf JOIN n USING (category) JOIN df USING (category, t)), u AS (SELECT slug, category, t, w / sqrt(sum(w*w) OVER (PARTITION BY slug)) AS w FROM x)
-  SELECT a, b, score FROM (SELECT a.slug AS a, b.slug AS b, round(sum(a.w*b.w), 6) AS score FROM u a JOIN u b ON a.category = b.category AND a.t = b.t AND a.slug < b.slug GROUP BY 1, 2) WHERE score >= 0.5""")
+@query(f"WITH {_tfidf(0.3)} SELECT * FROM p")
 def tfidf_pairs(spark, d):
-    e = T(spark, d, "encyclopedia").filter("category IS NOT NULL").select("slug", "category", F.concat(F.col("title"), F.lit(" "), F.coalesce("core_summary", F.lit(""))).alias("t"))
-    return rt.tfidf_pairs(e, "slug", "t", 0.5, "category")
+    return rt.tfidf_pairs(keyed(spark, d), "id", "t", 0.3, "type")
+
+
+@query(f"""WITH RECURSIVE {_tfidf(0.3)}, e AS (SELECT a AS x, b AS y FROM p UNION SELECT b, a FROM p), reach(x, y) AS (SELECT id, id FROM {_KEYED} UNION SELECT r.x, e.y FROM reach r JOIN e ON r.y = e.x)
+  SELECT x AS node, min(y) AS grp FROM reach GROUP BY 1""")
+def resolution_groups(spark, d):
+    e = keyed(spark, d)
+    return rs.similarity_groups(rt.tfidf_pairs(e, "id", "t", 0.3, "type"), e.select(F.col("id").alias("node")), 0.3)
 
 
 _RANK = f"(SELECT 'conf' AS ranking, chunk_id, max(relevance_score) AS score FROM {LINKS} GROUP BY 2 UNION ALL SELECT 'size', chunk_id, count(*)::DOUBLE FROM {LINKS} GROUP BY 2)"
@@ -494,17 +509,12 @@ def rrf(spark, d):
     return rt.rank_fusion(_rankings(spark, d), "chunk_id", 60, 200)
 
 
-_OF = "entity_id IN (SELECT normalized_name FROM graph_extraction_raw WHERE type IN ({}))"
-_HITS = f"(SELECT chunk_id, max(relevance_score) AS score FROM {LINKS} WHERE {_OF.format(chr(39) + 'Battle' + chr(39))} GROUP BY 1)"
-
-
-def _links_of(spark, d, *types):
-    named = T(spark, d, "graph_extraction_raw").filter(F.col("type").isin(*types)).select(F.col("normalized_name").alias("entity_id")).distinct()
-    return links(spark, d).join(named, "entity_id", "left_semi")
+_HITS = f"(SELECT chunk_id, max(relevance_score) AS score FROM {LINKS} GROUP BY 1)"
+_SURE = f"(SELECT * FROM {_HITS} WHERE score >= 0.9)"
 
 
 def _hits(spark, d):
-    return _links_of(spark, d, "Battle").groupBy("chunk_id").agg(F.max("relevance_score").alias("score"))
+    return links(spark, d).groupBy("chunk_id").agg(F.max("relevance_score").alias("score"))
 
 
 @query(f"""WITH r AS (SELECT h.chunk_id, c.doc_id, c.chunk_index, h.score, false AS is_identity FROM {_HITS} h JOIN {_CH} c USING (chunk_id)), b AS (SELECT doc_id, max(score) AS best FROM r GROUP BY 1),
@@ -515,13 +525,10 @@ def context_group(spark, d):
     return rt.group_context(_hits(spark, d), c, c.filter("chunk_type = 'IDENTITY'")).select("chunk_id", "doc_id", "is_identity", F.col("position").cast("long").alias("position"))
 
 
-_VEC = f"(SELECT chunk_id, max(relevance_score) AS score FROM {LINKS} WHERE {_OF.format(chr(39) + 'Battle' + chr(39) + ',' + chr(39) + 'Concept' + chr(39))} GROUP BY 1)"
-
-
-@query(f"SELECT chunk_id, part, position FROM (SELECT *, row_number() OVER (ORDER BY part, score DESC, chunk_id) AS position FROM (SELECT chunk_id, score, 0 AS part FROM {_HITS} UNION ALL SELECT chunk_id, score, 1 FROM {_VEC} WHERE chunk_id NOT IN (SELECT chunk_id FROM {_HITS}))) WHERE position <= 400")
+@query(f"SELECT chunk_id, part, position FROM (SELECT *, row_number() OVER (ORDER BY part, score DESC, chunk_id) AS position FROM (SELECT chunk_id, score, 0 AS part FROM {_SURE} UNION ALL SELECT chunk_id, score, 1 FROM {_HITS} WHERE chunk_id NOT IN (SELECT chunk_id FROM {_SURE}))) WHERE position <= 400")
 def strategy_fill(spark, d):
-    v = _links_of(spark, d, "Battle", "Concept").groupBy("chunk_id").agg(F.max("relevance_score").alias("score"))
-    return rt.fill(_hits(spark, d), v, 400).select("chunk_id", "part", F.col("position").cast("long").alias("position"))
+    every = _hits(spark, d)
+    return rt.fill(every.filter("score >= 0.9"), every, 400).select("chunk_id", "part", F.col("position").cast("long").alias("position"))
 
 
 @query(f"SELECT entity_id, chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY relevance_score DESC NULLS LAST, chunk_id) AS rank FROM {LINKS}) WHERE rank <= 20")
@@ -546,24 +553,34 @@ def tag_trust(spark, d):
     return rt.tag_trust(tags, et, en, links(spark, d))
 
 
-@query()
+@query(f"""WITH {_TAGS}, l AS {LINKS}, x AS (SELECT t.tag_id, count(DISTINCT et.entity_id) AS entities, count(DISTINCT en.entity_type) AS types FROM t LEFT JOIN et USING (tag_id) LEFT JOIN en USING (entity_id) GROUP BY 1),
+  y AS (SELECT et.tag_id, count(DISTINCT l.doc_id) AS docs FROM et JOIN l USING (entity_id) GROUP BY 1),
+  g AS (SELECT tag_id FROM x LEFT JOIN y USING (tag_id) WHERE tag_id = 'City' AND 0.3*least(1.0,entities/10.0) + 0.3*least(1.0,coalesce(docs,0)/3.0) + 0.2*least(1.0,greatest(0.0,1-(types-1)*0.5)) + 0.3 >= 0.6),
+  m AS (SELECT DISTINCT entity_id FROM et JOIN g USING (tag_id) ORDER BY 1 LIMIT 5), r AS (SELECT chunk_id, entity_id, row_number() OVER (PARTITION BY entity_id ORDER BY relevance_score DESC NULLS LAST, chunk_id) AS rank FROM l JOIN m USING (entity_id)),
+  u AS (SELECT 'tag_' || tag_id AS chunk_id, NULL AS entity_id, 0 AS part, 0 AS rank FROM g UNION ALL SELECT chunk_id, entity_id, 1, rank FROM r WHERE rank <= 2)
+  SELECT chunk_id, entity_id, row_number() OVER (ORDER BY part, entity_id, rank) AS position FROM u""")
 def tag_group(spark, d):
     tags, et, en = _tags(spark, d)
     return rt.tag_group(rt.tag_trust(tags, et, en, links(spark, d)), et, links(spark, d), "City")
 
 
-@query()
+@query(f"""WITH q AS (SELECT title AS mention, 0 AS ord, title AS variant, {_norm('title')} AS v FROM encyclopedia WHERE title IS NOT NULL UNION ALL SELECT title, 1, regexp_replace(title, ' .*', ''), {_norm("regexp_replace(title, ' .*', '')")} FROM encyclopedia WHERE title IS NOT NULL),
+  k AS (SELECT normalized_name AS entity, count(*) AS n, {_norm('normalized_name')} AS nn FROM graph_extraction_clean WHERE normalized_name IS NOT NULL GROUP BY 1),
+  al AS (SELECT DISTINCT normalized_name AS entity, {_norm('a')} AS a FROM (SELECT normalized_name, unnest(aliases) AS a FROM graph_extraction_clean WHERE normalized_name IS NOT NULL)),
+  h AS (SELECT q.*, k.entity, k.n, CASE WHEN nn = v THEN 1.0 ELSE 0.8 END AS s FROM q JOIN k ON v <> '' AND nn <> '' AND (contains(nn, v) OR contains(v, nn)) UNION ALL SELECT q.*, k.entity, k.n, 0.6 FROM q JOIN al ON v <> '' AND al.a = v JOIN k USING (entity)),
+  b AS (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY ord, s DESC, n DESC, entity DESC) AS r FROM h)
+  SELECT mention, variant, entity, s::DOUBLE AS match_score FROM b WHERE r = 1""")
 def query_entity_match(spark, d):
-    names = T(spark, d, "encyclopedia").select(F.col("title").alias("mention"), F.array("title", F.regexp_replace("title", " .*", "")).alias("variants"))
+    names = T(spark, d, "encyclopedia").filter("title IS NOT NULL").select(F.col("title").alias("mention"), F.array("title", F.regexp_replace("title", " .*", "")).alias("variants"))
     rows = T(spark, d, "graph_extraction_clean").filter("normalized_name IS NOT NULL")
     known = rows.groupBy(F.col("normalized_name").alias("entity")).agg(F.array_distinct(F.flatten(F.collect_list(F.coalesce("aliases", F.array().cast("array<string>"))))).alias("aliases"), F.count("*").alias("chunk_count"))
-    return rt.resolve_mentions(names, known)
+    return rt.resolve_mentions(names, known).drop("final_score")
 
 
 @query("SELECT normalized_name AS entity, 'summary_' || normalized_name AS chunk_id, summary AS text, 0.95 AS score FROM (SELECT normalized_name, min(context_description) AS summary FROM graph_extraction_clean WHERE normalized_name IS NOT NULL GROUP BY 1) WHERE trim(summary) <> ''")
 def entity_summaries(spark, d):
     rows = T(spark, d, "graph_extraction_clean").filter("normalized_name IS NOT NULL").groupBy(F.col("normalized_name").alias("entity")).agg(F.min("context_description").alias("summary"))
-    return rows.filter("trim(summary) <> ''").select("entity", F.concat(F.lit("summary_"), "entity").alias("chunk_id"), F.col("summary").alias("text"), F.lit(0.95).alias("score"))
+    return rt.entity_summaries(rows)
 
 
 @query(f"WITH p AS (SELECT entity_a AS a, entity_b AS b FROM (WITH l AS {LINKS} SELECT x.entity_id AS entity_a, y.entity_id AS entity_b, count(*) AS n FROM l x JOIN l y ON x.chunk_id = y.chunk_id AND x.entity_id < y.entity_id GROUP BY 1, 2) ORDER BY n DESC, a, b LIMIT 1) SELECT chunk_id FROM {LINKS} l JOIN p ON l.entity_id IN (a, b) GROUP BY 1 HAVING count(DISTINCT entity_id) = 2")
@@ -578,7 +595,7 @@ def relationship_chunks(spark, d):
 
 @query("SELECT filename, doc_id, created_at FROM documents ORDER BY created_at DESC, doc_id")
 def list_documents(spark, d):
-    return T(spark, d, "documents").select("filename", "doc_id", "created_at").orderBy(F.desc("created_at"), "doc_id")
+    return tb.list_documents(T(spark, d, "documents"))
 
 
 _UP = "SELECT filename, doc_id, status, updated_at + INTERVAL 1 DAY AS updated_at FROM documents WHERE status = 'PROCESSING' UNION ALL SELECT 'new_' || filename, doc_id, 'PENDING', updated_at FROM documents WHERE status = 'FAILED'"
@@ -621,7 +638,7 @@ def chunks_by_id(spark, d):
 @query(f"SELECT chunk_id, doc_id, 1.0 AS vector_score FROM {_CH} WHERE chunk_type = 'IDENTITY' AND doc_id IN (SELECT doc_id FROM documents WHERE source = 'notices')")
 def identities(spark, d):
     docs = T(spark, d, "documents").filter("source = 'notices'").select("doc_id")
-    return chunk_rows(spark, d).filter("chunk_type = 'IDENTITY'").join(docs, "doc_id", "left_semi").select("chunk_id", "doc_id", F.lit(1.0).alias("vector_score"))
+    return tb.identity_chunks(chunk_rows(spark, d), docs)
 
 
 @query("SELECT model, sum(prompt_tokens) AS prompt_tokens, sum(completion_tokens) AS completion_tokens, round((sum(prompt_tokens)*any_value(CASE WHEN model='large' THEN 5.0 ELSE 0.15 END) + sum(completion_tokens)*any_value(CASE WHEN model='large' THEN 15.0 ELSE 0.6 END))/1e6, 6) AS cost FROM (SELECT CASE event_type WHEN 'click' THEN 'mini' WHEN 'view' THEN 'large' ELSE event_type END AS model, event_id AS prompt_tokens, user_id AS completion_tokens FROM events) GROUP BY 1")
@@ -633,8 +650,7 @@ def usage_cost(spark, d):
 
 @query("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 10")
 def history_last(spark, d):
-    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    return T(spark, d, "events").withColumn("k", F.row_number().over(w)).filter("k <= 10").select("user_id", "event_id")
+    return tb.last_rows(T(spark, d, "events"), "user_id", ["ts", "event_id"], 10).select("user_id", "event_id")
 
 
 @query("SELECT slug, ((row_number() OVER (PARTITION BY category ORDER BY slug) - 1) // 22)::INT AS batch FROM encyclopedia")
@@ -659,10 +675,10 @@ def _echo(prompts: list[str]) -> list[str]:
     """A rule in place of a model: the words of a prompt that begin with a capital, as entity records."""
     import re
 
-    return ["##".join(f'("entity"<|>{w}<|>Person<|>named)' for w in dict.fromkeys(re.findall(r"\b[A-Z][a-z]{4,}\b", p))) for p in prompts]
+    return ["##".join(f'("entity"<|>{w}<|>Person<|>named)' for w in dict.fromkeys(re.findall(r"(?a)\b[A-Z][a-z]{4,}\b", p))) for p in prompts]
 
 
-@query()
+@query(f"SELECT title, count(DISTINCT chunk_id) AS units FROM (SELECT chunk_id, unnest(regexp_extract_all(chunk_text, '\\b[A-Z][a-z]{{4,}}\\b')) AS title FROM {_CH} WHERE chunk_text IS NOT NULL) GROUP BY 1")
 def graph_extraction(spark, d):
     units = chunk_rows(spark, d).filter("chunk_text IS NOT NULL").select(F.col("chunk_id").alias("unit_id"), F.col("chunk_text").alias("text"))
     return pv.answers_to_graph(pv.extract_graph(units, _echo))[0].groupBy("title").agg(F.countDistinct("unit_id").alias("units"))  # a gleaning may name it again
@@ -682,10 +698,20 @@ def document_sample(spark, d):
     return T(spark, d, "documents").select("doc_id", idn.sample_paragraphs(F.col("text"), 1500, 2, "\n").alias("sample"))
 
 
-@query()
+_WORDS = "|".join(idn.OUTLINE_WORDS)
+
+
+def _behind(lines: str) -> str:
+    entries = f"list_transform(list_filter({lines}[i+1:i+59], lambda x: {_strip('x')} <> '' AND length(x) > 3), lambda x: {_strip('x')})"
+    head = f"length({_strip(f'{lines}[i]')}) < 50 AND regexp_matches(lower({lines}[i]), '{_WORDS}')"
+    return f"list_filter([{entries} for i in range(1, len({lines}) + 1) if {head}], lambda b: len(b) > 3)[1]"
+
+
+@query(f"""WITH c AS (SELECT chunk_id, string_split(coalesce(chunk_text,''), chr(10)) AS l, list_filter([{_strip('x')} for x in coalesce(chunk_headings, [])], lambda h: h <> '' AND length(h) < 150)[1:40] AS short FROM {_CH}),
+  f AS (SELECT chunk_id, short, coalesce({_behind('l[1:200]')}, CASE WHEN len(l) > 200 THEN {_behind('l[-200:]')} END) AS found FROM c)
+  SELECT chunk_id, CASE WHEN found IS NOT NULL THEN 'OFFICIEL' WHEN len(short) > 0 THEN 'ESTIMÉ' ELSE 'ABSENT' END AS type, coalesce(array_to_string(coalesce(found, ['- ' || h for h in short]), chr(10)), '') AS content FROM f""")
 def outlines(spark, d):
-    rows = chunk_rows(spark, d).select(idn.outline(F.col("chunk_text"), F.col("chunk_headings")).alias("o"))
-    return rows.groupBy("o.type").agg(F.count("*").alias("units"), F.sum(F.length("o.content")).alias("characters"))
+    return chunk_rows(spark, d).select("chunk_id", idn.outline(F.col("chunk_text"), F.col("chunk_headings")).alias("o")).select("chunk_id", "o.type", "o.content")
 
 
 @query("SELECT doc_id, 'TITRE: ' || coalesce(nullif(trim(filename),''),'Titre non détecté') || chr(10) || 'STRUCTURE:' || chr(10) || '- ' || replace(coalesce(text,''), '. ', '.' || chr(10) || '- ') AS card FROM documents")
@@ -693,7 +719,9 @@ def fallback_cards(spark, d):
     return T(spark, d, "documents").select("doc_id", idn.fallback_card(F.col("filename"), F.col("text")).alias("card"))
 
 
-@query()
+@query(f"""WITH h AS (SELECT doc_id, string_agg(heading, chr(10) ORDER BY first, heading) AS outline FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY first, heading) AS k FROM (SELECT doc_id, chunk_headings[-1] AS heading, min(struct_pack(i := chunk_index, c := chunk_id)) AS first FROM {_CH} WHERE len(chunk_headings) > 0 AND chunk_headings[-1] IS NOT NULL GROUP BY 1, 2)) WHERE k <= 20 GROUP BY 1),
+  t AS (SELECT doc_id, string_agg(coalesce(chunk_text,''), chr(10)||chr(10) ORDER BY chunk_index, chunk_id) AS sample FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index, chunk_id) - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM {_CH}) WHERE k < 2 OR k BETWEEN n // 2 AND n // 2 + 1 OR k >= n - 2 GROUP BY 1)
+  SELECT doc_id, concat_ws(chr(10)||chr(10), outline, sample) AS context FROM t LEFT JOIN h USING (doc_id)""")
 def card_contexts(spark, d):
     rows = chunk_rows(spark, d).withColumn("o", F.struct("chunk_index", "chunk_id"))
     return idn.card_context(rows.withColumn("chunk_text", F.col("chunk_text")), "doc_id", "o", "chunk_text", "chunk_headings")
@@ -705,16 +733,18 @@ def query_rewrites(spark, d):
     return T(spark, d, "eval_items").select("item_id", idn.rewritten(answer).alias("r")).select("item_id", "r.*")
 
 
-@query()
+@query(f"""WITH b AS (SELECT * FROM {_HITS} ORDER BY score DESC, chunk_id LIMIT 20), r AS (SELECT c.*, row_number() OVER (ORDER BY score DESC, c.chunk_id) AS n FROM b JOIN {_CH} c USING (chunk_id)),
+  l AS (SELECT n, coalesce(chunk_images_urls, []) AS images, concat_ws(chr(10), '[SOURCE ' || n || '] ' || coalesce(chunk_heading_full,'') || ' (p. ' || coalesce(array_to_string(chunk_page_numbers, ', '),'') || ')', chunk_text, nullif(array_to_string(['[TABLE]' || chr(10) || x for x in coalesce(chunk_tables, [])], chr(10)), '')) AS line FROM r)
+  SELECT string_agg(line, chr(10)||chr(10) ORDER BY n) AS context, array_to_string(list_sort(list_distinct(flatten(list(images)))), ' ') AS images FROM l""")
 def answer_sources(spark, d):
     best = _hits(spark, d).orderBy(F.desc("score"), "chunk_id").limit(20)  # the sources of one answer
     rows = chunk_rows(spark, d).join(F.broadcast(best), "chunk_id").withColumn("o", F.struct(-F.col("score"), F.col("chunk_id")))
-    return idn.answer_context(rows, "o").withColumn("images", F.array_join("images", " "))
+    return idn.answer_context(rows, "o").withColumn("images", F.array_join(F.array_sort("images"), " "))
 
 
 @query()
 def community_contexts(spark, d):
-    members = g.communities(T(spark, d, "legacy_relations"), "source", "target")
+    members = g.communities(T(spark, d, "legacy_relations"), "source", "target", levels=1, rounds=4)
     told = T(spark, d, "graph_extraction_clean").filter("normalized_name IS NOT NULL").groupBy(F.col("normalized_name").alias("node")).agg(F.max("context_description").alias("description"))
     return idn.community_context(members, told, T(spark, d, "legacy_relations").select("source", "target", F.col("evidence").alias("description")))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..schemas import ENCYCLOPEDIA
 
@@ -103,6 +104,57 @@ def upsert_encyclopedia(old: DataFrame, new: DataFrame) -> DataFrame:
     return upsert(old, new, "slug", core_summary=F.col("n.core_summary"), category=F.col("n.category"), properties=over)
 
 
+def get_by(rows: DataFrame, column: str, value: object) -> DataFrame:
+    """The rows with the value: none, or the one of a key; the filter reaches the scan."""
+    return rows.filter(F.col(column) == F.lit(value))
+
+
+def list_documents(documents: DataFrame) -> DataFrame:
+    """(filename, doc_id, created_at), the newest first."""
+    return documents.select("filename", "doc_id", "created_at").orderBy(F.desc("created_at"), "doc_id")
+
+
+def identity_chunks(chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """(chunk_id, doc_id, vector_score): the identity chunks of the documents (doc_id), each of score 1."""
+    return chunks.filter("chunk_type = 'IDENTITY'").join(documents.select("doc_id"), "doc_id", "left_semi").select("chunk_id", "doc_id", F.lit(1.0).alias("vector_score"))
+
+
+def last_rows(rows: DataFrame, by: str, order: list[str], most: int) -> DataFrame:
+    """The ``most`` last rows of each value by the order; Spark cuts each partition to so many before the shuffle."""
+    w = Window.partitionBy(by).orderBy(*[F.desc(c) for c in order])
+    return rows.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= most).drop("_k")
+
+
+def merge_by_key(old: DataFrame | None, new: DataFrame, key: list[str], order: str) -> DataFrame:
+    """A vertices or edges table after a batch: one row a key, the last by ``order`` of the batch, else the old one."""
+    last = new.groupBy(*key).agg(F.max_by(F.struct(*[c for c in new.columns if c not in key and c != order]), order).alias("_r")).select(*key, "_r.*")
+    return last if old is None else old.join(last.select(*key), key, "left_anti").select(*last.columns).unionByName(last)
+
+
+def import_graph(spark: SparkSession, entities: str, relationships: str, path: str) -> None:
+    """Replaces the graph tables under ``path`` by those of Parquet files: entities by title, relationships with both ends known."""
+    nodes = spark.read.parquet(entities).filter("title IS NOT NULL").dropDuplicates(["title"])
+    edges = spark.read.parquet(relationships)
+    for end in ("source", "target"):
+        edges = edges.join(nodes.select(F.col("title").alias(end)), end, "left_semi")
+    nodes.write.mode("overwrite").parquet(f"{path}/vertices")
+    edges.write.mode("overwrite").parquet(f"{path}/edges")
+
+
+def separate_content(items: DataFrame) -> DataFrame:
+    """(chunk_id, text, headings, pages, tables, images): parts of a chunk (chunk_id, pos, kind, value, page) by what they are, in their order; different
+    pages and tables once."""
+    of = lambda kind: F.transform(F.filter(F.col("_p"), lambda p: p["kind"] == kind), lambda p: p["value"])
+    rows = items.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("pos", "kind", "value", "page"))).alias("_p"))  # a chunk is bounded
+    pages = F.array_sort(F.array_distinct(F.filter(F.transform("_p", lambda p: p["page"]), lambda p: p.isNotNull())))
+    return rows.select("chunk_id", F.array_join(of("text"), "\n").alias("text"), of("heading").alias("headings"), pages.alias("pages"), F.array_distinct(of("table")).alias("tables"), of("image").alias("images"))
+
+
+def pass_statistics(passes: DataFrame, by: str = "pass") -> DataFrame:
+    """(pass, units, entities, relations, failed): the counters of the units of each pass, summed."""
+    return passes.groupBy(by).agg(F.count("*").alias("units"), *[F.sum(F.coalesce(c, F.lit(0)).cast("long")).alias(c) for c in ("entities", "relations", "failed")])
+
+
 def latest_status(log: DataFrame) -> DataFrame:
     """(doc_id, status, at): the last of each document's status rows."""
     return log.groupBy("doc_id").agg(F.max_by("status", F.struct("at", "status")).alias("status"), F.max("at").alias("at"))
