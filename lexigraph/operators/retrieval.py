@@ -184,6 +184,12 @@ def group_context(hits: DataFrame, chunks: DataFrame, identities: DataFrame | No
     return out.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(*order))) if by else ranked(out, [], order, "position")
 
 
+def ordered_by_document(hits: DataFrame, by: list[str]) -> DataFrame:
+    """position: documents by their best score, in a document by chunk_index; the hits (by, doc_id, chunk_index, score) of a question are a top-k."""
+    best = F.max("score").over(Window.partitionBy(*by, "doc_id"))
+    return hits.withColumn("best", best).withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("best"), "doc_id", "chunk_index")).cast("long")).drop("best")
+
+
 def fill(first: DataFrame, then: DataFrame, top: int, key: str = "chunk_id") -> DataFrame:
     """The rows of a strategy, then those of the vector search that it lacks, up to ``top`` in all. Both: key, score."""
     rest = then.join(first.select(key), key, "left_anti")
