@@ -119,7 +119,7 @@ def bridges(entities: DataFrame, clusters: DataFrame, ask: Ask, size: int = 200)
     best = representatives(entities, clusters).drop("members").join(entities.select("id", "title", F.coalesce("category", F.lit("")).alias("category")).dropDuplicates(["id"]), "id")
     asked = _listed(numbered(best, ["category"], ["id"], size), ["category"], F.coalesce("title", F.lit("")), "BRIDGES").filter(F.size("members") > 1)
     told = ask(asked.select("key", "prompt")).select("key", F.explode(F.from_json(json_part(F.col("answer")), "array<array<int>>")).alias("named"))
-    ids = told.join(asked.select("key", "members"), "key").select(F.filter(F.transform("named", lambda i: F.filter("members", lambda m: m["idx"] == i)[0]["id"]), lambda x: x.isNotNull()).alias("ids"))
+    ids = told.join(asked.select("key", "members"), "key").select(F.filter(F.transform("named", lambda i: F.get(F.filter("members", lambda m: m["idx"] == i), F.lit(0))["id"]), lambda x: x.isNotNull()).alias("ids"))
     pairs = ids.filter("size(ids) > 1").select(F.explode(F.arrays_zip(F.slice("ids", 1, F.size("ids") - 1).alias("x"), F.slice("ids", 2, F.size("ids") - 1).alias("y"))).alias("p"))
     rows = pairs.select(F.col("p.x").alias("x"), F.col("p.y").alias("y"))
     to = clusters.select("id", "cluster")
@@ -146,9 +146,9 @@ def merge_verdicts(answers: DataFrame, asked: DataFrame) -> DataFrame:
     """(source, target): ids of records MERGE i j, i going into j; brackets and # around a number are dropped, unknown numbers
     and a number with itself name nothing. A source that is named twice goes to the last."""
     number = lambda c: F.regexp_replace(c, r"[\[\]#\s]", "").try_cast("int")
-    records = answers.select("key", F.posexplode(tuples(F.col("answer"))).alias("pos", "r")).filter((F.size("r") >= 3) & (F.lower(F.col("r")[0]) == "merge"))
-    named = records.select("key", "pos", number(F.col("r")[1]).alias("i"), number(F.col("r")[2]).alias("j")).filter("i <> j").join(asked.select("key", "members"), "key")
-    of = lambda i: F.filter("members", lambda m: m["idx"] == F.col(i))[0]["id"]
+    records = answers.select("key", F.posexplode(tuples(F.col("answer"))).alias("pos", "r")).filter((F.size("r") >= 3) & (F.lower(F.get("r", F.lit(0))) == "merge"))
+    named = records.select("key", "pos", number(F.get("r", F.lit(1))).alias("i"), number(F.get("r", F.lit(2))).alias("j")).filter("i <> j").join(asked.select("key", "members"), "key")
+    of = lambda i: F.get(F.filter("members", lambda m: m["idx"] == F.col(i)), F.lit(0))["id"]
     pairs = named.select(of("i").alias("source"), of("j").alias("target"), "pos").filter("source IS NOT NULL AND target IS NOT NULL")
     return pairs.groupBy("source").agg(F.max_by("target", F.struct("pos", "target")).alias("target"))
 
