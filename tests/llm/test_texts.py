@@ -27,6 +27,16 @@ def test_repair_pages(spark):
     assert whole["c36"] == "" and whole["c37"] is None and whole["c38"] == "one line only"
 
 
+def test_rare_words_are_read_whatever_the_shared_model_holds(spark):
+    """The same findings whether the words of a corpus are in the model of all tasks or, being rare, come by joins."""
+    good = [" ".join(BODY) + "." for _ in range(400)]
+    rare = ["near the granary of old the envoy crossed the desert"] * 6 + ["near the grariary of old the envoy crossed", "the gran¬\nary of old was waiting", *["a half-built wall"] * 3, "a half-\nbuilt wall"]
+    df = chunks(spark, good + rare)
+    found = lambda **shares: {(r["chunk_id"], r["kind"], r["piece"]) for r in scanned.repair_pages(df, "findings", **shares).collect()}
+    whole, cut = found(), found(word_share=0.001, pair_share=0.001)
+    assert whole == cut and ("c406", "misread_word", "granary") in cut and ("c407", "broken_word", "granary") in cut and not any(c == "c411" for c, _, _ in cut)
+
+
 def test_headings_come_from_the_document(spark):
     a = chunks(spark, ["some text here\nmore of it", "La trêve et le pacte\nthe text goes on"]).withColumn("chunk_headings", F.when(F.col("chunk_id") == "c0", F.col("chunk_headings")))
     assert [r["piece"] for r in scanned.repair_pages(a, "findings").collect()] == ["La trêve et le pacte"]
