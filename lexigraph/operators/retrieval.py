@@ -6,14 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.similarity import cosine, gestalt_column
 from ..functions.text import SPACE, normalize_name
-from ..joins import hot_values, maybe_broadcast, ranked, salted_join
+from ..joins import maybe_broadcast, ranked
 from ..scratch import Scratch
+from .cells import Forest, in_cells, products, sparse
 
 # Words without meaning for a search, in the languages of the corpus; a parameter of the functions below.
 STOP_WORDS = ("the of and to in a an is was were for on at by with as de la le les des du un une et en à au aux dans sur par pour que qui ce se sa son ses").split()
@@ -126,25 +129,51 @@ def bm25_topk(documents: DataFrame, queries: DataFrame, key: str, text: str, que
     return ranked.filter(F.col("rank") <= k)
 
 
-def tfidf_pairs(texts: DataFrame, key: str, text: str, least: float = 0.3, block: str | None = None, stop: list[str] = STOP_WORDS) -> DataFrame:
+def tfidf_pairs(texts: DataFrame, key: str, text: str, least: float = 0.3, block: str | None = None, stop: list[str] = STOP_WORDS, links: bool = False) -> DataFrame:
     """(a, b, score): pairs a < b whose TF-IDF vectors (smooth idf + 1, unit length) have at least the cosine, within a block.
 
-    An inverted-index join on terms, frequent ones spread over many tasks; stop words are left out of the vectors.
+    Vectors are multiplied cell by cell, so the products of pairs below the cosine never leave their task; stop words are left
+    out of the vectors. With ``links`` only so many of the pairs as link the same keys.
     """
     by = [block] if block else []
     words = texts.select(key, *by, F.explode(F.filter(terms(F.col(text)), lambda w: (F.length(w) > 1) & ~w.isin(stop))).alias("term"))
     tf = words.groupBy(key, *by, "term").agg(F.count("*").alias("tf"))
+    scratch = Scratch(texts.sparkSession, "tfidf")
+    tf = scratch.keep(tf.filter(F.col(key).isNotNull()), "tf")
     n = tf.select(key, *by).distinct().groupBy(*by).agg(F.count("*").alias("n"))
     df = tf.groupBy(*by, "term").agg(F.count("*").alias("df"))
     raw = tf.join(df, [*by, "term"])
     raw = raw.join(maybe_broadcast(n), by) if by else raw.join(F.broadcast(n))  # one row without blocks
     raw = raw.withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    norm = raw.groupBy(key, *by).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = raw.join(norm, [key, *by]).select(F.col(key).alias("k"), F.struct(*by, "term").alias("slot"), (F.col("w") / F.col("norm")).alias("w"))
-    unit = Scratch(texts.sparkSession, "tfidf").keep(unit, "unit")
-    left, right = unit.withColumnRenamed("k", "a").withColumnRenamed("w", "wa"), unit.withColumnRenamed("k", "b").withColumnRenamed("w", "wb")
-    pairs = salted_join(left, right, "slot", hot_values(unit, "slot")).filter("a < b").groupBy("a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("score"))
-    return pairs.filter(F.col("score") >= least)
+    unit = raw.groupBy(F.col(key).alias("k"), (F.col(block) if block else F.lit("")).alias("g")).agg(F.collect_list(F.struct("term", "w")).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    unit = scratch.keep(unit.select("k", "g", F.col("v.term").alias("terms"), F.transform("v.w", lambda w: w / F.col("norm")).alias("weights")), "unit")
+    scratch.drop("tf")
+    kind = dict(unit.dtypes)["k"]
+    pairs = in_cells(unit, "k", "g", _cosines(least, links), f"a {kind}, b {kind}, score double")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.round("score", 6).alias("score")).filter((F.col("a") != F.col("b")) & (F.col("score") >= least))
+
+
+def _cosines(least: float, links: bool):
+    def vectors(table: pa.Table, codes: np.ndarray):
+        return sparse(pc.list_value_length(table["terms"]).to_numpy(), codes, pc.list_flatten(table["weights"]).to_numpy())
+
+    def run(left: pa.Table, right: pa.Table, same: bool) -> Iterator[dict]:
+        words = [pc.list_flatten(x["terms"]).combine_chunks() for x in (left, right)]
+        codes = pa.concat_arrays(words).dictionary_encode().indices.to_numpy()
+        a, b = vectors(left, codes[: len(words[0])]), vectors(right, codes[len(words[0]) :])
+        forest = Forest(len(left) if same else len(left) + len(right)) if links else None
+        for start, scores in products(a, b):
+            i, j = np.nonzero(scores >= least - 5e-7)  # rounded to six places later
+            found = scores[i, j]
+            i += start
+            if same:
+                i, j, found = i[j > i], j[j > i], found[j > i]
+            if forest:
+                kept = forest.fresh(i, j if same else j + len(left))
+                i, j, found = i[kept], j[kept], found[kept]
+            yield {"a": left["k"].take(pa.array(i)), "b": right["k"].take(pa.array(j)), "score": found}
+
+    return run
 
 
 def rank_fusion(rankings: DataFrame, key: str, k: int = 60, most: int | None = None, by: list[str] | None = None) -> DataFrame:
