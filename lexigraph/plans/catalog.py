@@ -493,7 +493,7 @@ def tfidf_pairs(spark, d):
   SELECT x AS node, min(y) AS grp FROM reach GROUP BY 1""")
 def resolution_groups(spark, d):
     e = keyed(spark, d)
-    return rs.similarity_groups(rt.tfidf_pairs(e, "id", "t", 0.3, "type"), e.select(F.col("id").alias("node")), 0.3)
+    return rs.similarity_groups(rt.tfidf_pairs(e, "id", "t", 0.3, "type", links=True), e.select(F.col("id").alias("node")), 0.3)
 
 
 _RANK = f"(SELECT 'conf' AS ranking, chunk_id, max(relevance_score) AS score FROM {LINKS} GROUP BY 2 UNION ALL SELECT 'size', chunk_id, count(*)::DOUBLE FROM {LINKS} GROUP BY 2)"

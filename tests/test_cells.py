@@ -4,6 +4,7 @@ from difflib import SequenceMatcher
 import numpy as np
 
 from lexigraph.operators import cells as ce
+from lexigraph.operators import resolve as rs
 from lexigraph.operators import retrieval as rt
 from lexigraph.operators.components import connected_components
 
@@ -42,3 +43,11 @@ def test_products_and_bounds_against_all_pairs():
     i, j = (x.ravel() for x in np.indices((60, 60)))
     bounds = ce.Letters(texts, texts).bound(i, j)
     assert all(u >= SequenceMatcher(None, texts[a], texts[b]).ratio() or not texts[a] for a, b, u in zip(i, j, bounds))
+
+
+def test_links_of_a_giant_group_are_few(spark):
+    df = spark.createDataFrame([(f"k{i:04}", f"the same words {i % 7}", "x") for i in range(1200)], "id string, t string, type string")
+    before = shuffled(spark)
+    got = rs.similarity_groups(rt.tfidf_pairs(df, "id", "t", 0.3, "type", links=True), df.select(df["id"].alias("node")), 0.3).collect()
+    assert shuffled(spark) - before < 3_000_000  # 719,400 pairs are alike
+    assert len(got) == 1200 and {r["grp"] for r in got} == {"k0000"}
