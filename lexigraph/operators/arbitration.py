@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.similarity import gestalt_column
+from ..functions.similarity import gestalt, gestalt_column, lcs_ratio
 from ..functions.text import json_part, normalize_name, strip, tuples
 from ..scratch import Scratch
+from .cells import Forest, Letters, in_cells, sharing
 from .components import connected_components
 from .graph import drop_common_aliases, drop_orphans, validate
-from .resolve import apply_redirects, canonical_merge, pair_scores, resolve_redirects, similarity_groups
+from .resolve import ALIAS_LIKE, COMPATIBLE, CONTEXT, INCOMPATIBLE, alias_overlap, apply_redirects, canonical_merge, compared_names, resolve_redirects, similarity_groups
 from .retrieval import tfidf_pairs
 
 #: Entities that a model is asked about at once.
 BATCH = 22
 #: Letters of the pieces by which likely pairs are found, and the share of the longer one's pieces that a pair has in common.
 PIECE, SHARED = 3, 1 / 3
+#: Pairs of entities that are bounded or scored at once.
+PAIRS = 50_000
 
 #: prompts (key, prompt) -> (key, answer); see ``plans.providers.ask``
 Ask = Callable[[DataFrame], DataFrame]
@@ -206,24 +211,128 @@ def resolve_by_model(entities: DataFrame, ask: Ask) -> DataFrame:
 # Duplicates of one run, by scores of pairs and a model's actions
 
 
-def scored_pairs(entities: DataFrame) -> DataFrame:
-    """(a, b, score) of the pairs of entities that may reach a score: with a likely pair among their names and aliases.
+def scored_pairs(entities: DataFrame, least: float = 0.0, links: bool = False) -> DataFrame:
+    """(a, b, score) of the pairs of entities with a likely pair among their names and aliases and at least the score.
 
     entities: id, name, aliases, type, context_description; see ``pair_scores``. Without a like name or alias a pair has 0.2 at most.
+    Pairs are found, bounded and scored cell by cell; with ``links`` only so many come as link the same entities.
     """
-    names = entities.select("id", F.explode(F.array_distinct(F.concat(F.array(F.col("name")), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("s"))
-    names = names.select("id", normalize_name(F.col("s")).alias("s")).filter("s <> ''").distinct()
-    texts = names.select(F.col("s").alias("key"), "s").distinct()
-    like = likely_pairs(texts, "key", "s").unionByName(texts.select(F.col("key").alias("a"), F.col("key").alias("b")))
-    at = lambda end: names.select(F.col("s").alias(end), F.col("id").alias(f"id_{end}"))
-    pairs = like.join(at("a"), "a").join(at("b"), "b").filter("id_a <> id_b").select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
-    of = lambda end: entities.select(F.col("id").alias(end), *[F.col(c).alias(f"{to}_{end}") for c, to in (("name", "name"), ("aliases", "aliases"), ("type", "type"), ("context_description", "context"))])
-    return pair_scores(pairs.join(of("a"), "a").join(of("b"), "b")).select("a", "b", F.round("score", 9).alias("score"))
+    scratch = Scratch(entities.sparkSession, "scored")
+    rows = entities.filter("id IS NOT NULL").select("id", F.lit("").alias("g"), "name", F.array_sort(F.array_distinct(compared_names(F.col("name"), F.col("aliases")))).alias("names"), "type", F.substring(F.coalesce("context_description", F.lit("")), 1, CONTEXT).alias("head"))
+    rows = scratch.keep(rows, "rows")
+    kind = dict(rows.dtypes)["id"]
+    found = in_cells(rows, "id", "g", _scores(least, links), f"a {kind}, b {kind}, score double", 2048)
+    return found.select("a", "b", F.round("score", 9).alias("score")).filter(F.col("score") >= least)
+
+
+def _scores(least: float, links: bool):
+    def run(left: pa.Table, right: pa.Table, same: bool) -> Iterator[dict]:
+        cell = _Cell(left, right, least - 5e-10)  # rounded to nine places later
+        i, j = np.nonzero(cell.likely(same))
+        ahead = cell.ids_left[i] < cell.ids_right[j]  # the order in which two entities are compared
+        forest = Forest(len(left) if same else len(left) + len(right)) if links else None
+        shift = 0 if same else len(left)
+        for turned in (False, True):
+            todo = np.flatnonzero((ahead != turned) & (cell.ids_left[i] != cell.ids_right[j]))
+            side = cell.turned() if turned else cell
+            a, b = (j[todo], i[todo]) if turned else (i[todo], j[todo])
+            most = side.bounds(a, b)
+            order = np.argsort(-most, kind="stable")
+            order = order[most[order] >= side.least]
+            of = (lambda x, y: (y, x + shift)) if turned else (lambda x, y: (x, y + shift))
+            for s in range(0, len(order), PAIRS):
+                at = order[s : s + PAIRS]
+                x, y = of(a[at], b[at])
+                scores = np.full(len(at), -1.0)
+                if forest:
+                    open_ = forest.apart(x, y)
+                    for n in np.flatnonzero(open_).tolist():
+                        if forest.joined(x[n], y[n]):
+                            continue
+                        scores[n] = side.score(int(a[at[n]]), int(b[at[n]]))
+                        if scores[n] >= side.least:
+                            forest.join(x[n], y[n])
+                    forest.settle()
+                else:
+                    scores[:] = [side.score(p, q) for p, q in zip(a[at].tolist(), b[at].tolist())]
+                kept = scores >= side.least
+                yield {"a": side.left["id"].take(pa.array(a[at[kept]])), "b": side.right["id"].take(pa.array(b[at[kept]])), "score": scores[kept]}
+
+    return run
+
+
+class _Cell:
+    """The scores of entities of one side with those of another, and what they are at most."""
+
+    def __init__(self, left: pa.Table, right: pa.Table, least: float):
+        self.left, self.right, self.least = left, right, least
+        side = lambda t: (t["id"].to_pandas().to_numpy(), t["name"].to_pylist(), t["names"].to_pylist(), t["type"].to_pylist(), t["head"].to_pylist())
+        self._fill(side(left), side(right))
+
+    def _fill(self, a, b) -> None:
+        (self.ids_left, self.name_a, self.names_a, self.type_a, self.head_a), (self.ids_right, self.name_b, self.names_b, self.type_b, self.head_b) = a, b
+        self.sides = a, b
+
+    def turned(self) -> _Cell:
+        other = object.__new__(_Cell)
+        other.left, other.right, other.least = self.right, self.left, self.least
+        other._fill(*self.sides[::-1])
+        return other
+
+    def likely(self, same: bool) -> np.ndarray:
+        """Which entities have a likely pair among their names; of the same rows each two once."""
+        out = np.zeros((len(self.name_a), len(self.name_b)), bool)
+        of_a, of_b = (np.repeat(np.arange(len(x)), [len(n) for n in x]) for x in (self.names_a, self.names_b))
+        for i, j in sharing([t for n in self.names_a for t in n], [t for n in self.names_b for t in n], PIECE, SHARED):
+            out[of_a[i], of_b[j]] = True
+        return np.triu(out, 1) if same else out
+
+    def bounds(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        kinds = {t: n for n, t in enumerate(dict.fromkeys((*self.type_a, *self.type_b)))}
+        table = np.array([[_compatible(x, y) for y in kinds] for x in kinds])
+        fixed = 0.1 * table[np.array([kinds[t] for t in self.type_a], int)[i], np.array([kinds[t] for t in self.type_b], int)[j]]
+        letters = Letters([t or "" for t in self.name_a], [t or "" for t in self.name_b])
+        fixed += 0.1 * Letters(self.head_a, self.head_b).lengths(i, j) + 0.5 * letters.bound(i, j)
+        out = fixed + 0.3
+        todo = np.flatnonzero(out >= self.least)
+        todo = todo[fixed[todo] < self.least]  # the others are scored in any case
+        n_a, n_b = np.array([len(n) for n in self.names_a], int), np.array([len(n) for n in self.names_b], int)
+        at_a, at_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+        letters = Letters([t for n in self.names_a for t in n], [t for n in self.names_b for t in n])
+        for s in range(0, len(todo), PAIRS):
+            at = todo[s : s + PAIRS]
+            many = n_a[i[at]] * n_b[j[at]]
+            pair = np.repeat(np.arange(len(at)), many)
+            k = np.arange(len(pair)) - np.repeat(np.cumsum(many) - many, many)
+            wide = n_b[j[at]][pair]
+            alike = letters.bound(at_a[i[at]][pair] + k // wide, at_b[j[at]][pair] + k % wide, ALIAS_LIKE) >= ALIAS_LIKE
+            near = np.bincount(pair[alike], minlength=len(at))
+            out[at] = fixed[at] + np.where(near > 1, 0.3, np.where(near == 1, 0.21, 0.0))
+        return out + 1e-9
+
+    def score(self, i: int, j: int) -> float:
+        """The score; -1 as soon as it cannot reach ``least``."""
+        kind = 0.1 * _compatible(self.type_a[i], self.type_b[j])
+        name = 0.5 * gestalt(self.name_a[i], self.name_b[j])
+        if name + 0.3 + kind + 0.1 < self.least:
+            return -1.0
+        alias = 0.3 * alias_overlap(self.names_a[i], self.names_b[j])
+        if name + alias + kind + 0.1 * lcs_ratio(self.head_a[i], self.head_b[j]) < self.least - 1e-9:
+            return -1.0
+        return name + alias + kind + 0.1 * gestalt(self.head_a[i], self.head_b[j])
+
+
+def _compatible(a: str | None, b: str | None) -> float:
+    """See ``type_compatibility``."""
+    if a is None or b is None:
+        return 0.3
+    pair = (a, b)
+    return 1.0 if a == b else 0.7 if pair in COMPATIBLE or pair[::-1] in COMPATIBLE else 0.1 if pair in INCOMPATIBLE or pair[::-1] in INCOMPATIBLE else 0.3
 
 
 def threshold_groups(entities: DataFrame, least: float = 0.5) -> DataFrame:
     """(id, grp): connected groups of pairs with at least the score; entities alike to none are groups of their own."""
-    return similarity_groups(scored_pairs(entities), entities.select(F.col("id").alias("node")), least).withColumnRenamed("node", "id")
+    return similarity_groups(scored_pairs(entities, least, links=True), entities.select(F.col("id").alias("node")), least).withColumnRenamed("node", "id")
 
 
 def actions(answers: DataFrame) -> DataFrame:

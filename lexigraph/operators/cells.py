@@ -75,9 +75,9 @@ def _by_cell(compare: Compare, schema: pa.Schema):
     return run
 
 
-def sparse(rows: list[np.ndarray], codes: np.ndarray, weights: np.ndarray | None = None):
-    """(number of rows, row, code, weight) of features; ``rows`` are their numbers a row."""
-    count = np.asarray(rows)
+def sparse(count: np.ndarray | list[int], codes: np.ndarray, weights: np.ndarray | None = None):
+    """(number of rows, row, code, weight) of features; ``count``: how many each row has."""
+    count = np.asarray(count, dtype=np.int64)
     return len(count), np.repeat(np.arange(len(count)), count), codes, weights
 
 
@@ -128,6 +128,7 @@ class Forest:
 
     def __init__(self, n: int):
         self.root = np.arange(n)
+        self._to: dict[int, int] = {}
 
     def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         return self.root[i] != self.root[j]
@@ -138,26 +139,33 @@ class Forest:
         open_ = np.flatnonzero(a != b)
         a, b = np.minimum(a[open_], b[open_]), np.maximum(a[open_], b[open_])
         _, once = np.unique(a * len(self.root) + b, return_index=True)
-        to: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while (y := to.get(x, x)) != x:
-                to[x] = to.get(y, y)
-                x = y
-            return x
-
-        kept = []
-        for at, x, y in zip(open_[once].tolist(), a[once].tolist(), b[once].tolist()):
-            x, y = find(x), find(y)
-            if x != y:
-                to[max(x, y)] = min(x, y)
-                kept.append(at)
-        if to:
-            lead = np.arange(len(self.root))
-            lead[list(to)] = [find(x) for x in list(to)]
-            self.root = lead[self.root]
+        kept = [at for at, x, y in zip(open_[once].tolist(), a[once].tolist(), b[once].tolist()) if self.join(x, y)]
+        self.settle()
         return np.array(kept, dtype=int)
 
+    def _find(self, x: int) -> int:
+        x = int(self.root[x])
+        while (y := self._to.get(x, x)) != x:
+            self._to[x] = self._to.get(y, y)
+            x = y
+        return x
+
+    def joined(self, i: int, j: int) -> bool:
+        return self._find(i) == self._find(j)
+
+    def join(self, i: int, j: int) -> bool:
+        """Whether the pair links what was apart; ``root`` shows it after ``settle``."""
+        x, y = self._find(i), self._find(j)
+        if x != y:
+            self._to[max(x, y)] = min(x, y)
+        return x != y
+
+    def settle(self) -> None:
+        if self._to:
+            lead = np.arange(len(self.root))
+            lead[list(self._to)] = [self._find(x) for x in list(self._to)]
+            self.root, self._to = lead[self.root], {}
+
 
 class Letters:
     """Upper bounds of the gestalt ratio of many pairs at once: the blocks it matches are a common subsequence, so twice the length

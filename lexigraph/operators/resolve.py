@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import gestalt, gestalt_column, lcs_ratio, metaphone_column
@@ -12,6 +14,9 @@ from ..joins import distinct_lists, maybe_broadcast
 from ..scratch import Scratch
 from .components import connected_components
 
+#: Gestalt ratio from which on two aliases count as alike, and letters of a context that are compared.
+ALIAS_LIKE, CONTEXT = 0.8, 100
+
 # Kinds that may name one entity, and kinds that hardly can.
 COMPATIBLE = (("AhlBayt", "Sahabi"), ("Child", "AhlBayt"), ("Place", "City"), ("Event", "Battle"))
 INCOMPATIBLE = (("MotherBeliever", "Prophet"), ("MotherBeliever", "AhlBayt"), ("Sahabi", "Prophet"))
@@ -23,12 +28,13 @@ def type_compatibility(a, b):
     return F.when(a == b, 1.0).when(pair(COMPATIBLE), 0.7).when(pair(INCOMPATIBLE), 0.1).otherwise(0.3)
 
 
-def alias_overlap(a: list[str], b: list[str]) -> float:
+def alias_overlap(a: list[str], b: list[str], like: Callable[[str, str], bool] | None = None) -> float:
     """1 for two or more aliases of a that are each like one of b of their own, 0.7 for one, 0 for none."""
+    like = like or like_alias
     used: set[int] = set()
     for x in sorted(set(a)):
         for i, y in enumerate(sorted(set(b))):
-            if i not in used and gestalt(x, y) >= 0.8:
+            if i not in used and like(x, y):
                 used.add(i)
                 break
         if len(used) >= 2:
@@ -36,14 +42,24 @@ def alias_overlap(a: list[str], b: list[str]) -> float:
     return 0.7 if used else 0.0
 
 
+def like_alias(x: str, y: str) -> bool:
+    """A gestalt ratio of ALIAS_LIKE; the common subsequence bounds it and is counted sooner."""
+    return x == y != "" or (lcs_ratio(x, y) >= ALIAS_LIKE and gestalt(x, y) >= ALIAS_LIKE)
+
+
+def compared_names(name: Column, aliases: Column) -> Column:
+    """The normalised name and aliases, without blank ones."""
+    return F.filter(F.transform(F.array_append(F.coalesce(aliases, F.array().cast("array<string>")), name), normalize_name), lambda n: n != "")
+
+
 def pair_scores(pairs: DataFrame) -> DataFrame:
     """score: 0.5 name + 0.3 alias + 0.1 type + 0.1 context of pairs given as columns name_a, aliases_a, type_a, context_a, name_b, ..."""
 
     def overlap(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([alias_overlap(list(x), list(y)) for x, y in zip(a, b)], dtype="float64")
 
-    names = lambda s: F.filter(F.transform(F.array_append(F.coalesce(f"aliases_{s}", F.array().cast("array<string>")), F.col(f"name_{s}")), normalize_name), lambda n: n != "")
-    head = lambda s: F.substring(F.coalesce(f"context_{s}", F.lit("")), 1, 100)
+    names = lambda s: compared_names(F.col(f"name_{s}"), F.col(f"aliases_{s}"))
+    head = lambda s: F.substring(F.coalesce(f"context_{s}", F.lit("")), 1, CONTEXT)
     score = (
         0.5 * gestalt_column(F.col("name_a"), F.col("name_b")) + 0.3 * F.pandas_udf(overlap, "double")(names("a"), names("b"))
         + 0.1 * type_compatibility(F.col("type_a"), F.col("type_b")) + 0.1 * gestalt_column(head("a"), head("b"))

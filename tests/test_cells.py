@@ -2,7 +2,9 @@ import random
 from difflib import SequenceMatcher
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from lexigraph.operators import arbitration as ar
 from lexigraph.operators import cells as ce
 from lexigraph.operators import resolve as rs
 from lexigraph.operators import retrieval as rt
@@ -51,3 +53,24 @@ def test_links_of_a_giant_group_are_few(spark):
     got = rs.similarity_groups(rt.tfidf_pairs(df, "id", "t", 0.3, "type", links=True), df.select(df["id"].alias("node")), 0.3).collect()
     assert shuffled(spark) - before < 3_000_000  # 719,400 pairs are alike
     assert len(got) == 1200 and {r["grp"] for r in got} == {"k0000"}
+
+
+def test_scored_pairs_against_all_pairs(spark):
+    rng = random.Random(5)
+    part = lambda: "".join(rng.choice("bdfghjk") + rng.choice("aiu") for _ in range(3))
+    pool = [part() for _ in range(12)]
+    text = lambda: rng.choice([" ibn ", " "]).join(rng.sample(pool, 2)) + rng.choice(["", " al-" + part(), rng.choice("xyz")])
+    rows = [(i, text() if i % 9 else None, rng.choice([None, "Person", "Child", "AhlBayt"]), rng.choice([None, [], [text(), None, ""], [text(), text(), text()]]), rng.choice([None, "told of old", text() * 9])) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, name string, type string, aliases array<string>, context_description string")
+    ends = {e: df.select([F.col(c).alias(f"{to}_{e}") for c, to in (("id", "id"), ("name", "name"), ("type", "type"), ("aliases", "aliases"), ("context_description", "context"))]) for e in "ab"}
+    names = {r["id"]: set(r["n"]) for r in df.select("id", rs.compared_names(F.col("name"), F.col("aliases")).alias("n")).collect()}
+    pieces = lambda s: {s[i : i + 3] for i in range(len(s) - 2)} or {s}
+    likely = lambda a, b: any(3 * len(pieces(x) & pieces(y)) >= max(len(pieces(x)), len(pieces(y))) for x in names[a] for y in names[b])
+    scored = rs.pair_scores(ends["a"].join(ends["b"], F.col("id_a") < F.col("id_b"))).collect()
+    want = {(r["id_a"], r["id_b"]): round(r["score"], 9) for r in scored if likely(r["id_a"], r["id_b"])}
+    for least in (0.0, 0.5):
+        before = shuffled(spark)
+        got = {(r["a"], r["b"]): r["score"] for r in ar.scored_pairs(df, least).collect()}
+        assert shuffled(spark) - before < 200_000
+        assert got == {k: v for k, v in want.items() if v >= least} and got
+    assert groups(ar.scored_pairs(df, 0.5, links=True)) == groups(spark.createDataFrame([k for k, v in want.items() if v >= 0.5], "a long, b long"))
