@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.similarity import gestalt, gestalt_column, lcs_ratio
+from ..functions.similarity import gestalt, lcs_ratio
 from ..functions.text import json_part, normalize_name, strip, tuples
 from ..scratch import Scratch
-from .cells import Forest, Letters, in_cells, sharing
+from .cells import Compare, Forest, Letters, in_cells, sharing
 from .components import connected_components
 from .graph import drop_common_aliases, drop_orphans, validate
 from .resolve import ALIAS_LIKE, COMPATIBLE, CONTEXT, INCOMPATIBLE, alias_overlap, apply_redirects, canonical_merge, compared_names, resolve_redirects, similarity_groups
@@ -52,34 +52,68 @@ def contained_pairs(rows: DataFrame, key: str, slug: str, block: str, least: int
 def likely_pairs(rows: DataFrame, key: str, text: str, block: str | None = None, shared: float = SHARED) -> DataFrame:
     """(a, b): keys a < b of one block whose texts have ``shared`` of the longer one's pieces of PIECE letters in common.
 
-    A prefix join: of each text's pieces, rarest first, so many are indexed that any pair with the share has one among them
-    in common; the share is then checked on the whole sets. Shorter texts count as one piece.
+    Pieces are counted cell by cell, on the whole sets. Shorter texts count as one piece.
     """
-    given = rows.filter(F.col(text) != "").select(F.col(key).alias("k"), F.col(text).alias("t"), (F.coalesce(block, F.lit("\u0000")) if block else F.lit("")).alias("g")).distinct()
-    sets = given.select("k", "g", F.when(F.length("t") < PIECE, F.array("t")).otherwise(_pieces(F.col("t"), PIECE)).alias("p"))
-    held = sets.select("k", "g", "p", F.explode("p").alias("piece"))
-    held = held.join(held.groupBy("g", "piece").agg(F.count("*").alias("n")), ["g", "piece"])
-    place = F.row_number().over(Window.partitionBy("k", "g").orderBy("n", "piece"))
-    first = held.withColumn("place", place).filter(F.col("place") <= F.size("p") - F.ceil(shared * F.size("p")) + 1).select("k", "g", "piece", "p")
-    other = first.select(F.col("k").alias("k2"), "g", "piece", F.col("p").alias("p2"))
-    found = first.join(other, ["g", "piece"]).filter(F.col("k") < F.col("k2")).filter(F.least(F.size("p"), F.size("p2")) >= shared * F.greatest(F.size("p"), F.size("p2")))
-    once = found.dropDuplicates(["k", "k2"]).filter(F.size(F.array_intersect("p", "p2")) >= shared * F.greatest(F.size("p"), F.size("p2")))
-    return once.select(F.col("k").alias("a"), F.col("k2").alias("b"))
-
-
-def hybrid_edges(entities: DataFrame, cosine: float = 0.3, likeness: float = 0.75) -> DataFrame:
+    found = _compared(rows, key, text, block, _alike(shared, None, False), "likely")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def alike_pairs(rows: DataFrame, key: str, text: str, block: str | None = None, likeness: float = 0.75, links: bool = False) -> DataFrame:
+    """(a, b): the likely pairs whose texts are alike in letters (gestalt ratio, the text of the lesser key first); with ``links``
+    only so many as link the same keys."""
+    return _compared(rows, key, text, block, _alike(SHARED, likeness, links), "alike")
+
+
+def _compared(rows: DataFrame, key: str, text: str, block: str | None, compare: Compare, name: str) -> DataFrame:
+    given = rows.filter((F.col(text) != "") & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), (F.coalesce(block, F.lit("\u0000")) if block else F.lit("")).alias("g")).distinct()
+    given = Scratch(rows.sparkSession, name).keep(given, "texts")
+    kind = dict(given.dtypes)["k"]
+    return in_cells(given, "k", "g", compare, f"a {kind}, b {kind}").filter("a <> b")
+
+
+def _alike(shared: float, likeness: float | None, links: bool) -> Compare:
+    def run(left: pa.Table, right: pa.Table, same: bool) -> Iterator[dict]:
+        texts = left["t"].to_pylist(), right["t"].to_pylist()
+        keys = [t["k"].to_pandas().to_numpy() for t in (left, right)]
+        forest = Forest(len(left) if same else len(left) + len(right)) if links else None
+        letters = Letters(*texts) if likeness is not None else None
+        for i, j in sharing(*texts, PIECE, shared):
+            if same:
+                i, j = i[j > i], j[j > i]
+            if letters is not None:
+                near = letters.bound(i, j, likeness) >= likeness
+                i, j = i[near], j[near]
+                turned = keys[0][i] > keys[1][j]
+                kept = np.zeros(len(i), bool)
+                for n, (x, y, t) in enumerate(zip(i.tolist(), j.tolist(), turned.tolist())):
+                    ends = x, y if same else y + len(left)
+                    if forest and forest.joined(*ends):
+                        continue
+                    a, b = texts[0][x], texts[1][y]
+                    kept[n] = gestalt(b, a) >= likeness if t else gestalt(a, b) >= likeness
+                    if forest and kept[n]:
+                        forest.join(*ends)
+                if forest:
+                    forest.settle()
+                i, j = i[kept], j[kept]
+            yield {"a": left["k"].take(pa.array(i)), "b": right["k"].take(pa.array(j))}
+
+    return run
+
+
+def hybrid_edges(entities: DataFrame, cosine: float = 0.3, likeness: float = 0.75, links: bool = False) -> DataFrame:
     """(a, b): ids of one category (null equals null) that are alike in words (TF-IDF cosine of title and description), of which
     one slug contains the other, or whose slugs are alike in letters (gestalt ratio).
 
     entities: id, category, slug, title, description. The union of three joins; pairs alike in letters are looked for among the
-    likely pairs (a third of their pieces in common).
+    likely pairs (a third of their pieces in common). With ``links`` only so many as link the same ids, some more than once.
     """
     e = entities.select("id", F.coalesce("category", F.lit("\u0000")).alias("category"), F.coalesce("slug", F.lit("")).alias("slug"), F.concat_ws(" ", "title", F.translate("description", "|", " ")).alias("t"))
-    words = tfidf_pairs(e, "id", "t", cosine, "category").select("a", "b")
-    slugs = e.select("id", "slug")
-    at = lambda end: slugs.select(F.col("id").alias(end), F.col("slug").alias(f"s{end}"))
-    letters = likely_pairs(e, "id", "slug", "category").join(at("a"), "a").join(at("b"), "b").filter(gestalt_column(F.col("sa"), F.col("sb")) >= likeness).select("a", "b")
-    return words.unionByName(contained_pairs(e, "id", "slug", "category")).unionByName(letters).distinct()
+    e = Scratch(entities.sparkSession, "hybrid").keep(e, "entities")
+    words = tfidf_pairs(e, "id", "t", cosine, "category", links=links).select("a", "b")
+    letters = alike_pairs(e, "id", "slug", "category", likeness, links).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    found = words.unionByName(contained_pairs(e, "id", "slug", "category")).unionByName(letters)
+    return found if links else found.distinct()
 
 
 def clusters_of(edges: DataFrame, entities: DataFrame) -> DataFrame:
@@ -204,7 +238,7 @@ def resolve_by_model(entities: DataFrame, ask: Ask) -> DataFrame:
     entities: id, category, slug, title, type, description, canonical_id.
     """
     free = entities.filter("coalesce(canonical_id, '') = ''").dropDuplicates(["id"])
-    clusters = Scratch(entities.sparkSession, "arbitration").keep(clusters_of(hybrid_edges(free), free), "clusters")
+    clusters = Scratch(entities.sparkSession, "arbitration").keep(clusters_of(hybrid_edges(free, links=True), free), "clusters")
     return pyramid(free, merge_clusters(clusters, bridges(free, clusters, ask)), ask)
 
 

@@ -64,7 +64,7 @@ def contained_slugs(spark, d):
 @query()
 def hybrid_components(spark, d):
     e = entities(spark, d)
-    return ar.clusters_of(ar.hybrid_edges(e), e)
+    return ar.clusters_of(ar.hybrid_edges(e, links=True), e)
 
 
 _BY_TYPE = "(SELECT id, coalesce(type, '') AS cluster FROM e)"

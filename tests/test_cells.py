@@ -74,3 +74,19 @@ def test_scored_pairs_against_all_pairs(spark):
         assert shuffled(spark) - before < 200_000
         assert got == {k: v for k, v in want.items() if v >= least} and got
     assert groups(ar.scored_pairs(df, 0.5, links=True)) == groups(spark.createDataFrame([k for k, v in want.items() if v >= 0.5], "a long, b long"))
+
+
+def test_alike_pairs_and_hybrid_links(spark):
+    rng = random.Random(6)
+    part = lambda: "".join(rng.choice("BDFGH") + rng.choice("AIU") for _ in range(3))
+    pool = [part() for _ in range(8)]
+    rows = [(f"k{i:03}", "_".join(rng.sample(pool, 2)) + rng.choice(["", "X", "_" + part()]), rng.choice([None, "c"])) for i in range(150)]
+    df = spark.createDataFrame(rows, "id string, slug string, category string")
+    pieces = lambda s: {s[i : i + 3] for i in range(len(s) - 2)} or {s}
+    likely = {(a[0], b[0]): SequenceMatcher(None, a[1], b[1]).ratio() for a in rows for b in rows if a[0] < b[0] and a[2] == b[2] and 3 * len(pieces(a[1]) & pieces(b[1])) >= max(len(pieces(a[1])), len(pieces(b[1])))}
+    before = shuffled(spark)
+    assert {tuple(r) for r in ar.likely_pairs(df, "id", "slug", "category").collect()} == set(likely)
+    assert {tuple(sorted(r)) for r in ar.alike_pairs(df, "id", "slug", "category").collect()} == {k for k, v in likely.items() if v >= 0.75}
+    assert shuffled(spark) - before < 300_000
+    e = df.withColumn("title", F.col("slug")).withColumn("description", F.lit(""))
+    assert groups(ar.hybrid_edges(e, links=True)) == groups(ar.hybrid_edges(e))
