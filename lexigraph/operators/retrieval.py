@@ -255,13 +255,16 @@ def resolve_mentions(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     then more chunks. final_score is the likeness of the variant and the name. Three equality joins: names, pieces of names,
     aliases.
     """
+    scratch = Scratch(mentions.sparkSession, "mentions")  # a name is normalised once: its expression is long, and every use repeats it in the plan
     asked = mentions.select("mention", F.posexplode("variants").alias("ord", "variant")).withColumn("v", normalize_name(F.col("variant"))).filter("v <> ''")
+    asked = scratch.keep(asked, "asked")
     known = entities.select("entity", "chunk_count", normalize_name(F.col("entity")).alias("n"), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), normalize_name).alias("al"))
+    known = scratch.keep(known, "known")
     named = known.filter("n <> ''").select("entity", "chunk_count", "n")
     exact = named.join(asked, F.col("n") == F.col("v")).withColumn("match_score", F.lit(1.0))
     # Containment by the pieces of the shorter side: a name's first piece lies in the variant, or the variant's in the name.
     texts = named.select(F.col("n").alias("t")).unionByName(asked.select(F.col("v").alias("t"))).distinct()
-    within = contained_texts(texts)
+    within = scratch.keep(contained_texts(texts), "within")
     both = within.unionByName(within.select(F.col("whole").alias("part"), F.col("part").alias("whole")))
     partly = named.join(both, named["n"] == both["part"]).join(asked, F.col("whole") == F.col("v")).withColumn("match_score", F.lit(0.8))
     alias = known.select("entity", "chunk_count", "n", F.explode(F.array_distinct("al")).alias("v")).join(asked, "v").withColumn("match_score", F.lit(0.6))

@@ -90,3 +90,11 @@ def test_alike_pairs_and_hybrid_links(spark):
     assert shuffled(spark) - before < 300_000
     e = df.withColumn("title", F.col("slug")).withColumn("description", F.lit(""))
     assert groups(ar.hybrid_edges(e, links=True)) == groups(ar.hybrid_edges(e))
+
+
+def test_names_of_mentions_are_normalised_once(spark):
+    asked = spark.createDataFrame([("Hamza ibn Abd", ["Hamza ibn Abd", "Hamza"])], "mention string, variants array<string>")
+    known = spark.createDataFrame([("hamza", ["the lion"], 3), ("zayd", None, 1)], "entity string, aliases array<string>, chunk_count long")
+    got = rt.resolve_mentions(asked, known)
+    assert "regexp_replace" not in got._jdf.queryExecution().optimizedPlan().toString()  # the long expression, once a use
+    assert [tuple(r)[:4] for r in got.collect()] == [("Hamza ibn Abd", "Hamza ibn Abd", "hamza", 0.8)]
