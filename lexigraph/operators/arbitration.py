@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from ..functions.similarity import gestalt, lcs_ratio
 from ..functions.text import json_part, normalize_name, strip, tuples
 from ..scratch import Scratch
-from .cells import Compare, Forest, Letters, in_cells, sharing
+from .cells import Compare, Forest, Letters, in_cells, in_windows, open_with_all, sharing
 from .components import connected_components
 from .graph import drop_common_aliases, drop_orphans, validate
 from .resolve import ALIAS_LIKE, COMPATIBLE, CONTEXT, INCOMPATIBLE, alias_overlap, apply_redirects, canonical_merge, compared_names, resolve_redirects, similarity_groups
@@ -25,6 +25,8 @@ BATCH = 22
 PIECE, SHARED = 3, 1 / 3
 #: Pairs of entities that are bounded or scored at once.
 PAIRS = 50_000
+#: Entities from which on neighbours in the order of names are compared before the rest is, and the words at which names are turned for it.
+FEW, TURNS = 4096, (0, 2, -1)
 
 #: prompts (key, prompt) -> (key, answer); see ``plans.providers.ask``
 Ask = Callable[[DataFrame], DataFrame]
@@ -245,56 +247,126 @@ def resolve_by_model(entities: DataFrame, ask: Ask) -> DataFrame:
 # Duplicates of one run, by scores of pairs and a model's actions
 
 
-def scored_pairs(entities: DataFrame, least: float = 0.0, links: bool = False) -> DataFrame:
+def scored_pairs(entities: DataFrame, least: float = 0.0, links: bool = False, few: int = FEW) -> DataFrame:
     """(a, b, score) of the pairs of entities with a likely pair among their names and aliases and at least the score.
 
     entities: id, name, aliases, type, context_description; see ``pair_scores``. Without a like name or alias a pair has 0.2 at most.
-    Pairs are found, bounded and scored cell by cell; with ``links`` only so many come as link the same entities.
+    Pairs are found, bounded and scored cell by cell; with ``links`` only so many come as link the same entities: those of ``few``
+    entities on are first compared with their neighbours in the order of their names, turned at several words. Two of the largest
+    group that this gives are linked, so only pairs with an entity outside of it are left, and all of these are compared.
     """
     scratch = Scratch(entities.sparkSession, "scored")
-    rows = entities.filter("id IS NOT NULL").select("id", F.lit("").alias("g"), "name", F.array_sort(F.array_distinct(compared_names(F.col("name"), F.col("aliases")))).alias("names"), "type", F.substring(F.coalesce("context_description", F.lit("")), 1, CONTEXT).alias("head"))
+    rows = entities.filter("id IS NOT NULL").select("id", "name", F.array_sort(F.array_distinct(compared_names(F.col("name"), F.col("aliases")))).alias("names"), "type", F.substring(F.coalesce("context_description", F.lit("")), 1, CONTEXT).alias("head"))
     rows = scratch.keep(rows, "rows")
     kind = dict(rows.dtypes)["id"]
-    found = in_cells(rows, "id", "g", _scores(least, links), f"a {kind}, b {kind}, score double", 2048)
+    schema = f"a {kind}, b {kind}, score double"
+    if not links:
+        found = in_cells(rows.withColumn("g", F.lit("")), "id", "g", _scores(least, False), schema, 2048)
+    elif rows.count() < few:
+        found = open_with_all(rows.withColumns({"label": F.col("id"), "open": F.lit(True)}), "id", _links(least), schema)
+    else:
+        words = F.split(F.coalesce(F.get("names", F.lit(0)), F.lit("")), " ")
+        near = None
+        for k in TURNS:
+            head = F.slice(words, 1, F.greatest(F.size(words) + k, F.lit(0)) if k < 0 else F.lit(k))
+            turned = F.concat_ws(" ", F.slice(words, F.size(head) + 1, F.size(words)), head)
+            some = in_windows(rows, [turned, F.col("id")], _scores(least, True), schema)
+            near = some if near is None else near.unionByName(some)
+        near = scratch.keep(near, "near")
+        groups = scratch.keep(connected_components(near, "a", "b"), "groups")
+        largest = groups.groupBy("component").agg(F.count("*").alias("n")).agg(F.max_by("component", F.struct("n", "component")).alias("component"), F.lit(True).alias("largest"))
+        known = rows.join(groups.withColumnRenamed("node", "id"), "id", "left").join(F.broadcast(largest), "component", "left")  # one row
+        known = scratch.keep(known.select(*rows.columns, F.coalesce("component", "id").alias("label"), F.col("largest").isNull().alias("open")), "known")
+        found = near.unionByName(open_with_all(known, "id", _links(least), schema))
     return found.select("a", "b", F.round("score", 9).alias("score")).filter(F.col("score") >= least)
 
 
 def _scores(least: float, links: bool):
     def run(left: pa.Table, right: pa.Table, same: bool) -> Iterator[dict]:
         cell = _Cell(left, right, least - 5e-10)  # rounded to nine places later
-        i, j = np.nonzero(cell.likely(same))
-        ahead = cell.ids_left[i] < cell.ids_right[j]  # the order in which two entities are compared
         forest = Forest(len(left) if same else len(left) + len(right)) if links else None
-        shift = 0 if same else len(left)
-        for turned in (False, True):
-            todo = np.flatnonzero((ahead != turned) & (cell.ids_left[i] != cell.ids_right[j]))
-            side = cell.turned() if turned else cell
-            a, b = (j[todo], i[todo]) if turned else (i[todo], j[todo])
-            most = side.bounds(a, b)
-            order = np.argsort(-most, kind="stable")
-            order = order[most[order] >= side.least]
-            of = (lambda x, y: (y, x + shift)) if turned else (lambda x, y: (x, y + shift))
-            for s in range(0, len(order), PAIRS):
-                at = order[s : s + PAIRS]
-                x, y = of(a[at], b[at])
-                scores = np.full(len(at), -1.0)
-                if forest:
-                    open_ = forest.apart(x, y)
-                    for n in np.flatnonzero(open_).tolist():
-                        if forest.joined(x[n], y[n]):
-                            continue
-                        scores[n] = side.score(int(a[at[n]]), int(b[at[n]]))
-                        if scores[n] >= side.least:
-                            forest.join(x[n], y[n])
-                    forest.settle()
-                else:
-                    scores[:] = [side.score(p, q) for p, q in zip(a[at].tolist(), b[at].tolist())]
-                kept = scores >= side.least
-                yield {"a": side.left["id"].take(pa.array(a[at[kept]])), "b": side.right["id"].take(pa.array(b[at[kept]])), "score": scores[kept]}
+        yield from _scored(cell, *np.nonzero(cell.likely(same)), forest, 0 if same else len(left))
 
     return run
 
 
+def _links(least: float):
+    """For ``open_with_all``: links between rows that neither their labels nor the links before them join."""
+
+    def begin(left: pa.Table):
+        return _Linking(left, least - 5e-10)
+
+    return begin
+
+
+class _Linking:
+    """Links of a task's rows with others that it is given. The labels of linked rows become one, so that a row is no longer compared
+    with those it is joined to already: neither with closed rows, once it is in their group."""
+
+    def __init__(self, left: pa.Table, least: float):
+        self.left, self.least, self.rows = left, least, len(left)
+        self.labels, self.to = left["label"].to_pylist(), {}
+
+    def _now(self, label):
+        while (to := self.to.get(label, label)) != label:
+            self.to[label] = self.to.get(to, to)
+            label = to
+        return label
+
+    def __call__(self, right: pa.Table) -> Iterator[dict]:
+        others = [self._now(x) for x in right["label"].to_pylist()]
+        self.labels = [self._now(x) for x in self.labels]
+        if len(only := set(others)) == 1:  # rows in the group of all that are given are joined to them
+            apart = np.array([x not in only for x in self.labels], bool)
+        else:
+            apart = np.ones(len(self.labels), bool)
+        at = np.flatnonzero(apart)
+        if not len(at):
+            return
+        cell = _Cell(self.left.take(pa.array(at)), right, self.least)
+        labels = [self.labels[n] for n in at.tolist()] + others
+        forest = Forest(len(labels), labels)
+        i, j = np.nonzero(cell.likely(False))
+        once = ~right["_own"].to_numpy()[j] | (cell.ids_left[i] < cell.ids_right[j])
+        open_ = once & forest.apart(i, j + len(at))
+        for found in _scored(cell, i[open_], j[open_], forest, len(at)):
+            yield found
+        for n, root in enumerate(forest.root.tolist()):
+            x, y = self._now(labels[n]), self._now(labels[root])
+            if x != y:
+                self.to[x] = y
+
+
+def _scored(cell: _Cell, i: np.ndarray, j: np.ndarray, forest: Forest | None, shift: int) -> Iterator[dict]:
+    """The scores of pairs of a cell; with a forest, whose rows on the right begin at ``shift``, of those that link."""
+    ahead = cell.ids_left[i] < cell.ids_right[j]  # the order in which two entities are compared
+    for turned in (False, True):
+        todo = np.flatnonzero((ahead != turned) & (cell.ids_left[i] != cell.ids_right[j]))
+        side = cell.turned() if turned else cell
+        a, b = (j[todo], i[todo]) if turned else (i[todo], j[todo])
+        most = side.bounds(a, b)
+        order = np.argsort(-most, kind="stable")
+        order = order[most[order] >= side.least]
+        of = (lambda x, y: (y, x + shift)) if turned else (lambda x, y: (x, y + shift))
+        for s in range(0, len(order), PAIRS):
+            at = order[s : s + PAIRS]
+            x, y = of(a[at], b[at])
+            scores = np.full(len(at), -1.0)
+            if forest:
+                open_ = forest.apart(x, y)
+                for n in np.flatnonzero(open_).tolist():
+                    if forest.joined(x[n], y[n]):
+                        continue
+                    scores[n] = side.score(int(a[at[n]]), int(b[at[n]]), side.alias_most[at[n]])
+                    if scores[n] >= side.least:
+                        forest.join(x[n], y[n])
+                forest.settle()
+            else:
+                scores[:] = [side.score(p, q, m) for p, q, m in zip(a[at].tolist(), b[at].tolist(), side.alias_most[at].tolist())]
+            kept = scores >= side.least
+            yield {"a": side.left["id"].take(pa.array(a[at[kept]])), "b": side.right["id"].take(pa.array(b[at[kept]])), "score": scores[kept]}
+
+
 class _Cell:
     """The scores of entities of one side with those of another, and what they are at most."""
 
@@ -328,6 +400,7 @@ class _Cell:
         letters = Letters([t or "" for t in self.name_a], [t or "" for t in self.name_b])
         fixed += 0.1 * Letters(self.head_a, self.head_b).lengths(i, j) + 0.5 * letters.bound(i, j)
         out = fixed + 0.3
+        self.alias_most = np.full(len(i), 0.3)
         todo = np.flatnonzero(out >= self.least)
         todo = todo[fixed[todo] < self.least]  # the others are scored in any case
         n_a, n_b = np.array([len(n) for n in self.names_a], int), np.array([len(n) for n in self.names_b], int)
@@ -341,16 +414,17 @@ class _Cell:
             wide = n_b[j[at]][pair]
             alike = letters.bound(at_a[i[at]][pair] + k // wide, at_b[j[at]][pair] + k % wide, ALIAS_LIKE) >= ALIAS_LIKE
             near = np.bincount(pair[alike], minlength=len(at))
-            out[at] = fixed[at] + np.where(near > 1, 0.3, np.where(near == 1, 0.21, 0.0))
+            self.alias_most[at] = np.where(near > 1, 0.3, np.where(near == 1, 0.21, 0.0))
+        out = fixed + self.alias_most
         return out + 1e-9
 
-    def score(self, i: int, j: int) -> float:
-        """The score; -1 as soon as it cannot reach ``least``."""
+    def score(self, i: int, j: int, alias_most: float) -> float:
+        """The score; -1 as soon as it cannot reach ``least``. alias_most: what the aliases add at most, of ``bounds``."""
         kind = 0.1 * _compatible(self.type_a[i], self.type_b[j])
         name = 0.5 * gestalt(self.name_a[i], self.name_b[j])
-        if name + 0.3 + kind + 0.1 < self.least:
+        if name + alias_most + kind + 0.1 < self.least - 1e-9:
             return -1.0
-        alias = 0.3 * alias_overlap(self.names_a[i], self.names_b[j])
+        alias = 0.3 * alias_overlap(self.names_a[i], self.names_b[j]) if alias_most else 0.0
         if name + alias + kind + 0.1 * lcs_ratio(self.head_a[i], self.head_b[j]) < self.least - 1e-9:
             return -1.0
         return name + alias + kind + 0.1 * gestalt(self.head_a[i], self.head_b[j])
@@ -417,8 +491,11 @@ def deduplicate(entities: DataFrame, relations: DataFrame, ask: Ask, rules: Data
     placed = scratch.keep(placed, "placed")
     asked = _listed(placed, ["grp"], line, "ARBITRATE").filter(F.size("members") > 1)
     answers = ask(asked.select(F.col("grp").alias("key"), "prompt")).select(F.col("key").alias("grp"), "answer")
-    kept, moved = apply_decisions(placed, actions(answers), priority)
+    decided = scratch.keep(actions(answers), "decided")  # read by both results; the model is asked once
+    kept, moved = apply_decisions(placed, decided, priority)
     kept, moved = scratch.keep(kept, "kept"), scratch.keep(moved, "moved")
-    clean = drop_common_aliases(kept, "id")
+    scratch.drop("groups", "placed", "decided")
+    clean = scratch.keep(drop_common_aliases(kept, "id"), "clean")
+    scratch.drop("kept")
     wired = apply_redirects(relations, resolve_redirects(moved.filter("source <> target")), "source", "target")
     return clean, drop_orphans(wired, clean, "source", "target", "normalized_name"), validate(clean, rules)

@@ -6,11 +6,12 @@ compares them; those that are kept leave it, and where only connected groups are
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..joins import maybe_broadcast
@@ -20,6 +21,8 @@ SLAB, CHUNK, DENSE = 4_000_000, 200_000, 0.05
 
 #: (left rows, right rows, whether they are the same rows) -> column arrays of what is kept
 Compare = Callable[[pa.Table, pa.Table, bool], Iterator[dict]]
+#: (rows of a task) -> a call with ``rows``, their number, that takes others -> column arrays of what is kept
+Begin = Callable[[pa.Table], Callable[[pa.Table], Iterator[dict]]]
 
 
 def in_cells(rows: DataFrame, key: str, block: str, compare: Compare, schema: str, size: int = 8192) -> DataFrame:
@@ -38,6 +41,86 @@ def in_cells(rows: DataFrame, key: str, block: str, compare: Compare, schema: st
     return placed.repartition(min(max(2 * cells, 12), 2000), "_cell").sortWithinPartitions("_cell").mapInArrow(_by_cell(compare, schema_of(rows.sparkSession, schema)), schema)
 
 
+def in_windows(rows: DataFrame, order: list[Column], compare: Compare, schema: str, size: int = 512) -> DataFrame:
+    """What ``compare`` yields for every ``size`` rows that follow one another in the order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) >= size:
+                table = pa.Table.from_batches(held)
+                full = len(table) - len(table) % size
+                for at in range(0, full, size):
+                    yield from _batches(compare(table.slice(at, size), table.slice(at, size), True), kind)
+                held = table.slice(full).to_batches()
+        if held:
+            table = pa.Table.from_batches(held)
+            yield from _batches(compare(table, table, True), kind)
+
+    kind = schema_of(rows.sparkSession, schema)
+    return rows.repartitionByRange(max(12, math.ceil(rows.count() / (4 * size))), *order).sortWithinPartitions(*order).mapInArrow(run, schema)
+
+
+def open_with_all(rows: DataFrame, key: str, begin: Begin, schema: str, size: int = 8192) -> DataFrame:
+    """What ``begin`` and what it returns yield for every two rows of which at least one has a true column ``open``.
+
+    A task holds a part of the open rows and is given others slab by slab, all open ones before the closed ones; so a closed row is
+    shuffled once for each part of the open rows. Two open rows of one part come in either order, others once; column ``_own``
+    of the rows given says whether they are of the task's own part.
+    """
+    n = rows.filter("open").count()
+    parts = max(math.ceil(n / size), min(6, math.ceil(n / 500)), 1)
+    lanes = math.ceil(12 / parts)  # the rows given to a part are dealt to so many tasks
+    at = lambda what, many: F.pmod(F.xxhash64(F.lit(what), key), F.lit(many)).cast("int")
+    rows = rows.withColumn("_part", F.when(F.col("open"), at("part", parts)))
+    held = rows.filter("open").withColumn("_to", F.col("_part")).withColumn("_lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    given = rows.withColumn("_to", F.explode(F.sequence(F.lit(0), F.coalesce("_part", F.lit(parts - 1))))).withColumn("_lane", at("lane", lanes))
+    cell = (F.col("_to") * lanes + F.col("_lane")).cast("int").alias("_cell")
+    own = [c for c in rows.columns if c not in ("open", "_part")]
+    both = held.select(cell, F.lit(0).alias("_phase"), F.lit(True).alias("_own"), *own).unionByName(
+        given.select(cell, F.when(F.col("open"), 1).otherwise(2).alias("_phase"), (F.col("_part").isNotNull() & (F.col("_part") == F.col("_to"))).alias("_own"), *own)
+    )
+    return both.repartitionById(parts * lanes, F.col("_cell")).sortWithinPartitions("_cell", "_phase").mapInArrow(_by_slab(begin, schema_of(rows.sparkSession, schema)), schema)
+
+
+def _by_slab(begin: Begin, schema: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step, now, held = None, None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            nonlocal step
+            if held and now[1] == 0:
+                step = begin(pa.Table.from_batches(held))
+            elif held:
+                table = pa.Table.from_batches(held)
+                slab = max(64, SLAB // step.rows)
+                for at in range(0, len(table), slab):
+                    yield from _batches(step(table.slice(at, slab)), schema)
+            held.clear()
+
+        for batch in batches:
+            cell, phase = (batch.column(c).to_numpy() for c in ("_cell", "_phase"))
+            at = [0, *(np.flatnonzero(np.diff(cell) | np.diff(phase)) + 1), len(batch)]
+            for start, end in zip(at, at[1:]):
+                if end == start:
+                    continue
+                name = int(cell[start]), int(phase[start])
+                if name != now or now[1] and sum(map(len, held)) >= SLAB // step.rows:
+                    yield from done()
+                now = name
+                held.append(batch.slice(start, end - start))
+        yield from done()
+
+    return run
+
+
+def _batches(found: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    for columns in found:
+        table = pa.table({f.name: pa.array(columns[f.name]) if isinstance(columns[f.name], np.ndarray) else columns[f.name] for f in schema}).cast(schema)
+        yield from table.combine_chunks().to_batches(max_chunksize=50_000)
+
+
 def schema_of(spark, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -49,9 +132,7 @@ def _by_cell(compare: Compare, schema: pa.Schema):
     def done(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell = pa.Table.from_batches(parts)
         left, right = cell.filter(cell["_left"]), cell.filter(cell["_right"])
-        for columns in compare(left, right, len(left) + len(right) > len(cell)):
-            table = pa.table({f.name: pa.array(columns[f.name]) if isinstance(columns[f.name], np.ndarray) else columns[f.name] for f in schema}).cast(schema)
-            yield from table.combine_chunks().to_batches(max_chunksize=50_000)
+        yield from _batches(compare(left, right, len(left) + len(right) > len(cell)), schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -124,10 +205,13 @@ def products(left, right, kind: str = "float64") -> Iterator[tuple[int, np.ndarr
 
 
 class Forest:
-    """Which pairs link rows that no pair before them linked. Rows are numbers below n."""
+    """Which pairs link rows that no pair before them linked. Rows are numbers below n; those of one label are linked from the start."""
 
-    def __init__(self, n: int):
+    def __init__(self, n: int, labels: list | None = None):
         self.root = np.arange(n)
+        if labels is not None:
+            first: dict = {}
+            self.root = np.array([first.setdefault(x, i) for i, x in enumerate(labels)], int)
         self._to: dict[int, int] = {}
 
     def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -172,23 +256,15 @@ class Letters:
     of the longest one over both lengths is no less. Texts over 64 letters are bounded by their lengths alone."""
 
     def __init__(self, left: list[str], right: list[str]):
-        codes = {c: n for n, c in enumerate(sorted({c for t in (*left, *right) for c in t}))}
-        self.n_left, self.n_right = np.array([len(t) for t in left], int), np.array([len(t) for t in right], int)
-        self.masks = np.zeros((len(left), len(codes) + 1), np.uint64)
-        self.codes = np.full((len(right), max(1, min(64, self.n_right.max(initial=1)))), len(codes), np.int32)
-        for texts, fill in ((left, self._mask), (right, self._code)):
-            for n, t in enumerate(texts):
-                if len(t) <= 64:
-                    fill(n, t, codes)
-
-    def _mask(self, n: int, text: str, codes: dict[str, int]) -> None:
-        of: dict[int, int] = {}
-        for i, c in enumerate(text):
-            of[codes[c]] = of.get(codes[c], 0) | (1 << i)
-        self.masks[n, list(of)] = np.array(list(of.values()), np.uint64)
-
-    def _code(self, n: int, text: str, codes: dict[str, int]) -> None:
-        self.codes[n, : len(text)] = [codes[c] for c in text]
+        letters, row, at, size = _letters([*left, *right])
+        self.n_left, self.n_right = size[: len(left)], size[len(left) :]
+        many = int(letters.max(initial=-1)) + 1
+        self.masks = np.zeros((len(left), many + 1), np.uint64)
+        self.codes = np.full((len(right), max(1, min(64, self.n_right.max(initial=1)))), many, np.int32)
+        short = size[row] <= 64
+        a, b = np.flatnonzero(short & (row < len(left))), np.flatnonzero(short & (row >= len(left)))
+        np.bitwise_or.at(self.masks, (row[a], letters[a]), np.uint64(1) << at[a].astype(np.uint64))
+        self.codes[row[b] - len(left), at[b]] = letters[b]
 
     def lengths(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         a, b = self.n_left[i], self.n_right[j]
@@ -212,18 +288,37 @@ class Letters:
         return out
 
 
-def pieces_of(texts: list[str], n: int, codes: dict[str, int]):
-    """The different pieces of n letters of each text as features (see ``sparse``); a shorter text is one piece."""
-    sets = [{t[i : i + n] for i in range(len(t) - n + 1)} if len(t) >= n else {t} for t in texts]
-    flat = np.fromiter((codes.setdefault(p, len(codes)) for s in sets for p in s), dtype=np.int64, count=sum(map(len, sets)))
-    return sparse([len(s) for s in sets], flat)
+def _letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the letter, text, place in it) of all letters of the texts, and the length of each text."""
+    size = np.array([len(t) for t in texts], int)
+    _, letters = np.unique(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+    row = np.repeat(np.arange(len(texts)), size)
+    return letters, row, np.arange(len(letters)) - np.repeat(np.cumsum(size) - size, size), size
+
+
+def pieces_of(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, piece): the different pieces of n letters of each text, in order of the texts; a shorter text is one piece."""
+    letters, row, at, size = _letters(texts)
+    begin = np.flatnonzero(at <= size[row] - n)
+    piece = letters[begin]
+    for k in range(1, n):
+        _, piece = np.unique(piece * (len(letters) + 1) + letters[begin + k], return_inverse=True)
+    short = np.flatnonzero(size < n)
+    whole: dict[str, int] = {}
+    first = int(piece.max(initial=-1)) + 1
+    piece = np.concatenate([piece, np.array([first + whole.setdefault(texts[t], len(whole)) for t in short.tolist()], int)])
+    top = int(piece.max(initial=0)) + 1
+    both = np.unique(np.concatenate([row[begin], short]) * top + piece)
+    return both // top, both % top
 
 
 def sharing(left: list[str], right: list[str], n: int, shared: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(i, j): texts of which the share of the longer one's pieces of n letters is common to both."""
-    codes: dict[str, int] = {}
-    a, b = pieces_of(left, n, codes), pieces_of(right, n, codes)
-    size_a, size_b = np.bincount(a[1], minlength=len(left)), np.bincount(b[1], minlength=len(right))
+    row, piece = pieces_of([*left, *right], n)
+    size = np.bincount(row, minlength=len(left) + len(right))
+    size_a, size_b = size[: len(left)], size[len(left) :]
+    cut = int(size_a.sum())
+    a, b = sparse(size_a, piece[:cut]), sparse(size_b, piece[cut:])
     for start, common in products(a, b, "float32"):
         size = size_a[start : start + len(common)]
         i, j = np.nonzero(common >= np.float32(0.99) * np.float32(shared) * size[:, None].astype("float32"))

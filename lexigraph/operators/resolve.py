@@ -43,8 +43,10 @@ def alias_overlap(a: list[str], b: list[str], like: Callable[[str, str], bool] |
 
 
 def like_alias(x: str, y: str) -> bool:
-    """A gestalt ratio of ALIAS_LIKE; the common subsequence bounds it and is counted sooner."""
-    return x == y != "" or (lcs_ratio(x, y) >= ALIAS_LIKE and gestalt(x, y) >= ALIAS_LIKE)
+    """A gestalt ratio of ALIAS_LIKE; the lengths and the common subsequence bound it and are counted sooner."""
+    if x == y:
+        return x != ""
+    return 2.0 * min(len(x), len(y)) >= ALIAS_LIKE * (len(x) + len(y)) - 1e-9 and lcs_ratio(x, y) >= ALIAS_LIKE and gestalt(x, y) >= ALIAS_LIKE
 
 
 def compared_names(name: Column, aliases: Column) -> Column:

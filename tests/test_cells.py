@@ -98,3 +98,37 @@ def test_names_of_mentions_are_normalised_once(spark):
     got = rt.resolve_mentions(asked, known)
     assert "regexp_replace" not in got._jdf.queryExecution().optimizedPlan().toString()  # the long expression, once a use
     assert [tuple(r)[:4] for r in got.collect()] == [("Hamza ibn Abd", "Hamza ibn Abd", "hamza", 0.8)]
+
+
+def test_links_by_neighbours_first_are_those_of_all_pairs(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abdghijklmnrstuwz") for _ in range(rng.randrange(5, 9))) for _ in range(60)]
+    rows = [(n, f"{rng.choice(words)} ibn {rng.choice(words)} al-{rng.choice(words)}", [f"Abu {rng.choice(words)}"] if rng.random() < 0.4 else [], rng.choice(["Person", "Prophet", "Place"]), " ".join(rng.sample(words, 3))) for n in range(1300)]
+    df = spark.createDataFrame(rows, "id long, name string, aliases array<string>, type string, context_description string")
+    groups = lambda links: {(r["node"], r["grp"]) for r in rs.similarity_groups(links, df.select(df["id"].alias("node"))).collect()}
+    want = groups(ar.scored_pairs(df, 0.5))
+    assert 10 < len({g for _, g in want}) < 1300  # some are linked, some are not
+    assert groups(ar.scored_pairs(df, 0.5, links=True, few=100)) == want == groups(ar.scored_pairs(df, 0.5, links=True))
+
+
+def test_closed_rows_are_shuffled_once_a_part_of_the_open_ones(spark):
+    seen = lambda left: type("Seen", (), {"rows": len(left), "__call__": lambda self, right: iter([{"a": np.repeat(left["id"].to_numpy(), len(right)), "b": np.tile(right["id"].to_numpy(), len(left))}])})()
+    rows = spark.range(3000).selectExpr("id", "id % 10 = 0 AS open")
+    got = ce.open_with_all(rows, "id", seen, "a long, b long").toPandas()
+    pairs = set(zip(got[["a", "b"]].min(axis=1), got[["a", "b"]].max(axis=1)))
+    assert len(got) < 300 * 3000 + 1 and pairs >= {(a, b) if a < b else (b, a) for a in range(0, 3000, 10) for b in range(3000)}
+
+
+def test_the_model_is_asked_once(spark):
+    from lexigraph.plans import providers as pv
+
+    asked = spark.sparkContext.accumulator(0)
+
+    def rule(prompts):
+        asked.add(len(prompts))
+        return ['{"actions": []}'] * len(prompts)
+
+    df = spark.createDataFrame([(n, f"Zayd ibn Harith{n}", f"zayd ibn harith{n}", [], "Person", "x", 1.0) for n in range(6)], "id long, name string, normalized_name string, aliases array<string>, type string, context_description string, confidence double")
+    relations = spark.createDataFrame([("zayd ibn harith1", "zayd ibn harith2")], "source string, target string")
+    results = ar.deduplicate(df, relations, lambda prompts: pv.ask(prompts, rule), spark.createDataFrame([("Person", 1, 9)], "type string, least int, most int"), {})
+    assert [r.count() for r in results] == [6, 1, 1] and asked.value == 1
