@@ -201,3 +201,22 @@ def test_learning_separates_good_from_bad_functions():
     model = quality.learn(patterns, kinds)
     assert model["prior"]["prose"] > 0.8
     assert max(quality.KINDS, key=lambda k: quality.posterior((0, 1, 0), kinds, **model)[k]) == "list"
+
+
+def test_tokens_of_all_texts_are_looked_up_without_functions_of_elements(spark, monkeypatch):
+    from lexigraph.llm import scanned
+    from lexigraph.scratch import Scratch
+
+    plans, keep = {}, Scratch.keep
+
+    def kept(self, df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return keep(self, df, name)
+
+    monkeypatch.setattr(Scratch, "keep", kept)
+    texts = ["the caravan came\tto the wells", "«caravan»\nreached the wells", "a cara-\nvan left", "the caravan, again", "«coravan»\tcame to the wells", "coravan\rleft"]
+    chunks = spark.createDataFrame([(str(n), t) for n, t in enumerate(texts)], "chunk_id string, chunk_text string")
+    grams = spark.createDataFrame([("caravan", 40), ("coravan", 2)], "gram string, n long")
+    got = {r["chunk_id"]: r["counts"] for r in scanned.rare_counts(chunks, grams, 50).filter("odd").collect()}
+    assert got == {"4": {"caravan": 40, "coravan": 2}, "5": {"caravan": 40, "coravan": 2}}
+    assert "lambda" not in plans["hits"]
