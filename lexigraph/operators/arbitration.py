@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql.window import Window
 from ..functions.similarity import gestalt, lcs_ratio
 from ..functions.text import json_part, normalize_name, strip, tuples
 from ..scratch import Scratch
-from .cells import Compare, Forest, Letters, in_cells, in_windows, open_with_all, sharing
+from .cells import Compare, Forest, Letters, in_cells, in_windows, near, open_with_all, sharing
 from .components import connected_components
 from .graph import drop_common_aliases, drop_orphans, validate
 from .resolve import ALIAS_LIKE, COMPATIBLE, CONTEXT, INCOMPATIBLE, alias_overlap, apply_redirects, canonical_merge, compared_names, resolve_redirects, similarity_groups
@@ -56,49 +57,85 @@ def likely_pairs(rows: DataFrame, key: str, text: str, block: str | None = None,
 
     Pieces are counted cell by cell, on the whole sets. Shorter texts count as one piece.
     """
-    found = _compared(rows, key, text, block, _alike(shared, None, False), "likely")
+    found = _compared(rows, key, text, block, _likely(shared), "likely")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def alike_pairs(rows: DataFrame, key: str, text: str, block: str | None = None, likeness: float = 0.75, links: bool = False) -> DataFrame:
-    """(a, b): the likely pairs whose texts are alike in letters (gestalt ratio, the text of the lesser key first); with ``links``
-    only so many as link the same keys."""
-    return _compared(rows, key, text, block, _alike(SHARED, likeness, links), "alike")
+def alike_pairs(rows: DataFrame, key: str, text: str, block: str | None = None, likeness: float = 0.75, links: bool = False, label: str | None = None) -> DataFrame:
+    """(a, b): keys of one block whose texts are alike in letters (gestalt ratio, the text of the lesser key first), all of them; with
+    ``links`` only so many as link the same keys, those of one ``label`` being linked already.
+
+    Every two texts are bounded, by the letters they have in common and by their common subsequence; what may be alike is compared.
+    """
+    return _compared(rows, key, text, block, _alike(likeness, links, label is not None), "alike", label)
 
 
-def _compared(rows: DataFrame, key: str, text: str, block: str | None, compare: Compare, name: str) -> DataFrame:
-    given = rows.filter((F.col(text) != "") & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), (F.coalesce(block, F.lit("\u0000")) if block else F.lit("")).alias("g")).distinct()
+def _compared(rows: DataFrame, key: str, text: str, block: str | None, compare: Compare, name: str, label: str | None = None) -> DataFrame:
+    named = [F.col(label).alias("label")] if label else []
+    given = rows.filter((F.col(text) != "") & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), (F.coalesce(block, F.lit("\u0000")) if block else F.lit("")).alias("g"), *named).distinct()
     given = Scratch(rows.sparkSession, name).keep(given, "texts")
     kind = dict(given.dtypes)["k"]
     return in_cells(given, "k", "g", compare, f"a {kind}, b {kind}").filter("a <> b")
 
 
-def _alike(shared: float, likeness: float | None, links: bool) -> Compare:
+def _likely(shared: float) -> Compare:
+    def run(left: pa.Table, right: pa.Table, same: bool) -> Iterator[dict]:
+        for i, j in sharing(left["t"].to_pylist(), right["t"].to_pylist(), PIECE, shared):
+            if same:
+                i, j = i[j > i], j[j > i]
+            yield {"a": left["k"].take(pa.array(i)), "b": right["k"].take(pa.array(j))}
+
+    return run
+
+
+def _open(left: list, right: list, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows of left, rows of right) to be compared if two of the commonest label need not be: each two others once, of the same rows
+    some in either order."""
+    most = Counter(left + right).most_common(1)
+    a, b = (np.array([x != most[0][0] for x in side], bool) for side in (left, right))
+    yield np.flatnonzero(a), np.arange(len(b))
+    if not same:
+        yield np.flatnonzero(~a), np.flatnonzero(b)
+
+
+def _alike(likeness: float, links: bool, labelled: bool) -> Compare:
     def run(left: pa.Table, right: pa.Table, same: bool) -> Iterator[dict]:
         texts = left["t"].to_pylist(), right["t"].to_pylist()
         keys = [t["k"].to_pandas().to_numpy() for t in (left, right)]
-        forest = Forest(len(left) if same else len(left) + len(right)) if links else None
-        letters = Letters(*texts) if likeness is not None else None
-        for i, j in sharing(*texts, PIECE, shared):
+        labels = [t["label"].to_pylist() for t in (left, right)] if labelled else None
+        shift = 0 if same else len(left)
+        forest = Forest(len(right) + shift, labels and (labels[0] if same else labels[0] + labels[1])) if links else None
+        letters = Letters(*texts)
+        whole = np.arange(len(left)), np.arange(len(right))
+        for rows_a, rows_b in _open(*labels, same) if labels and links else [whole]:
+            twice = np.zeros(len(right), bool)
             if same:
-                i, j = i[j > i], j[j > i]
-            if letters is not None:
-                near = letters.bound(i, j, likeness) >= likeness
-                i, j = i[near], j[near]
+                twice[rows_a] = True
+            for i, j in near([texts[0][n] for n in rows_a.tolist()], [texts[1][n] for n in rows_b.tolist()], likeness):
+                i, j = rows_a[i], rows_b[j]
+                if same:  # two rows that are both compared with all come in either order
+                    once = (j > i) | ~twice[j]
+                    i, j = i[once], j[once]
+                if forest:
+                    apart = forest.apart(i, j + shift)
+                    i, j = i[apart], j[apart]
+                alike = letters.bound(i, j, likeness)
+                order = np.argsort(-alike, kind="stable")
+                order = order[alike[order] >= likeness]
+                i, j = i[order], j[order]
                 turned = keys[0][i] > keys[1][j]
                 kept = np.zeros(len(i), bool)
                 for n, (x, y, t) in enumerate(zip(i.tolist(), j.tolist(), turned.tolist())):
-                    ends = x, y if same else y + len(left)
-                    if forest and forest.joined(*ends):
+                    if forest and forest.joined(x, y + shift):
                         continue
                     a, b = texts[0][x], texts[1][y]
                     kept[n] = gestalt(b, a) >= likeness if t else gestalt(a, b) >= likeness
                     if forest and kept[n]:
-                        forest.join(*ends)
+                        forest.join(x, y + shift)
                 if forest:
                     forest.settle()
                 i, j = i[kept], j[kept]
-            yield {"a": left["k"].take(pa.array(i)), "b": right["k"].take(pa.array(j))}
+                yield {"a": left["k"].take(pa.array(i)), "b": right["k"].take(pa.array(j))}
 
     return run
 
@@ -107,14 +144,19 @@ def hybrid_edges(entities: DataFrame, cosine: float = 0.3, likeness: float = 0.7
     """(a, b): ids of one category (null equals null) that are alike in words (TF-IDF cosine of title and description), of which
     one slug contains the other, or whose slugs are alike in letters (gestalt ratio).
 
-    entities: id, category, slug, title, description. The union of three joins; pairs alike in letters are looked for among the
-    likely pairs (a third of their pieces in common). With ``links`` only so many as link the same ids, some more than once.
+    entities: id, category, slug, title, description. The union of three joins, of all pairs each. With ``links`` only so many as
+    link the same ids, some more than once: what the first two joins link is not compared in letters.
     """
     e = entities.select("id", F.coalesce("category", F.lit("\u0000")).alias("category"), F.coalesce("slug", F.lit("")).alias("slug"), F.concat_ws(" ", "title", F.translate("description", "|", " ")).alias("t"))
-    e = Scratch(entities.sparkSession, "hybrid").keep(e, "entities")
-    words = tfidf_pairs(e, "id", "t", cosine, "category", links=links).select("a", "b")
-    letters = alike_pairs(e, "id", "slug", "category", likeness, links).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    found = words.unionByName(contained_pairs(e, "id", "slug", "category")).unionByName(letters)
+    scratch = Scratch(entities.sparkSession, "hybrid")
+    e = scratch.keep(e, "entities")
+    found = tfidf_pairs(e, "id", "t", cosine, "category", links=links).select("a", "b").unionByName(contained_pairs(e, "id", "slug", "category"))
+    if links:
+        found = scratch.keep(found, "found")
+        groups = connected_components(found, "a", "b").select(F.col("node").alias("id"), "component")
+        e = e.join(groups, "id", "left").withColumn("label", F.coalesce("component", "id"))
+    letters = alike_pairs(e, "id", "slug", "category", likeness, links, "label" if links else None).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    found = found.unionByName(letters)
     return found if links else found.distinct()
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..joins import maybe_broadcast
 
 #: Numbers in a slab of pairs, pairs whose subsequences are counted at once, and the share of rows from which on a feature goes by a product of matrices.
-SLAB, CHUNK, DENSE = 4_000_000, 200_000, 0.05
+SLAB, CHUNK, DENSE = 4_000_000, 16_000, 0.05
 
 #: (left rows, right rows, whether they are the same rows) -> column arrays of what is kept
 Compare = Callable[[pa.Table, pa.Table, bool], Iterator[dict]]
@@ -260,11 +260,11 @@ class Letters:
         self.n_left, self.n_right = size[: len(left)], size[len(left) :]
         many = int(letters.max(initial=-1)) + 1
         self.masks = np.zeros((len(left), many + 1), np.uint64)
-        self.codes = np.full((len(right), max(1, min(64, self.n_right.max(initial=1)))), many, np.int32)
+        self.codes = np.full((max(1, min(64, self.n_right.max(initial=1))), len(right)), many)
         short = size[row] <= 64
         a, b = np.flatnonzero(short & (row < len(left))), np.flatnonzero(short & (row >= len(left)))
         np.bitwise_or.at(self.masks, (row[a], letters[a]), np.uint64(1) << at[a].astype(np.uint64))
-        self.codes[row[b] - len(left), at[b]] = letters[b]
+        self.codes[at[b], row[b] - len(left)] = letters[b]
 
     def lengths(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         a, b = self.n_left[i], self.n_right[j]
@@ -274,14 +274,18 @@ class Letters:
         """The bounds; of pairs whose lengths keep them below ``least``, by the lengths."""
         out = self.lengths(i, j)
         todo = np.flatnonzero((out >= least) & (out > 0) & (self.n_left[i] <= 64) & (self.n_right[j] <= 64))
+        flat, wide = self.masks.ravel(), self.masks.shape[1]
         for s in range(0, len(todo), CHUNK):
             at = todo[s : s + CHUNK]
             a, b = i[at], j[at]
-            flat, base = self.masks.ravel(), a * self.masks.shape[1]
+            base = a * wide
             row = np.full(len(at), ~np.uint64(0))
             for k in range(int(self.n_right[b].max())):
-                hit = row & flat[base + self.codes[b, k]]
-                row = (row + hit) | (row - hit)
+                hit = flat.take(self.codes[k].take(b) + base)
+                hit &= row
+                rest = row ^ hit
+                row += hit
+                row |= rest
             length = self.n_left[a].astype(np.uint64)
             mask = np.where(length >= 64, ~np.uint64(0), (np.uint64(1) << np.minimum(length, np.uint64(63))) - np.uint64(1))
             out[at] = 2.0 * np.bitwise_count(~row & mask) / (self.n_left[a] + self.n_right[b])
@@ -291,11 +295,59 @@ class Letters:
 def _letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(number of the letter, text, place in it) of all letters of the texts, and the length of each text."""
     size = np.array([len(t) for t in texts], int)
-    _, letters = np.unique(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    known = np.zeros(int(points.max(initial=0)) + 1, bool)
+    known[points] = True
+    letters = (np.cumsum(known) - 1)[points]
     row = np.repeat(np.arange(len(texts)), size)
     return letters, row, np.arange(len(letters)) - np.repeat(np.cumsum(size) - size, size), size
 
 
+def most_alike(left: list[str], right: list[str], pieces: tuple[int, ...] = (1, 2)) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, upper bounds): of the gestalt ratio of each text of ``left`` with each of ``right``, a slab of rows at a time.
+
+    What is matched, M letters of the S of both, is no more than the letters in common, each as often as both have it. Two blocks
+    that follow one another have an unmatched letter between them, in one text at least, so there are S - 2M + 1 blocks at most, and
+    3M - S - 1 pairs of letters in common at least. So no pair is missed, however few pieces it shares.
+    """
+    letters, row, at, size = _letters([*left, *right])
+    size_a, size_b = size[: len(left)].astype("float32"), size[len(left) :].astype("float32")
+
+    def common(n: int) -> Iterator[tuple[int, np.ndarray]]:
+        begin = np.flatnonzero(at <= size[row] - n)
+        many, piece = int(letters.max(initial=0)) + 1, letters[begin]
+        for k in range(1, n):
+            piece = piece * many + letters[begin + k]
+        top = int(piece.max(initial=0)) + 1
+        each, often = np.unique(row[begin] * top + piece, return_counts=True)
+        nth = np.arange(often.sum()) - np.repeat(np.cumsum(often) - often, often)
+        most = int(often.max(initial=1))
+        codes = np.repeat(each % top, often) * most + nth  # a piece counts as often as both have it
+        if top * most > SLAB:
+            codes = np.unique(codes, return_inverse=True)[1]
+        count = np.maximum(size - n + 1, 0)
+        cut = int(count[: len(left)].sum())
+        return products(sparse(count[: len(left)], codes[:cut]), sparse(count[len(left) :], codes[cut:]), "float32")
+
+    for (start, out), *pairs in zip(*map(common, pieces)):
+        both = size_a[start : start + len(out), None] + size_b
+        for _, x in pairs:  # of two letters
+            x += both
+            x += 1
+            x /= 3
+            np.minimum(out, x, out=out)
+        out *= 2
+        out /= np.maximum(both, 1, out=both)
+        yield start, out
+
+
+def near(left: list[str], right: list[str], least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j): all texts whose gestalt ratio may be ``least`` or more, by ``most_alike``."""
+    for start, most in most_alike(left, right):
+        i, j = np.nonzero(most >= np.float32(least - 1e-5))
+        yield i + start, j
+
+
 def pieces_of(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, piece): the different pieces of n letters of each text, in order of the texts; a shorter text is one piece."""
     letters, row, at, size = _letters(texts)

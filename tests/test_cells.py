@@ -132,3 +132,28 @@ def test_the_model_is_asked_once(spark):
     relations = spark.createDataFrame([("zayd ibn harith1", "zayd ibn harith2")], "source string, target string")
     results = ar.deduplicate(df, relations, lambda prompts: pv.ask(prompts, rule), spark.createDataFrame([("Person", 1, 9)], "type string, least int, most int"), {})
     assert [r.count() for r in results] == [6, 1, 1] and asked.value == 1
+
+
+def test_alike_pairs_with_few_pieces_in_common_are_found(spark):
+    pairs = [("abcdefghijklmnop", "abXdefYhijZlmnWp"), ("qrstuvwxyzab", "qr1tu2wx3zab"), ("mnbvcxzlkjhg", "mnbv0xzl0jhg")]
+    rows = [(f"{side}{n}", p[side], "c") for n, p in enumerate(pairs) for side in (0, 1)]
+    df = spark.createDataFrame(rows, "id string, slug string, category string")
+    want = {(f"0{n}", f"1{n}") for n in range(3)}
+    assert {tuple(sorted(r)) for r in ar.alike_pairs(df, "id", "slug", "category").collect()} == want
+    e = df.withColumn("title", F.col("id")).withColumn("description", F.lit(""))
+    assert {tuple(r) for r in ar.hybrid_edges(e).collect()} == want
+    assert {(r["id"], r["cluster"]) for r in ar.clusters_of(ar.hybrid_edges(e, links=True), e).collect()} == {(x, min(p)) for p in want for x in p}
+
+
+def test_alike_links_beside_known_groups_link_what_all_pairs_do(spark):
+    rng = random.Random(8)
+    rows = []
+    for n in range(500):
+        t = "".join(rng.choice("abdgijlmnr") for _ in range(12))
+        rows += [(f"k{n:03}", t, f"w{n % 3}"), (f"m{n:03}", "".join(c if k % 3 else "x" for k, c in enumerate(t)) if n % 2 else t[:11] + "y", "big" if n % 4 else f"m{n}")]
+    df = spark.createDataFrame(rows, "id string, slug string, label string")
+    known = df.groupBy("label").agg(F.min("id").alias("a")).join(df, "label").select("a", F.col("id").alias("b"))
+    pairs = [(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and SequenceMatcher(None, a[1], b[1]).ratio() >= 0.75]
+    links = ar.alike_pairs(df, "id", "slug", links=True, label="label").select("a", "b")
+    want = groups(known.unionByName(spark.createDataFrame(pairs, "a string, b string")))
+    assert len(pairs) > 200 and groups(known.unionByName(links)) == want and links.count() < len(pairs)
