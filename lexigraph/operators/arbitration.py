@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from ..functions.similarity import gestalt, lcs_ratio
 from ..functions.text import json_part, normalize_name, strip, tuples
 from ..scratch import Scratch
-from .cells import Compare, Forest, Letters, in_cells, in_windows, near, open_with_all, sharing
+from .cells import Compare, Forest, Letters, in_cells, in_windows, most_alike, near, open_with_all, sharing
 from .components import connected_components
 from .graph import drop_common_aliases, drop_orphans, validate
 from .resolve import ALIAS_LIKE, COMPATIBLE, CONTEXT, INCOMPATIBLE, alias_overlap, apply_redirects, canonical_merge, compared_names, resolve_redirects, similarity_groups
@@ -289,11 +289,12 @@ def resolve_by_model(entities: DataFrame, ask: Ask) -> DataFrame:
 # Duplicates of one run, by scores of pairs and a model's actions
 
 
-def scored_pairs(entities: DataFrame, least: float = 0.0, links: bool = False, few: int = FEW) -> DataFrame:
-    """(a, b, score) of the pairs of entities with a likely pair among their names and aliases and at least the score.
+def scored_pairs(entities: DataFrame, least: float = 0.0, links: bool = False, few: int = FEW, shared: float | None = SHARED) -> DataFrame:
+    """(a, b, score) of the pairs of entities with at least the score: all of them if ``shared`` is None, else those with two names or
+    aliases that have this share of the longer one's pieces in common.
 
-    entities: id, name, aliases, type, context_description; see ``pair_scores``. Without a like name or alias a pair has 0.2 at most.
-    Pairs are found, bounded and scored cell by cell; with ``links`` only so many come as link the same entities: those of ``few``
+    entities: id, name, aliases, type, context_description; see ``pair_scores``. Every pair is bounded, by the letters that names, aliases
+    and contexts have in common, and scored if it may reach the score, cell by cell; with ``links`` only so many come as link the same entities: those of ``few``
     entities on are first compared with their neighbours in the order of their names, turned at several words. Two of the largest
     group that this gives are linked, so only pairs with an entity outside of it are left, and all of these are compared.
     """
@@ -303,40 +304,40 @@ def scored_pairs(entities: DataFrame, least: float = 0.0, links: bool = False, f
     kind = dict(rows.dtypes)["id"]
     schema = f"a {kind}, b {kind}, score double"
     if not links:
-        found = in_cells(rows.withColumn("g", F.lit("")), "id", "g", _scores(least, False), schema, 2048)
+        found = in_cells(rows.withColumn("g", F.lit("")), "id", "g", _scores(least, False, shared), schema, 2048)
     elif rows.count() < few:
-        found = open_with_all(rows.withColumns({"label": F.col("id"), "open": F.lit(True)}), "id", _links(least), schema)
+        found = open_with_all(rows.withColumns({"label": F.col("id"), "open": F.lit(True)}), "id", _links(least, shared), schema)
     else:
         words = F.split(F.coalesce(F.get("names", F.lit(0)), F.lit("")), " ")
         near = None
         for k in TURNS:
             head = F.slice(words, 1, F.greatest(F.size(words) + k, F.lit(0)) if k < 0 else F.lit(k))
             turned = F.concat_ws(" ", F.slice(words, F.size(head) + 1, F.size(words)), head)
-            some = in_windows(rows, [turned, F.col("id")], _scores(least, True), schema)
+            some = in_windows(rows, [turned, F.col("id")], _scores(least, True, shared), schema)
             near = some if near is None else near.unionByName(some)
         near = scratch.keep(near, "near")
         groups = scratch.keep(connected_components(near, "a", "b"), "groups")
         largest = groups.groupBy("component").agg(F.count("*").alias("n")).agg(F.max_by("component", F.struct("n", "component")).alias("component"), F.lit(True).alias("largest"))
         known = rows.join(groups.withColumnRenamed("node", "id"), "id", "left").join(F.broadcast(largest), "component", "left")  # one row
         known = scratch.keep(known.select(*rows.columns, F.coalesce("component", "id").alias("label"), F.col("largest").isNull().alias("open")), "known")
-        found = near.unionByName(open_with_all(known, "id", _links(least), schema))
+        found = near.unionByName(open_with_all(known, "id", _links(least, shared), schema))
     return found.select("a", "b", F.round("score", 9).alias("score")).filter(F.col("score") >= least)
 
 
-def _scores(least: float, links: bool):
+def _scores(least: float, links: bool, shared: float | None):
     def run(left: pa.Table, right: pa.Table, same: bool) -> Iterator[dict]:
-        cell = _Cell(left, right, least - 5e-10)  # rounded to nine places later
+        cell = _Cell(left, right, least - 5e-10, shared)  # rounded to nine places later
         forest = Forest(len(left) if same else len(left) + len(right)) if links else None
-        yield from _scored(cell, *np.nonzero(cell.likely(same)), forest, 0 if same else len(left))
+        yield from _scored(cell, (lambda i, j: j > i) if same else (lambda i, j: np.ones(len(i), bool)), forest, 0 if same else len(left))
 
     return run
 
 
-def _links(least: float):
+def _links(least: float, shared: float | None):
     """For ``open_with_all``: links between rows that neither their labels nor the links before them join."""
 
     def begin(left: pa.Table):
-        return _Linking(left, least - 5e-10)
+        return _Linking(left, least - 5e-10, shared)
 
     return begin
 
@@ -345,8 +346,8 @@ class _Linking:
     """Links of a task's rows with others that it is given. The labels of linked rows become one, so that a row is no longer compared
     with those it is joined to already: neither with closed rows, once it is in their group."""
 
-    def __init__(self, left: pa.Table, least: float):
-        self.left, self.least, self.rows = left, least, len(left)
+    def __init__(self, left: pa.Table, least: float, shared: float | None):
+        self.left, self.least, self.shared, self.rows = left, least, shared, len(left)
         self.labels, self.to = left["label"].to_pylist(), {}
 
     def _now(self, label):
@@ -365,13 +366,12 @@ class _Linking:
         at = np.flatnonzero(apart)
         if not len(at):
             return
-        cell = _Cell(self.left.take(pa.array(at)), right, self.least)
+        cell = _Cell(self.left.take(pa.array(at)), right, self.least, self.shared)
         labels = [self.labels[n] for n in at.tolist()] + others
         forest = Forest(len(labels), labels)
-        i, j = np.nonzero(cell.likely(False))
-        once = ~right["_own"].to_numpy()[j] | (cell.ids_left[i] < cell.ids_right[j])
-        open_ = once & forest.apart(i, j + len(at))
-        for found in _scored(cell, i[open_], j[open_], forest, len(at)):
+        own = right["_own"].to_numpy()
+        once = lambda i, j: (~own[j] | (cell.ids_left[i] < cell.ids_right[j])) & forest.apart(i, j + len(at))
+        for found in _scored(cell, once, forest, len(at)):
             yield found
         for n, root in enumerate(forest.root.tolist()):
             x, y = self._now(labels[n]), self._now(labels[root])
@@ -379,41 +379,39 @@ class _Linking:
                 self.to[x] = y
 
 
-def _scored(cell: _Cell, i: np.ndarray, j: np.ndarray, forest: Forest | None, shift: int) -> Iterator[dict]:
-    """The scores of pairs of a cell; with a forest, whose rows on the right begin at ``shift``, of those that link."""
+def _scored(cell: _Cell, keep: Callable, forest: Forest | None, shift: int) -> Iterator[dict]:
+    """The scores of pairs of a cell that ``keep`` is true of; with a forest, whose rows on the right begin at ``shift``, of those that link."""
+    i, j, most, but_head, alias = cell.found(keep)
     ahead = cell.ids_left[i] < cell.ids_right[j]  # the order in which two entities are compared
     for turned in (False, True):
         todo = np.flatnonzero((ahead != turned) & (cell.ids_left[i] != cell.ids_right[j]))
+        todo = todo[np.argsort(-most[todo], kind="stable")]
         side = cell.turned() if turned else cell
-        a, b = (j[todo], i[todo]) if turned else (i[todo], j[todo])
-        most = side.bounds(a, b)
-        order = np.argsort(-most, kind="stable")
-        order = order[most[order] >= side.least]
-        of = (lambda x, y: (y, x + shift)) if turned else (lambda x, y: (x, y + shift))
-        for s in range(0, len(order), PAIRS):
-            at = order[s : s + PAIRS]
-            x, y = of(a[at], b[at])
+        for s in range(0, len(todo), PAIRS):
+            at = todo[s : s + PAIRS]
+            x, y = i[at], j[at] + shift
+            a, b = (j[at], i[at]) if turned else (i[at], j[at])
             scores = np.full(len(at), -1.0)
             if forest:
                 open_ = forest.apart(x, y)
                 for n in np.flatnonzero(open_).tolist():
                     if forest.joined(x[n], y[n]):
                         continue
-                    scores[n] = side.score(int(a[at[n]]), int(b[at[n]]), side.alias_most[at[n]])
+                    scores[n] = side.score(int(a[n]), int(b[n]), alias[at[n]], but_head[at[n]])
                     if scores[n] >= side.least:
                         forest.join(x[n], y[n])
                 forest.settle()
             else:
-                scores[:] = [side.score(p, q, m) for p, q, m in zip(a[at].tolist(), b[at].tolist(), side.alias_most[at].tolist())]
+                scores[:] = [side.score(*of) for of in zip(a.tolist(), b.tolist(), alias[at].tolist(), but_head[at].tolist())]
             kept = scores >= side.least
-            yield {"a": side.left["id"].take(pa.array(a[at[kept]])), "b": side.right["id"].take(pa.array(b[at[kept]])), "score": scores[kept]}
+            yield {"a": side.left["id"].take(pa.array(a[kept])), "b": side.right["id"].take(pa.array(b[kept])), "score": scores[kept]}
 
 
 class _Cell:
     """The scores of entities of one side with those of another, and what they are at most."""
 
-    def __init__(self, left: pa.Table, right: pa.Table, least: float):
-        self.left, self.right, self.least = left, right, least
+    def __init__(self, left: pa.Table, right: pa.Table, least: float, shared: float | None):
+        self.left, self.right, self.least, self.shared = left, right, least, shared
         side = lambda t: (t["id"].to_pandas().to_numpy(), t["name"].to_pylist(), t["names"].to_pylist(), t["type"].to_pylist(), t["head"].to_pylist())
         self._fill(side(left), side(right))
 
@@ -423,55 +421,84 @@ class _Cell:
 
     def turned(self) -> _Cell:
         other = object.__new__(_Cell)
-        other.left, other.right, other.least = self.right, self.left, self.least
+        other.left, other.right, other.least, other.shared = self.right, self.left, self.least, self.shared
         other._fill(*self.sides[::-1])
         return other
 
-    def likely(self, same: bool) -> np.ndarray:
-        """Which entities have a likely pair among their names; of the same rows each two once."""
+    def likely(self) -> np.ndarray:
+        """Which entities have a likely pair among their names."""
         out = np.zeros((len(self.name_a), len(self.name_b)), bool)
-        of_a, of_b = (np.repeat(np.arange(len(x)), [len(n) for n in x]) for x in (self.names_a, self.names_b))
-        for i, j in sharing([t for n in self.names_a for t in n], [t for n in self.names_b for t in n], PIECE, SHARED):
+        (of_a, texts_a), (of_b, texts_b) = _flat(self.names_a), _flat(self.names_b)
+        for i, j in sharing(texts_a, texts_b, PIECE, self.shared):
             out[of_a[i], of_b[j]] = True
-        return np.triu(out, 1) if same else out
-
-    def bounds(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return out
+
+    def aliases(self, keep: Callable) -> np.ndarray:
+        """How many pairs of their names may be alike, 2 at most, of the entities that ``keep`` is true of."""
+        out = np.zeros((len(self.name_a), len(self.name_b)), np.uint8)
+        flat = out.ravel()
+        (of_a, texts_a), (of_b, texts_b) = _flat(self.names_a), _flat(self.names_b)
+        letters = Letters(texts_a, texts_b)
+        for x, y in near(texts_a, texts_b, ALIAS_LIKE):
+            kept = keep(of_a[x], of_b[y])
+            x, y = x[kept], y[kept]
+            alike = letters.bound(x, y, ALIAS_LIKE) >= ALIAS_LIKE
+            at, n = np.unique(of_a[x[alike]] * len(self.name_b) + of_b[y[alike]], return_counts=True)
+            flat[at] = np.minimum(flat[at] + n, 2)
+        return out
+
+    def found(self, keep: Callable) -> tuple[np.ndarray, ...]:
+        """(i, j, most, most but for the heads, most of the aliases): of the pairs that ``keep`` is true of and that may have the score, what
+        they have at most."""
+        if self.shared is not None:
+            given, likely = keep, self.likely()
+            keep = lambda i, j: likely[i, j] & given(i, j)
+        alias = self.aliases(keep)
         kinds = {t: n for n, t in enumerate(dict.fromkeys((*self.type_a, *self.type_b)))}
-        table = np.array([[_compatible(x, y) for y in kinds] for x in kinds])
-        fixed = 0.1 * table[np.array([kinds[t] for t in self.type_a], int)[i], np.array([kinds[t] for t in self.type_b], int)[j]]
-        letters = Letters([t or "" for t in self.name_a], [t or "" for t in self.name_b])
-        fixed += 0.1 * Letters(self.head_a, self.head_b).lengths(i, j) + 0.5 * letters.bound(i, j)
-        out = fixed + 0.3
-        self.alias_most = np.full(len(i), 0.3)
-        todo = np.flatnonzero(out >= self.least)
-        todo = todo[fixed[todo] < self.least]  # the others are scored in any case
-        n_a, n_b = np.array([len(n) for n in self.names_a], int), np.array([len(n) for n in self.names_b], int)
-        at_a, at_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
-        letters = Letters([t for n in self.names_a for t in n], [t for n in self.names_b for t in n])
-        for s in range(0, len(todo), PAIRS):
-            at = todo[s : s + PAIRS]
-            many = n_a[i[at]] * n_b[j[at]]
-            pair = np.repeat(np.arange(len(at)), many)
-            k = np.arange(len(pair)) - np.repeat(np.cumsum(many) - many, many)
-            wide = n_b[j[at]][pair]
-            alike = letters.bound(at_a[i[at]][pair] + k // wide, at_b[j[at]][pair] + k % wide, ALIAS_LIKE) >= ALIAS_LIKE
-            near = np.bincount(pair[alike], minlength=len(at))
-            self.alias_most[at] = np.where(near > 1, 0.3, np.where(near == 1, 0.21, 0.0))
-        out = fixed + self.alias_most
-        return out + 1e-9
-
-    def score(self, i: int, j: int, alias_most: float) -> float:
-        """The score; -1 as soon as it cannot reach ``least``. alias_most: what the aliases add at most, of ``bounds``."""
+        table = np.array([[0.1 * _compatible(x, y) for y in kinds] for x in kinds], "float32")
+        kind_a, kind_b = (np.array([kinds[t] for t in x], int) for x in (self.type_a, self.type_b))
+        names = [t or "" for t in self.name_a], [t or "" for t in self.name_b]
+        letters, counts = Letters(*names), np.array([0, 0.21, 0.3], "float32")
+        out = []
+        for (start, name), (_, head) in zip(most_alike(*names, (1,)), most_alike(self.head_a, self.head_b, (1,))):
+            own = slice(start, start + len(name))
+            rest = table[kind_a[own]][:, kind_b]
+            rest += counts[alias[own]]
+            name *= 0.5
+            head *= 0.1
+            name += head
+            name += rest
+            i, j = np.nonzero(name >= np.float32(self.least - 1e-5))
+            kept = keep(i + start, j)
+            i, j = i[kept], j[kept]
+            rest, head = rest[i, j].astype(float), head[i, j].astype(float)
+            i += start
+            rest += 0.5 * letters.bound(i, j) + 1e-5  # bounds are summed in single precision
+            kept = rest + head >= self.least
+            i, j, rest = i[kept], j[kept], rest[kept]
+            out.append((i, j, rest + head[kept], rest, counts[alias[i, j]].astype(float)))
+        return tuple(map(np.concatenate, zip(*out))) if out else (np.zeros(0, int), np.zeros(0, int), *np.zeros((3, 0)))
+
+    def score(self, i: int, j: int, alias_most: float, but_head: float) -> float:
+        """The score; -1 as soon as it cannot reach ``least``. alias_most, but_head: what the aliases, and all but the heads, add at most."""
+        head = 0.1 * lcs_ratio(self.head_a[i], self.head_b[j])
+        if but_head + head < self.least - 1e-9:
+            return -1.0
         kind = 0.1 * _compatible(self.type_a[i], self.type_b[j])
         name = 0.5 * gestalt(self.name_a[i], self.name_b[j])
-        if name + alias_most + kind + 0.1 < self.least - 1e-9:
+        if name + alias_most + kind + head < self.least - 1e-6:
             return -1.0
         alias = 0.3 * alias_overlap(self.names_a[i], self.names_b[j]) if alias_most else 0.0
-        if name + alias + kind + 0.1 * lcs_ratio(self.head_a[i], self.head_b[j]) < self.least - 1e-9:
+        if name + alias + kind + head < self.least - 1e-9:
             return -1.0
         return name + alias + kind + 0.1 * gestalt(self.head_a[i], self.head_b[j])
 
 
+def _flat(names: list[list[str]]) -> tuple[np.ndarray, list[str]]:
+    """(row, name) of all names."""
+    return np.repeat(np.arange(len(names)), [len(n) for n in names]), [t for n in names for t in n]
+
+
 def _compatible(a: str | None, b: str | None) -> float:
     """See ``type_compatibility``."""
     if a is None or b is None:
@@ -482,7 +509,7 @@ def _compatible(a: str | None, b: str | None) -> float:
 
 def threshold_groups(entities: DataFrame, least: float = 0.5) -> DataFrame:
     """(id, grp): connected groups of pairs with at least the score; entities alike to none are groups of their own."""
-    return similarity_groups(scored_pairs(entities, least, links=True), entities.select(F.col("id").alias("node")), least).withColumnRenamed("node", "id")
+    return similarity_groups(scored_pairs(entities, least, links=True, shared=None), entities.select(F.col("id").alias("node")), least).withColumnRenamed("node", "id")
 
 
 def actions(answers: DataFrame) -> DataFrame:

@@ -148,7 +148,7 @@ def test_alike_pairs_with_few_pieces_in_common_are_found(spark):
 def test_alike_links_beside_known_groups_link_what_all_pairs_do(spark):
     rng = random.Random(8)
     rows = []
-    for n in range(500):
+    for n in range(160):
         t = "".join(rng.choice("abdgijlmnr") for _ in range(12))
         rows += [(f"k{n:03}", t, f"w{n % 3}"), (f"m{n:03}", "".join(c if k % 3 else "x" for k, c in enumerate(t)) if n % 2 else t[:11] + "y", "big" if n % 4 else f"m{n}")]
     df = spark.createDataFrame(rows, "id string, slug string, label string")
@@ -156,4 +156,34 @@ def test_alike_links_beside_known_groups_link_what_all_pairs_do(spark):
     pairs = [(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and SequenceMatcher(None, a[1], b[1]).ratio() >= 0.75]
     links = ar.alike_pairs(df, "id", "slug", links=True, label="label").select("a", "b")
     want = groups(known.unionByName(spark.createDataFrame(pairs, "a string, b string")))
-    assert len(pairs) > 200 and groups(known.unionByName(links)) == want and links.count() < len(pairs)
+    assert len(pairs) > 60 and groups(known.unionByName(links)) == want and links.count() < len(pairs)
+
+
+def test_scored_pairs_with_few_pieces_in_common_are_found(spark):
+    # Names with a gestalt ratio of 0.75 and no three letters in common: 0.375 + 0.1 of the type + 0.1 of the context.
+    rows = [(1, "mnbvcxzlkjhg", "Person", [], "told of old"), (2, "mnQvcWzlEjhR", "Person", None, "told of old"), (3, "qrstuwyab", "Place", [], "")]
+    # Aliases alike by 0.8 with few pieces in common: 0.21, and as much again of names alike by half.
+    rows += [(4, "acegikmo", "Person", ["bdfhj lnprt vxz"], "went far"), (5, "acXgiYmZ", "Person", ["bdfhk lnpst vxy"], "went far")]
+    df = spark.createDataFrame(rows, "id long, name string, type string, aliases array<string>, context_description string")
+    ends = {e: df.select([F.col(c).alias(f"{to}_{e}") for c, to in (("id", "id"), ("name", "name"), ("type", "type"), ("aliases", "aliases"), ("context_description", "context"))]) for e in "ab"}
+    scored = rs.pair_scores(ends["a"].join(ends["b"], F.col("id_a") < F.col("id_b"))).collect()
+    want = {(r["id_a"], r["id_b"]): round(r["score"], 9) for r in scored if r["score"] >= 0.5}
+    assert set(want) == {(1, 2), (4, 5)}
+    assert {(r["a"], r["b"]): r["score"] for r in ar.scored_pairs(df, 0.5, shared=None).collect()} == want
+    assert {(r["a"], r["b"]): r["score"] for r in ar.scored_pairs(df, 0.5, links=True, shared=None).collect()} == want
+    assert {(r["id"], r["grp"]) for r in ar.threshold_groups(df).collect()} == {(1, 1), (2, 1), (3, 3), (4, 4), (5, 4)}
+
+
+def test_scored_pairs_are_those_of_all_pairs(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abdgiklmnrstuz") for _ in range(rng.randrange(4, 9)))
+    words = [word() for _ in range(9)]
+    blur = lambda t: "".join(c if rng.random() < 0.75 else rng.choice("xyw") for c in t)
+    name = lambda: blur(f"{rng.choice(words)} {rng.choice(words)}")
+    rows = [(n, name() if n % 11 else None, rng.choice(["Child", "AhlBayt", None]), [name() for _ in range(rng.randrange(3))], rng.choice(["", "told of old", blur(" ".join(words) * 2)])) for n in range(90)]
+    df = spark.createDataFrame(rows, "id long, name string, type string, aliases array<string>, context_description string")
+    ends = {e: df.select([F.col(c).alias(f"{to}_{e}") for c, to in (("id", "id"), ("name", "name"), ("type", "type"), ("aliases", "aliases"), ("context_description", "context"))]) for e in "ab"}
+    scored = rs.pair_scores(ends["a"].join(ends["b"], F.col("id_a") < F.col("id_b"))).collect()
+    for least in (0.3, 0.5):
+        want = {(r["id_a"], r["id_b"]): round(r["score"], 9) for r in scored if round(r["score"], 9) >= least}
+        assert want and {(r["a"], r["b"]): r["score"] for r in ar.scored_pairs(df, least, shared=None).collect()} == want
