@@ -237,14 +237,15 @@ def contained_texts(texts: DataFrame, piece: int = 3) -> DataFrame:
     """(part, whole): pairs of different texts t of which one contains the other, by an index of pieces; none is missed.
 
     Each text looks, by the rarest of its pieces of ``piece`` letters, for those that hold it; one of fewer letters is a piece itself.
+    Both joins are by sorting: sizes estimated from packed files would let a grown table be broadcast through the driver.
     """
     pieces = lambda n: F.transform(F.sequence(F.lit(1), F.length("t") - n + 1), lambda i: F.substr(F.col("t"), i, F.lit(n)))
     all_ = F.array_distinct(F.concat(*[F.when(F.length("t") >= n, pieces(n)).otherwise(F.array().cast("array<string>")) for n in range(1, piece + 1)]))
     held = texts.filter("t <> ''").select("t", F.explode(all_).alias("piece"))
     own = held.filter(F.length("piece") == F.least(F.length("t"), F.lit(piece)))
     counts = held.groupBy("piece").agg(F.count("*").alias("n"))
-    rarest = own.join(counts, "piece").groupBy(F.col("t").alias("part")).agg(F.min_by("piece", F.struct("n", "piece")).alias("piece"))
-    return rarest.join(held.select("piece", F.col("t").alias("whole")), "piece").filter((F.col("part") != F.col("whole")) & F.col("whole").contains(F.col("part"))).select("part", "whole")
+    rarest = own.join(counts.hint("merge"), "piece").groupBy(F.col("t").alias("part")).agg(F.min_by("piece", F.struct("n", "piece")).alias("piece"))
+    return rarest.join(held.select("piece", F.col("t").alias("whole")).hint("merge"), "piece").filter((F.col("part") != F.col("whole")) & F.col("whole").contains(F.col("part"))).select("part", "whole")
 
 
 def resolve_mentions(mentions: DataFrame, entities: DataFrame) -> DataFrame:
@@ -253,11 +254,11 @@ def resolve_mentions(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     mentions: mention, variants (array, the primary name first). A variant matches an entity by its normalised name exactly (1.0),
     by containment either way (0.8) or by an alias (0.6); the first variant that matches anything wins, then the better match,
     then more chunks. final_score is the likeness of the variant and the name. Three equality joins: names, pieces of names,
-    aliases.
+    aliases. All tables grow, so none is broadcast, whatever size is estimated from its packed file.
     """
     scratch = Scratch(mentions.sparkSession, "mentions")  # a name is normalised once: its expression is long, and every use repeats it in the plan
     asked = mentions.select("mention", F.posexplode("variants").alias("ord", "variant")).withColumn("v", normalize_name(F.col("variant"))).filter("v <> ''")
-    asked = scratch.keep(asked, "asked")
+    asked = scratch.keep(asked, "asked").hint("merge")
     known = entities.select("entity", "chunk_count", normalize_name(F.col("entity")).alias("n"), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), normalize_name).alias("al"))
     known = scratch.keep(known, "known")
     named = known.filter("n <> ''").select("entity", "chunk_count", "n")
@@ -266,7 +267,7 @@ def resolve_mentions(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     texts = named.select(F.col("n").alias("t")).unionByName(asked.select(F.col("v").alias("t"))).distinct()
     within = scratch.keep(contained_texts(texts), "within")
     both = within.unionByName(within.select(F.col("whole").alias("part"), F.col("part").alias("whole")))
-    partly = named.join(both, named["n"] == both["part"]).join(asked, F.col("whole") == F.col("v")).withColumn("match_score", F.lit(0.8))
+    partly = named.join(both.hint("merge"), named["n"] == both["part"]).join(asked, F.col("whole") == F.col("v")).withColumn("match_score", F.lit(0.8))
     alias = known.select("entity", "chunk_count", "n", F.explode(F.array_distinct("al")).alias("v")).join(asked, "v").withColumn("match_score", F.lit(0.6))
     columns = ["mention", "ord", "variant", "v", "entity", "n", "chunk_count", "match_score"]
     hits = exact.select(columns).unionByName(partly.select(columns)).unionByName(alias.select(columns))

@@ -187,3 +187,12 @@ def test_scored_pairs_are_those_of_all_pairs(spark):
     for least in (0.3, 0.5):
         want = {(r["id_a"], r["id_b"]): round(r["score"], 9) for r in scored if round(r["score"], 9) >= least}
         assert want and {(r["a"], r["b"]): r["score"] for r in ar.scored_pairs(df, least, shared=None).collect()} == want
+
+
+def test_names_of_mentions_are_not_broadcast(spark):
+    asked = spark.createDataFrame([("Hamza ibn Abd", ["Hamza ibn Abd", "Hamza"])], "mention string, variants array<string>")
+    known = spark.createDataFrame([("hamza", ["the lion"], 3), ("zayd", None, 1)], "entity string, aliases array<string>, chunk_count long")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    got, within = rt.resolve_mentions(asked, known), rt.contained_texts(spark.createDataFrame([("hamza",), ("hamza ibn abd",)], "t string"))
+    assert all("Broadcast" not in plan(df) and "SortMergeJoin" in plan(df) for df in (got, within))
+    assert [tuple(r)[:4] for r in got.collect()] == [("Hamza ibn Abd", "Hamza ibn Abd", "hamza", 0.8)]
