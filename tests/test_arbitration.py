@@ -145,3 +145,11 @@ def test_store_operators(spark, tmp_path):
     assert got["text"] == "a\nb" and got["pages"] == [1, 2] and got["tables"] == ["t"] and got["images"] == ["i"] and got["headings"] == []
     passes = spark.createDataFrame([("one", 2, 1, 0), ("one", 3, None, 1)], "pass string, entities int, relations int, failed int")
     assert tuple(tb.pass_statistics(passes).first()) == ("one", 2, 5, 1, 1)
+
+
+def test_deduplicate_asks_about_names_with_few_pieces_in_common(spark):
+    rows = [(1, "mnbvcxzlkjhg", "mnbvcxzlkjhg", "Person", [], "told of old", 0.5), (2, "mnQvcWzlEjhR", "mnqvcwzlejhr", "Person", [], "told of old", 0.9), (3, "qrstuwyab", "qrstuwyab", "Place", [], "", None)]
+    e = spark.createDataFrame(rows, "id long, name string, normalized_name string, type string, aliases array<string>, context_description string, confidence double")
+    edges = spark.createDataFrame([("mnqvcwzlejhr", "qrstuwyab")], "source string, target string")
+    kept, _, _ = ar.deduplicate(e, edges, ask, spark.createDataFrame([("Person", 1, 2)], "type string, least int, most int"), {})
+    assert sorted(r["id"] for r in kept.collect()) == [1, 3]  # the rule merges the first two of a group
